@@ -19,6 +19,7 @@ NULL_TOKENS = (
 )
 SUCCESS, UNCLEAR, FATAL = "success", "needs_clarification", "fatal_error"
 _CORRUPT = "__corrupt_record"
+QUOTE = '"'
 _NO_SUCH_TEXT = "\x00"
 
 ERROR_SCHEMA = T.StructType(
@@ -78,8 +79,8 @@ def _text_cells(
         .option("header", True)
         .option("enforceSchema", True)
         .option("sep", delimiter)
-        .option("quote", '"')
-        .option("escape", '"')
+        .option("quote", QUOTE)
+        .option("escape", QUOTE)
         .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("nullValue", _NO_SUCH_TEXT)
@@ -332,7 +333,13 @@ def save_table(
         raise ValueError(f"The folder {parent!r} does not exist")
     writer = df.write.mode("errorifexists")
     if format == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        (
+            writer.option("header", True)
+            .option("escape", QUOTE)
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(path)
+        )
     else:
         writer.parquet(path)
 
