@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 import scour
 from checks import sql
 from checks.views import columns_of, table, view, view_sql, with_views
-from scour.functions import dates, numbers, units
+from scour.functions import dates, units
 from scour.functions.arithmetic import build_expression
 from scour.operators import columns as column_ops
 from scour.operators import context, dedup, missing, profile, suggest
 from scour.operators.changes import union_logs
-from scour.operators.rules import rule_counts
 from scour.schema import ref
 from scour.sources import csv_files, inference
 from scour.sources.staging import scratch_path
@@ -40,8 +39,6 @@ def joined(*names: str) -> list:
     return [F.array_join(name, "|").alias(name) for name in names]
 
 
-ORDER_COLUMNS = ", ".join(columns_of("messy_orders", row_id=True))
-
 # --- predicates and filter ----------------------------------------------------------------------
 
 
@@ -220,15 +217,11 @@ def expr_div(spark, sf_dir):
     "expr_mod",
     with_views(
         ["messy_parts"],
-        "SELECT row_id, ((p_size - 20) % 7 + 7) % 7 AS m, "
-        "-((((20 - p_size) % 7) + 7) % 7) AS negative, "
+        "SELECT row_id, CAST(((p_size - 20) % 7 + 7) % 7 AS BIGINT) AS m, "
+        "CAST(-((((20 - p_size) % 7) + 7) % 7) AS BIGINT) AS negative, "
         "CASE WHEN p_size = 10 THEN 'NaN'::DOUBLE ELSE "
         "((500 - row_id)::DOUBLE - (p_size - 10) * floor((500 - row_id)::DOUBLE / (p_size - 10))) "
         "END AS by_zero FROM messy_parts",
-    ).replace("((p_size - 20) % 7 + 7) % 7 AS m", "CAST(((p_size - 20) % 7 + 7) % 7 AS BIGINT) AS m")
-    .replace(
-        "-((((20 - p_size) % 7) + 7) % 7) AS negative",
-        "CAST(-((((20 - p_size) % 7) + 7) % 7) AS BIGINT) AS negative",
     ),
 )
 def expr_mod(spark, sf_dir):
@@ -353,12 +346,6 @@ def op_fill_mode(spark, sf_dir):
     return scour.fill_categorical(view(spark, sf_dir, "messy_orders"))
 
 
-CLEANED = {
-    "filled": "filled AS (SELECT row_id, coalesce(label, '') AS label, "
-    f"coalesce(quantity, {_mode('quantity', 'messy_parts')}) AS quantity, p_size FROM messy_parts)",
-}
-
-
 def _clean_events(spark, sf_dir):
     return scour.clean(
         view(spark, sf_dir, "dup_events"),
@@ -513,7 +500,7 @@ CANONICAL = """CASE p_partkey % 8 WHEN 0 THEN 'kg' WHEN 1 THEN 'l' WHEN 2 THEN '
 @case("unit_normalize", f"SELECT p_partkey AS row_id, {CANONICAL} AS unit FROM part")
 def unit_normalize(spark, sf_dir):
     return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("row_id"), units.normalize_unit(F.expr(SPELLED)).alias("unit")
+        F.col("p_partkey").alias("row_id"), F.expr(units.normalize_unit(SPELLED)).alias("unit")
     )
 
 
@@ -523,7 +510,7 @@ def unit_normalize(spark, sf_dir):
 )
 def unit_category(spark, sf_dir):
     return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("row_id"), units.unit_category(F.expr(SPELLED)).alias("category")
+        F.col("p_partkey").alias("row_id"), F.expr(units.unit_category(units.normalize_unit(SPELLED))).alias("category")
     )
 
 
@@ -534,7 +521,7 @@ def unit_category(spark, sf_dir):
     "AS converted FROM part",
 )
 def unit_convert(spark, sf_dir):
-    converted = units.convert_value(F.col("p_size"), F.expr(SPELLED), "kg")
+    converted = F.expr(units.convert_value("p_size", SPELLED, "kg"))
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("row_id"), F.round(converted, 6).alias("converted")
     )
@@ -577,8 +564,8 @@ def op_date_format(spark, sf_dir):
 def date_detect_format(spark, sf_dir):
     return view(spark, sf_dir, "messy_orders").select(
         "row_id",
-        dates.detect_format(F.col("order_date")).alias("notation"),
-        dates.detect_format(F.col("status")).alias("other"),
+        F.expr(dates.detect_format("order_date")).alias("notation"),
+        F.expr(dates.detect_format("status")).alias("other"),
     )
 
 
@@ -598,8 +585,6 @@ BROKEN = [
     ("allowed-values", "status", "'Delivered,Shipped'", "status NOT IN ('Delivered', 'Shipped')"),
     ("allowed-values", "customer_id", "'1,2'", "customer_id IS NOT NULL"),
 ]
-# Fixed value: how a rule's number is shown, six significant digits.
-SHOWN = {"450000": "450000"}
 
 
 def single_rule(name: str, index: int) -> None:
@@ -1028,7 +1013,7 @@ def ctx_role(spark, sf_dir):
         f"CASE WHEN is_date THEN {_day('d1')} END AS date_min, "
         f"CASE WHEN is_date THEN {_day('d2')} END AS date_max, {sql.HINT} AS hint, "
         f"{sql.role('role')} AS role, {sql.role('confidence')} AS confidence, top_categories "
-        'FROM st LEFT JOIN top ON top.name = st."column"'.replace('"column")', 'st."column")'),
+        'FROM st LEFT JOIN top ON top.name = st."column"',
         ORDER_STATS,
         'top AS (SELECT "column" AS name, array_to_string(list(value ORDER BY n DESC, value) '
         "FILTER (place <= 10), '|') AS top_categories FROM (SELECT *, row_number() OVER "
@@ -1089,7 +1074,7 @@ def _suggestion_sql(kind: str, source: str, cases: list[tuple], column: str = '"
 
     return (
         f"SELECT '{kind}' AS type, {column} AS \"column\", {pick(1)} AS resolution_type, "
-        f"{pick(2)} AS operation, CAST({pick(3)} AS VARCHAR) AS parameter, "
+        f"CAST({pick(2)} AS VARCHAR) AS operation, CAST({pick(3)} AS VARCHAR) AS parameter, "
         f"CAST({pick(4)} AS VARCHAR) AS available_targets, "
         f"CAST({pick(5)} AS VARCHAR) AS detected_units FROM {source}"
     )
@@ -1521,7 +1506,9 @@ def ingest_encoding(spark, sf_dir):
         """concat(cast(o_orderkey as string), ',', CASE WHEN o_orderkey % 40 = 0
         THEN cast(unhex('FFFE') as string) ELSE o_orderpriority END) AS line"""
     )
-    path = _write_lines(lines, "id,priority", "encoding")
+    # As plain text: a CSV writer would replace the broken bytes.
+    path = scratch_path(spark, "encoding")
+    lines.write.text(path)
     rejected = csv_files.structural_errors(spark, path, ["id", "priority"])
     return rejected.select(
         F.split_part(F.make_valid_utf8("raw_content"), F.lit(","), F.lit(1)).alias("id"),
@@ -1581,7 +1568,7 @@ def infer_datetime(spark, sf_dir):
     "sink_csv",
     with_views(
         ["messy_parts"],
-        "SELECT *, p_size * 0.5 AS half FROM messy_parts",
+        "SELECT *, p_size * CAST(0.5 AS DOUBLE) AS half FROM messy_parts",
     ),
 )
 def sink_csv(spark, sf_dir):

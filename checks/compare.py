@@ -13,6 +13,12 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Spark type to DuckDB type; the queries return nothing else.
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
 
 def oracle_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
@@ -41,6 +47,14 @@ def difference(
     relation = connection.sql(sql)
     if sorted(df.columns) != sorted(relation.columns):
         return f"columns {sorted(df.columns)} != {sorted(relation.columns)}"
+    wanted = dict(zip(relation.columns, map(str, relation.types)))
+    odd = {
+        field.name: (field.dataType.simpleString(), wanted[field.name])
+        for field in df.schema.fields
+        if wanted[field.name] != TYPES.get(field.dataType.simpleString())
+    }
+    if odd:
+        return f"types {odd}"
     ours = _rows(df.columns, df.collect())
     theirs = _rows(relation.columns, relation.fetchall())
     if ours == theirs:

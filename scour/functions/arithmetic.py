@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scour.functions.numbers import divide, modulo, modulo_double
-from scour.schema import column_types, is_integral, is_numeric, ref
+from scour.schema import column_types, is_integral, is_numeric, quoted
 
 OPERATORS = ("+", "-", "*", "/", "%")
 
@@ -38,11 +38,11 @@ def build_expression(expression, schema: T.StructType) -> Column:
     errors = expression_errors(expression, schema.fieldNames())
     if errors:
         raise ValueError("; ".join(errors))
-    return _build(expression, column_types(schema))[0]
+    return F.expr(_build(expression, column_types(schema))[0])
 
 
-def _build(expression, types) -> tuple[Column, bool]:
-    """The column, and whether it is integral."""
+def _build(expression, types) -> tuple[str, bool]:
+    """SQL text, and whether the value is integral."""
     if isinstance(expression, str):
         dtype = types[expression]
         if not (is_numeric(dtype) or isinstance(dtype, T.BooleanType)):
@@ -50,18 +50,17 @@ def _build(expression, types) -> tuple[Column, bool]:
                 f"Arithmetic needs numeric columns; {expression!r} is {dtype.simpleString()}"
             )
         integral = is_integral(dtype) or isinstance(dtype, T.BooleanType)
-        return ref(expression).cast("bigint" if integral else "double"), integral
+        return f"CAST({quoted(expression)} AS {'BIGINT' if integral else 'DOUBLE'})", integral
     if isinstance(expression, (bool, int)):
-        return F.lit(int(expression)).cast("bigint"), True
+        return f"CAST({int(expression)} AS BIGINT)", True
     if isinstance(expression, float):
-        return F.lit(expression), False
+        return f"double('{expression!r}')", False
 
     operator, *operands = expression
     built = [_build(operand, types) for operand in operands]
     integral = all(flag for _, flag in built)
     if len(built) == 1:
-        value = built[0][0]
-        return (-value if operator == "-" else value), integral
+        return f"({operator}{built[0][0]})", integral
     left, right = built[0][0], built[1][0]
     if operator == "/":
         return divide(left, right), False
@@ -70,5 +69,4 @@ def _build(expression, types) -> tuple[Column, bool]:
         if integral and isinstance(operands[1], int) and operands[1] != 0:
             return modulo(left, right), True
         return modulo_double(left, right), False
-    steps = {"+": Column.__add__, "-": Column.__sub__, "*": Column.__mul__}
-    return steps[operator](left, right), integral
+    return f"({left} {operator} {right})", integral

@@ -1,4 +1,4 @@
-"""A closed date grammar: detection, parsing and rendering without exceptions per row.
+"""A closed date grammar: detection, parsing and rendering. SQL text.
 
 Accepted notations: `d/M/yyyy`, `d/M/yy`, `d-M-yyyy`, `yyyy-M-d`, `MMM d, yyyy`, `MMMM d, yyyy`
 and `yyyy-M-d HH:mm:ss`. Two-digit years below 69 are in this century, as in POSIX.
@@ -8,10 +8,8 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from scour.functions.text import strip
+from scour.functions.text import matches, strip
+from scour.schema import literal
 
 # Notation names with the pattern each one stands for, in the order tried.
 DATE_FORMATS = {
@@ -31,96 +29,57 @@ TARGET_FORMATS = {
 }
 DAY_FIRST = "DD-MM-YYYY"
 
-_MONTHS = (
-    "january,february,march,april,may,june,july,august,september,october,november,december"
-)
+_MONTHS = "january,february,march,april,may,june,july,august,september,october,november,december"
 _SHORT_MONTHS = "jan,feb,mar,apr,may,jun,jul,aug,sep,oct,nov,dec"
-_NUMERIC_DATE = r"^(?:\d{1,2}/\d{1,2}/(?:\d{4}|\d{2})|\d{1,2}-\d{1,2}-\d{4})$"
-_ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
-_ISO_TIME = r"^(\d{4}-\d{1,2}-\d{1,2})[ T]([01]\d|2[0-3]):([0-5]\d):([0-5]\d)$"
 _NAMED = r"^([A-Za-z]+)\s+(\d{1,2}),\s*(\d{4})$"
+_ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T](?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d)?$"
+_DAY = r"(\d{1,2})"
+_MONTH = r"(0?[1-9]|1[0-2])"
 
 
-def detect_format(value: Column) -> Column:
-    """The name of the notation of a date text."""
-    text = strip(value)
-    chain = None
-    for name, pattern in DATE_FORMATS.items():
-        test = text.rlike(pattern)
-        chain = F.when(test, name) if chain is None else chain.when(test, name)
-    return chain.otherwise(F.when(value.isNotNull(), UNKNOWN_FORMAT))
-
-
-def _date(year: Column, month: Column, day: Column) -> Column:
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    last = (
-        F.when(month == 2, F.when(leap, 29).otherwise(28))
-        .when(month.isin(4, 6, 9, 11), 30)
-        .otherwise(31)
+def detect_format(value: str) -> str:
+    """The name of the notation of a (stripped) date text."""
+    cases = " ".join(
+        f"WHEN {matches(value, pattern)} THEN {literal(name)}"
+        for name, pattern in DATE_FORMATS.items()
     )
-    valid = month.between(1, 12) & (day >= 1) & (day <= last) & (year >= 1)
-    return F.when(valid, F.make_date(year, month, day))
-
-
-def _part(text: Column, index: int) -> Column:
-    return F.split_part(text, F.lit("-"), F.lit(index)).try_cast("int")
-
+    return f"CASE {cases} WHEN {value} IS NOT NULL THEN '{UNKNOWN_FORMAT}' END"
 
-def _year(text: Column) -> Column:
-    digits = F.split_part(text, F.lit("-"), F.lit(3))
-    number = digits.try_cast("int")
-    short = number + F.when(number < 69, 2000).otherwise(1900)
-    return F.when(F.length(digits) == 2, short).otherwise(number)
 
+def _rewrite(value: str, pattern: str, replacement: str) -> str:
+    return f"regexp_replace({value}, {literal(pattern)}, '{replacement}')"
 
-def _iso_date(text: Column) -> Column:
-    return _date(_part(text, 1), _part(text, 2), _part(text, 3))
 
-
-def parse_date(value: Column, day_first: bool) -> Column:
+def parse_date(value: str, day_first: bool) -> str:
     """The timestamp a text stands for, NULL if the grammar has no reading of it.
 
-    For the ambiguous notations the preferred order is used unless its month is impossible.
+    The other notations are rewritten to the ISO one, which a single cast reads. For the ambiguous
+    ones the preferred order is used unless its month is impossible.
     """
     text = strip(value)
-    dashed = F.translate(text, "/", "-")
-    first, second = _part(dashed, 1), _part(dashed, 2)
-    preferred, other = (second, first) if day_first else (first, second)
-    month = F.when(preferred <= 12, preferred).otherwise(other)
-    day = F.when(preferred <= 12, other).otherwise(preferred)
-
-    name = F.lower(F.regexp_extract(text, _NAMED, 1))
-    named_month = F.greatest(
-        F.find_in_set(name, F.lit(_MONTHS)), F.find_in_set(name, F.lit(_SHORT_MONTHS))
-    )
-    clock = [F.regexp_extract(text, _ISO_TIME, group).try_cast("bigint") for group in (2, 3, 4)]
-    seconds = clock[0] * 3600 + clock[1] * 60 + clock[2]
-    midnight = _iso_date(F.regexp_extract(text, _ISO_TIME, 1)).cast("timestamp_ntz")
-
-    return (
-        F.when(text.rlike(_ISO), _iso_date(text).cast("timestamp_ntz"))
-        .when(
-            text.rlike(_NUMERIC_DATE),
-            _date(_year(dashed), month, day).cast("timestamp_ntz"),
-        )
-        .when(
-            text.rlike(_NAMED),
-            _date(
-                F.regexp_extract(text, _NAMED, 3).try_cast("int"),
-                named_month,
-                F.regexp_extract(text, _NAMED, 2).try_cast("int"),
-            ).cast("timestamp_ntz"),
-        )
-        .when(text.rlike(_ISO_TIME), midnight + F.make_dt_interval(secs=seconds))
+    text = _rewrite(text, r"^(\d{1,2}/\d{1,2}/)(69|[7-9]\d)$", "$119$2")
+    text = _rewrite(text, r"^(\d{1,2}/\d{1,2}/)(\d\d)$", "$120$2")
+    by_day = (rf"^{_DAY}([-/]){_MONTH}\2(\d{{4}})$", "$4-$3-$1")
+    by_month = (rf"^{_MONTH}([-/]){_DAY}\2(\d{{4}})$", "$4-$1-$3")
+    for pattern, replacement in (by_day, by_month) if day_first else (by_month, by_day):
+        text = _rewrite(text, pattern, replacement)
+    name = f"lower(regexp_extract({value}, '[A-Za-z]+', 0))"
+    month = f"greatest(find_in_set({name}, '{_MONTHS}'), find_in_set({name}, '{_SHORT_MONTHS}'))"
+    named = (
+        f"concat_ws('-', regexp_extract({strip(value)}, {literal(_NAMED)}, 3), CAST({month} AS STRING), "
+        f"regexp_extract({strip(value)}, {literal(_NAMED)}, 2))"
     )
+    text = f"CASE WHEN {matches(strip(value), _NAMED)} THEN {named} ELSE {text} END"
+    # Anything else that a cast would take, such as a bare year, is not in the grammar.
+    return f"try_cast(regexp_extract({text}, {literal(_ISO)}, 0) AS TIMESTAMP_NTZ)"
 
 
-def render_date(value: Column, target: str) -> Column:
+def render_date(value: str, target: str) -> str:
     if target not in TARGET_FORMATS:
         raise ValueError(
             f"Unknown target date format {target!r}; use one of {', '.join(map(repr, TARGET_FORMATS))}"
         )
-    return F.date_format(value, TARGET_FORMATS[target])
+    return f"date_format({value}, '{TARGET_FORMATS[target]}')"
 
 
 def parse_literal(text: str) -> dt.datetime | None:

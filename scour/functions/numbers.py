@@ -1,74 +1,75 @@
-"""Parsing and rendering numbers, and arithmetic that never fails on a zero divisor."""
+"""Parsing and rendering numbers, and arithmetic that never fails on a zero divisor. SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from scour.functions.text import matches
 
 # Spark's cast also takes `12d` and `1f`, so the shape is checked first.
 _NUMBER = r"^\s*[-+]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|(?i:inf|infinity))\s*$"
+_PLAIN = r"^\s*[-+]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|(?i:inf|infinity|nan))\s*$"
 _INTEGER = r"^\s*[-+]?\d{1,18}\s*$"
-_NOT_A_NUMBER = r"^\s*[-+]?(?i:nan)\s*$"
-_BIGINT_SAFE = 9.0e18
+_BIGINT_SAFE = "9.0e18D"
+_NAN, _INFINITY = "double('NaN')", "double('Infinity')"
 
 
-def is_number(text: Column) -> Column:
-    return text.rlike(_NUMBER)
+def is_number(text: str) -> str:
+    return matches(text, _NUMBER)
 
 
-def is_integer(text: Column) -> Column:
-    return text.rlike(_INTEGER)
+def is_integer(text: str) -> str:
+    return matches(text, _INTEGER)
 
 
-def is_plain_number(text: Column) -> Column:
+def is_plain_number(text: str) -> str:
     """Numbers and the literal `nan`."""
-    return text.rlike(_NUMBER) | text.rlike(_NOT_A_NUMBER)
+    return matches(text, _PLAIN)
 
 
-def to_double(text: Column) -> Column:
+def to_double(text: str) -> str:
     """The number in a text, NULL where there is none."""
-    return F.when(is_number(text), F.trim(text).try_cast("double"))
+    return f"CASE WHEN {is_number(text)} THEN try_cast(trim({text}) AS DOUBLE) END"
 
 
-def render_number(value: Column) -> Column:
+def render_number(value: str) -> str:
     """A double as text: integral values without a fraction, no exponent, no trailing zeros."""
-    fraction = F.regexp_replace(value.try_cast("decimal(38,17)").cast("string"), r"\.?0+$", "")
     return (
-        F.when(
-            (value == F.rint(value)) & (F.abs(value) < _BIGINT_SAFE),
-            value.try_cast("bigint").cast("string"),
-        )
-        .when(value == F.rint(value), value.try_cast("decimal(38,0)").cast("string"))
-        .otherwise(fraction)
+        f"CASE WHEN rint({value}) <> {value} "
+        f"THEN trim(TRAILING '0' FROM CAST(try_cast({value} AS DECIMAL(38, 17)) AS STRING)) "
+        f"WHEN abs({value}) < {_BIGINT_SAFE} THEN CAST(try_cast({value} AS BIGINT) AS STRING) "
+        f"ELSE CAST(try_cast({value} AS DECIMAL(38, 0)) AS STRING) END"
     )
 
 
-def render_rounded(value: Column) -> Column:
+def render_rounded(value: str) -> str:
     """Like `render_number`, but other values keep at most six decimals (`0.0000001` is `0.0`)."""
-    text = F.regexp_replace(
-        F.round(value, 6).try_cast("decimal(38,6)").cast("string"), r"(\.\d)(\d*?)0+$", "$1$2"
+    rounded = f"CAST(try_cast(round({value}, 6) AS DECIMAL(38, 6)) AS STRING)"
+    return (
+        f"CASE WHEN rint({value}) <> {value} "
+        rf"THEN regexp_replace({rounded}, '(\\.\\d)(\\d*?)0+$', '$1$2') "
+        f"ELSE {render_number(value)} END"
     )
-    return F.when(value == F.rint(value), render_number(value)).otherwise(text)
 
 
-def divide(a: Column, b: Column) -> Column:
+def divide(a: str, b: str) -> str:
     """True division of doubles; a zero divisor gives an infinity or NaN."""
-    a, b = a.cast("double"), b.cast("double")
+    a, b = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
     by_zero = (
-        F.when(F.isnan(a), F.lit(float("nan")))
-        .when(a > 0, F.lit(float("inf")))
-        .when(a < 0, F.lit(float("-inf")))
-        .when(a == 0, F.lit(float("nan")))
+        f"CASE WHEN isnan({a}) OR {a} = 0 THEN {_NAN} WHEN {a} > 0 THEN {_INFINITY} "
+        f"WHEN {a} < 0 THEN -{_INFINITY} END"
     )
-    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+    return f"CASE WHEN {b} = 0 THEN {by_zero} ELSE try_divide({a}, {b}) END"
 
 
-def modulo(a: Column, b: Column) -> Column:
-    """Remainder with the sign of the divisor; a zero divisor gives NaN (doubles) or NULL."""
-    rest = F.try_mod(a, b)
-    return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
+def modulo(a: str, b: str) -> str:
+    """Remainder with the sign of the divisor; a zero divisor gives NULL."""
+    rest = f"try_mod({a}, {b})"
+    return (
+        f"CASE WHEN {rest} = 0 THEN abs({rest}) WHEN ({rest} < 0) = ({b} < 0) THEN {rest} "
+        f"ELSE {rest} + {b} END"
+    )
 
 
-def modulo_double(a: Column, b: Column) -> Column:
-    a, b = a.cast("double"), b.cast("double")
-    return F.when((b == 0) & a.isNotNull(), F.lit(float("nan"))).otherwise(modulo(a, b))
+def modulo_double(a: str, b: str) -> str:
+    """The same for doubles; a zero divisor gives NaN."""
+    a, b = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
+    return f"CASE WHEN {b} = 0 AND {a} IS NOT NULL THEN {_NAN} ELSE {modulo(a, b)} END"

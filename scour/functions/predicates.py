@@ -86,7 +86,7 @@ def _build(condition: Mapping, types: Mapping[str, T.DataType]) -> Column:
 
 
 def _leaf(operator: str, name: str, dtype: T.DataType, value) -> Column:
-    missing = is_missing(name, dtype)
+    missing = F.expr(is_missing(name, dtype))
     if operator == "is_null":
         return missing
     if operator == "is_not_null":
@@ -121,7 +121,7 @@ def _member(name: str, dtype: T.DataType, values: Sequence) -> Column:
     column = ref(name)
     member = column.isNotNull() & column.isin(*literals) if literals else F.lit(False)
     if any(value is None or _is_nan(value) for value in values):
-        member = member | is_missing(name, dtype)
+        member = member | F.expr(is_missing(name, dtype))
     return member
 
 

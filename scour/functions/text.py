@@ -1,9 +1,8 @@
-"""Text styles as codegen-friendly column expressions."""
+"""Text styles as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from scour.schema import literal
 
 # The characters that count as white space at the ends of a text.
 WHITE_SPACE = (
@@ -21,50 +20,47 @@ _CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 _RESTART = "\ufdd0"
 
 
-def strip(column: Column) -> Column:
-    return F.btrim(column, F.lit(WHITE_SPACE))
+def matches(value: str, pattern: str) -> str:
+    return f"({value} RLIKE {literal(pattern)})"
 
 
-def collapse_whitespace(column: Column) -> Column:
-    return F.trim(F.regexp_replace(column, _SPACE_RUN, " "))
+def strip(value: str) -> str:
+    return f"btrim({value}, {literal(WHITE_SPACE)})"
 
 
-def title(column: Column) -> Column:
+def collapse_whitespace(value: str) -> str:
+    return f"trim(regexp_replace({value}, {literal(_SPACE_RUN)}, ' '))"
+
+
+def title(value: str) -> str:
     """Upper-case every letter that follows a non-letter, lower-case the others.
 
     `initcap` restarts after a blank only, so a marked blank goes in front of each letter that
     follows something else, and comes out again afterwards.
     """
-    marked = F.regexp_replace(
-        F.lower(column), f"(?<![{_CASED}])([{_CASED}])", f"{_RESTART} $1"
-    )
-    return F.replace(F.initcap(marked), F.lit(f"{_RESTART} "), F.lit(""))
+    start = literal(f"(?<![{_CASED}])([{_CASED}])")
+    marked = f"regexp_replace(lower({value}), {start}, '{_RESTART} $1')"
+    return f"replace(initcap({marked}), '{_RESTART} ', '')"
 
 
-def text_key(column: Column) -> Column:
+def text_key(value: str) -> str:
     """Spellings with the same key are variants of one value."""
-    return F.lower(strip(column))
+    return f"lower({strip(value)})"
 
 
-def normalize(column: Column, style: str) -> Column:
+def normalize(value: str, style: str) -> str:
     """The style alone; only `strip` and `collapse_whitespace` touch white space."""
     if style not in NORMALIZE_STYLES:
         raise ValueError(f"Unknown text style {style!r}; use one of {', '.join(NORMALIZE_STYLES)}")
-    styles = {
-        "strip": strip,
-        "collapse_whitespace": collapse_whitespace,
-        "lower": F.lower,
-        "upper": F.upper,
-        "title": title,
-    }
-    return styles[style](column)
+    if style in ("lower", "upper"):
+        return f"{style}({value})"
+    return {"strip": strip, "collapse_whitespace": collapse_whitespace, "title": title}[style](value)
 
 
-def standardize(column: Column, style: str) -> Column:
+def standardize(value: str, style: str) -> str:
     """The style after stripping the ends."""
     if style not in STANDARDIZE_STYLES:
         raise ValueError(
             f"Unknown text style {style!r}; use one of {', '.join(STANDARDIZE_STYLES)}"
         )
-    stripped = strip(column)
-    return stripped if style == "strip" else normalize(stripped, style)
+    return strip(value) if style == "strip" else normalize(strip(value), style)

@@ -1,11 +1,9 @@
-"""Units of measure: spelling, category and conversion as lookups in literal maps."""
+"""Units of measure: spelling, category and conversion as lookups in literal maps. SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from scour.functions.text import strip
+from scour.schema import literal
 
 # Category, then its units with the factor to the category's base unit.
 UNIT_FACTORS = {
@@ -40,19 +38,25 @@ FACTOR = {unit: factor for units in UNIT_FACTORS.values() for unit, factor in un
 _QUANTITY = r"^([-+]?\d+(?:\.\d+)?)\s*([a-zA-Z]+)$"
 
 
-def _lookup(table: dict, key: Column) -> Column:
-    entries = [F.lit(item) for pair in table.items() for item in pair]
-    return F.try_element_at(F.create_map(*entries), key)
+def _lookup(table: dict, key: str) -> str:
+    entries = ", ".join(
+        f"{literal(name)}, {literal(value) if isinstance(value, str) else f'{value!r}D'}"
+        for name, value in table.items()
+    )
+    return f"try_element_at(map({entries}), {key})"
 
 
-def normalize_unit(unit: Column) -> Column:
-    spelled = F.lower(strip(unit))
-    return F.coalesce(_lookup(CANONICAL, spelled), spelled)
+def normalize_unit(unit: str) -> str:
+    spelled = f"lower({strip(unit)})"
+    return f"coalesce({_lookup(CANONICAL, spelled)}, {spelled})"
 
 
-def unit_category(unit: Column) -> Column:
-    category = _lookup(CATEGORY, normalize_unit(unit))
-    return F.coalesce(category, F.when(unit.isNotNull(), UNKNOWN_CATEGORY))
+def unit_category(unit: str) -> str:
+    """Of a unit in canonical spelling."""
+    return (
+        f"coalesce({_lookup(CATEGORY, unit)}, "
+        f"CASE WHEN {unit} IS NOT NULL THEN '{UNKNOWN_CATEGORY}' END)"
+    )
 
 
 def unit_of_name(unit: str) -> str:
@@ -61,25 +65,21 @@ def unit_of_name(unit: str) -> str:
     return CANONICAL.get(spelled, spelled)
 
 
-def convert_value(value: Column, source: Column, target: str) -> Column:
+def convert_value(value: str, source: str, target: str) -> str:
     """`value` in the target unit; NULL if the units have no common category."""
     unit = unit_of_name(target)
     if unit not in FACTOR:
-        return F.lit(None).cast("double")
+        return "CAST(NULL AS DOUBLE)"
     same_kind = {name: factor for name, factor in FACTOR.items() if CATEGORY[name] == CATEGORY[unit]}
     factor = _lookup(same_kind, normalize_unit(source))
-    return value.cast("double") * factor / F.lit(FACTOR[unit])
-
-
-def has_unit(text: Column) -> Column:
-    """A number directly followed by letters, and nothing else."""
-    return strip(text).rlike(_QUANTITY)
+    return f"CAST({value} AS DOUBLE) * {factor} / {FACTOR[unit]!r}D"
 
 
-def quantity_number(text: Column) -> Column:
-    return F.regexp_extract(strip(text), _QUANTITY, 1)
+def quantity_number(text: str) -> str:
+    """The number of a (stripped) quantity; empty where the text is none."""
+    return f"regexp_extract({text}, {literal(_QUANTITY)}, 1)"
 
 
-def quantity_unit(text: Column) -> Column:
-    """The unit as spelled; empty where the text is not a quantity."""
-    return F.regexp_extract(strip(text), _QUANTITY, 2)
+def quantity_unit(text: str) -> str:
+    """The unit as spelled; empty where the text is no quantity."""
+    return f"regexp_extract({text}, {literal(_QUANTITY)}, 2)"

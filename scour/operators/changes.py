@@ -2,7 +2,8 @@
 
 An operator describes what it does as a list of `Edit`s. `apply_edits` turns them into the cleaned
 table, `edit_log` into one log row per changed cell, both from a single pass over the source and
-without joining the two versions.
+without joining the two versions. Cleaned values get a projection of their own, because they are
+compared, written and logged but should be computed once.
 """
 
 from __future__ import annotations
@@ -16,53 +17,86 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scour.functions.missing import is_missing, known
-from scour.schema import column_types, is_float, is_numeric, ref, require_row_id
+from scour.schema import column_types, is_float, is_numeric, literal, quoted, ref, require_row_id
 
-LOG_COLUMNS = ("row_id", "column", "original_value", "cleaned_value", "reason")
 WHOLE_ROW = "*"
 REMOVED = "Removed"
 
 
 @dataclass(frozen=True)
 class Edit:
-    """How one column changes: `value` is the new column, the rest feeds the log."""
+    """How one column changes; everything is SQL text over the source columns.
+
+    A cell changes where `cleaned` is not NULL and differs from `original`. `value` is the new
+    column if it is not the cleaned text itself, `source` what stays in unchanged cells.
+    """
 
     column: str
-    value: Column
-    changed: Column
-    before: Column
-    after: Column
-    reason: Column
+    source: str
+    original: str
+    cleaned: str
+    reason: str
+    value: str | None = None
+    # A number that `cleaned` uses more than once, under the name `NUMBER`.
+    number: str | None = None
+
+
+NUMBER = "__number"
+
+
+def _staged(df: DataFrame, edits: Sequence[Edit]) -> DataFrame:
+    """The table with the cleaned values next to the source columns."""
+    numbers = {
+        f"{NUMBER}_{i}": edit.number for i, edit in enumerate(edits) if edit.number is not None
+    }
+    if numbers:
+        df = df.select("*", *[F.expr(number).alias(name) for name, number in numbers.items()])
+    return df.select(
+        "*",
+        *[
+            F.expr(edit.cleaned.replace(NUMBER, f"{NUMBER}_{i}") if edit.number else edit.cleaned)
+            .alias(f"__cleaned_{i}")
+            for i, edit in enumerate(edits)
+        ],
+    )
+
+
+def _changed(edit: Edit, i: int) -> str:
+    return f"(__cleaned_{i} <> {edit.original})"
 
 
 def apply_edits(df: DataFrame, edits: Sequence[Edit]) -> DataFrame:
     if not edits:
         return df
-    return df.withColumns({edit.column: edit.value for edit in edits})
+    by_column = {edit.column: (i, edit) for i, edit in enumerate(edits)}
+    result = []
+    for name in df.columns:
+        if name not in by_column:
+            result.append(ref(name))
+            continue
+        i, edit = by_column[name]
+        value = edit.value or (
+            f"CASE WHEN {_changed(edit, i)} THEN __cleaned_{i} ELSE {edit.source} END"
+        )
+        result.append(F.expr(value).alias(name))
+    return _staged(df, edits).select(*result)
 
 
 def edit_log(df: DataFrame, edits: Sequence[Edit], row_id: str) -> DataFrame:
-    """One row per changed cell. Untouched rows are dropped before anything is exploded."""
+    """One row per changed cell."""
     require_row_id(df, row_id, "A change log")
     if not edits:
         return empty_log(df, row_id)
-    entries = [
-        F.when(
-            edit.changed,
-            F.struct(
-                F.lit(edit.column).alias("column"),
-                edit.before.cast("string").alias("original_value"),
-                edit.after.cast("string").alias("cleaned_value"),
-                edit.reason.cast("string").alias("reason"),
-            ),
-        )
-        for edit in edits
-    ]
-    touched = reduce(Column.__or__, [F.coalesce(edit.changed, F.lit(False)) for edit in edits])
+    entries = ", ".join(
+        f"CASE WHEN {_changed(edit, i)} THEN named_struct('column', {literal(edit.column)}, "
+        f"'original_value', {edit.original}, 'cleaned_value', __cleaned_{i}, "
+        f"'reason', {edit.reason}) END"
+        for i, edit in enumerate(edits)
+    )
     return (
-        df.where(touched)
-        .select(ref(row_id).alias("row_id"), F.explode(F.array(*entries)).alias("entry"))
-        .where(F.col("entry").isNotNull())
+        _staged(df, edits)
+        .select(ref(row_id).alias("row_id"), F.expr(f"explode(array({entries}))").alias("entry"))
+        .where("entry IS NOT NULL")
         .select("row_id", "entry.*")
     )
 
@@ -71,30 +105,39 @@ def removal_log(rows: DataFrame, row_id: str, what: str, reason: str) -> DataFra
     """One log row for each removed row."""
     return rows.select(
         ref(row_id).alias("row_id"),
-        F.lit(WHOLE_ROW).alias("column"),
-        F.lit(what).alias("original_value"),
-        F.lit(REMOVED).alias("cleaned_value"),
-        F.lit(reason).alias("reason"),
+        F.expr(f"'{WHOLE_ROW}' AS `column`"),
+        F.expr(f"{literal(what)} AS original_value"),
+        F.expr(f"'{REMOVED}' AS cleaned_value"),
+        F.expr(f"{literal(reason)} AS reason"),
     )
 
 
 def empty_log(df: DataFrame, row_id: str) -> DataFrame:
-    return removal_log(df.where(F.lit(False)), row_id, "", "")
+    return removal_log(df.where("false"), row_id, "", "")
 
 
 def union_logs(logs: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, logs)
 
 
-def cells_differ(before: Column, before_type: T.DataType, after: str, after_type: T.DataType) -> Column:
-    """Whether a cell changed. Missing to missing is no change, and neither is 1 to 1.0."""
-    old = F.nanvl(before, F.lit(None).cast(before_type)) if is_float(before_type) else before
+def cells_differ(before: str, before_type: T.DataType, after: str, after_type: T.DataType) -> str:
+    """Whether a cell changed. Missing to missing is no change, and neither is 1 to 1.0.
+
+    `before` is SQL text, `after` a column name.
+    """
+    old = f"nanvl({before}, NULL)" if is_float(before_type) else before
     new = known(after, after_type)
     if before_type == after_type or (is_numeric(before_type) and is_numeric(after_type)):
-        return ~old.eqNullSafe(new)
-    return old.isNotNull() | new.isNotNull()
+        return f"NOT ({old} <=> {new})"
+    return f"({old} IS NOT NULL OR {new} IS NOT NULL)"
 
 
 def any_missing(df: DataFrame, columns: Sequence[str]) -> Column:
     types = column_types(df.schema)
-    return reduce(Column.__or__, [is_missing(name, types[name]) for name in columns], F.lit(False))
+    return F.expr(" OR ".join(is_missing(name, types[name]) for name in columns) or "false")
+
+
+def known_columns(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """The columns as grouping keys: missing values are one key."""
+    types = column_types(df.schema)
+    return [F.expr(f"{known(name, types[name])} AS {quoted(name)}") for name in columns]

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scour.functions.missing import is_missing, known
+from scour.functions.missing import is_missing
 from scour.operators import columns as column_ops
 from scour.operators import dedup, missing
-from scour.operators.changes import apply_edits, edit_log, empty_log, union_logs
+from scour.operators.changes import (
+    apply_edits,
+    edit_log,
+    empty_log,
+    known_columns,
+    union_logs,
+)
 from scour.schema import column_types, data_columns, require_row_id
 from scour.streaming.guards import require_batch
 
@@ -94,32 +99,25 @@ def clean_stats(
     """
     names = data_columns(present, row_id)
     types = column_types(present.schema)
-    zero = F.lit(0).cast("bigint")
+    kept = "count(1)"
     if remove_duplicates:
-        keys = [known(name, types[name]).alias(name) for name in names]
-        present = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        kept_rows = F.coalesce(F.sum("__n"), zero)
-    else:
-        kept_rows = F.count(F.lit(1))
-    gaps = reduce(
-        Column.__add__, [is_missing(name, types[name]).cast("bigint") for name in names], zero
-    )
+        present = present.groupBy(*known_columns(present, names)).agg(F.expr("count(1) AS __n"))
+        kept = "coalesce(sum(__n), 0)"
+    gaps = " + ".join(f"CAST({is_missing(name, types[name])} AS BIGINT)" for name in names) or "0"
     after = present.agg(
-        zero.alias("before"),
-        kept_rows.alias("kept"),
-        F.count(F.lit(1)).alias("after"),
-        F.coalesce(F.sum(gaps), zero).alias("gaps"),
+        F.expr("CAST(0 AS BIGINT) AS before"),
+        F.expr(f"{kept} AS kept"),
+        F.expr("count(1) AS after"),
+        F.expr(f"coalesce(sum({gaps}), 0) AS gaps"),
     )
     before = df.agg(
-        F.count(F.lit(1)).alias("before"), zero.alias("kept"), zero.alias("after"), zero.alias("gaps")
-    )
-    total = before.unionByName(after).agg(
-        *[F.sum(name).alias(name) for name in ("before", "kept", "after", "gaps")]
+        F.expr("count(1) AS before"),
+        *[F.expr(f"CAST(0 AS BIGINT) AS {name}") for name in ("kept", "after", "gaps")],
     )
-    return total.select(
-        F.col("before").alias("rows_before"),
-        F.col("after").alias("rows_after"),
-        (F.col("before") - F.col("kept")).alias("missing_rows_dropped"),
-        (F.col("kept") - F.col("after")).alias("duplicate_rows_removed"),
-        F.col("gaps").alias("remaining_missing"),
+    return before.unionByName(after).agg(
+        F.expr("sum(before) AS rows_before"),
+        F.expr("sum(after) AS rows_after"),
+        F.expr("sum(before) - sum(kept) AS missing_rows_dropped"),
+        F.expr("sum(kept) - sum(after) AS duplicate_rows_removed"),
+        F.expr("sum(gaps) AS remaining_missing"),
     )

@@ -5,12 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scour.functions import dates, numbers, text, units
-from scour.operators.changes import Edit, apply_edits, edit_log
-from scour.schema import column_types, data_columns, is_text, ref, require_columns, text_columns
+from scour.operators.changes import NUMBER, Edit, apply_edits, edit_log
+from scour.schema import (
+    column_types,
+    data_columns,
+    is_text,
+    literal,
+    quoted,
+    require_columns,
+    text_columns,
+)
 
 ALL_TEXT = "all_string"
 
@@ -40,23 +48,15 @@ def normalize_text(
             raise TypeError(
                 f"normalize_text cannot change {name!r}: it is {types[name].simpleString()}, not text"
             )
-    return df.withColumns({name: text.normalize(ref(name), style) for name in columns})
+    return df.withColumns(
+        {name: F.expr(text.normalize(quoted(name), style)) for name in columns}
+    )
 
 
-def _source(df: DataFrame, column: str) -> Column:
+def _source(df: DataFrame, column: str) -> str:
     require_columns(df, [column])
-    return ref(column) if is_text(column_types(df.schema)[column]) else ref(column).cast("string")
-
-
-def _edit(column: str, source: Column, original: Column, cleaned: Column, changed: Column, reason):
-    return Edit(
-        column=column,
-        value=F.when(changed, cleaned).otherwise(source),
-        changed=changed,
-        before=original,
-        after=cleaned,
-        reason=reason if isinstance(reason, Column) else F.lit(reason),
-    )
+    is_plain_text = is_text(column_types(df.schema)[column])
+    return quoted(column) if is_plain_text else f"CAST({quoted(column)} AS STRING)"
 
 
 def standardize_text_edits(df: DataFrame, column: str, style: str) -> list[Edit]:
@@ -64,9 +64,9 @@ def standardize_text_edits(df: DataFrame, column: str, style: str) -> list[Edit]
     dtype = column_types(df.schema)[column]
     if not is_text(dtype):
         raise TypeError(f"Column {column!r} is {dtype.simpleString()}, not text")
-    cleaned = text.standardize(ref(column), style)
+    cleaned = text.standardize(quoted(column), style)
     return [
-        _edit(column, ref(column), ref(column), cleaned, ref(column) != cleaned, TEXT_REASONS[style])
+        Edit(column, quoted(column), quoted(column), cleaned, literal(TEXT_REASONS[style]))
     ]
 
 
@@ -76,21 +76,22 @@ def remove_units_edits(df: DataFrame, column: str, unit: str) -> list[Edit]:
     original = text.strip(source)
     # Quoted literally, whatever characters the unit has.
     pattern = r"(?iu)^([-+]?\d+(?:\.\d+)?)\s*" + re.escape(unit) + r"\s*$"
-    number = F.regexp_extract(original, pattern, 1)
-    cleaned = numbers.render_number(number.try_cast("double"))
-    return [_edit(column, source, original, cleaned, number != "", f"Removed {unit} unit")]
+    number = f"try_cast(regexp_extract({original}, {literal(pattern)}, 1) AS DOUBLE)"
+    cleaned = numbers.render_number(NUMBER)
+    reason = literal(f"Removed {unit} unit")
+    return [Edit(column, source, original, cleaned, reason, number=number)]
 
 
 def standardize_units_edits(df: DataFrame, column: str, target_unit: str) -> list[Edit]:
     """Quantities in a unit of the target's category are rewritten as `<number> <target unit>`."""
     source = _source(df, column)
     original = text.strip(source)
-    unit = units.quantity_unit(source)
-    number = units.quantity_number(source).try_cast("double")
+    unit = units.quantity_unit(original)
+    number = f"try_cast({units.quantity_number(original)} AS DOUBLE)"
     converted = units.convert_value(number, unit, target_unit)
-    cleaned = F.concat(numbers.render_rounded(converted), F.lit(f" {target_unit}"))
-    reason = F.concat(F.lit("Converted from "), unit, F.lit(f" to {target_unit}"))
-    return [_edit(column, source, original, cleaned, original != cleaned, reason)]
+    cleaned = f"concat({numbers.render_rounded(NUMBER)}, {literal(' ' + target_unit)})"
+    reason = f"concat('Converted from ', {unit}, {literal(' to ' + target_unit)})"
+    return [Edit(column, source, original, cleaned, reason, number=converted)]
 
 
 def date_format_edits(
@@ -102,7 +103,7 @@ def date_format_edits(
     parsed = dates.parse_date(source, day_first=interpretation == dates.DAY_FIRST)
     cleaned = dates.render_date(parsed, target_format)
     reason = f"Converted date to {target_format} using user-selected interpretation"
-    return [_edit(column, source, original, cleaned, original != cleaned, reason)]
+    return [Edit(column, source, original, cleaned, literal(reason))]
 
 
 def standardize_text(df: DataFrame, column: str, style: str) -> DataFrame:
@@ -117,7 +118,7 @@ def remove_units(df: DataFrame, column: str, unit: str, numeric: bool = False) -
     """`numeric` turns the result into a double column; what is still no number becomes NULL."""
     cleaned = apply_edits(df, remove_units_edits(df, column, unit))
     if numeric:
-        cleaned = cleaned.withColumn(column, numbers.to_double(ref(column)))
+        cleaned = cleaned.withColumn(column, F.expr(numbers.to_double(quoted(column))))
     return cleaned
 
 

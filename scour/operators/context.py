@@ -6,13 +6,14 @@ facts, which hold one row per column of the table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scour.functions import dates
 from scour.functions.missing import as_text, known
-from scour.operators.profile import inline_rows, value_counts
+from scour.functions.text import matches
+from scour.operators.profile import inline_rows, value_counts, weighted
 from scour.schema import (
     column_types,
     data_columns,
@@ -20,6 +21,7 @@ from scour.schema import (
     is_numeric,
     is_temporal,
     is_text,
+    literal,
 )
 from scour.streaming.guards import require_batch
 
@@ -57,78 +59,57 @@ def _facts(df: DataFrame, names: list[str]) -> DataFrame:
         dtype = types[name]
         boolean = isinstance(dtype, T.BooleanType)
         rows.append(
-            F.struct(
-                F.lit(position).alias("position"),
-                F.lit(name).alias("column"),
-                F.lit(dtype.simpleString()).alias("dtype"),
-                F.lit(is_text(dtype)).alias("is_text"),
-                F.lit(is_numeric(dtype) or boolean).alias("is_numeric"),
-                F.lit(is_integral(dtype)).alias("is_integral"),
-                F.lit(is_temporal(dtype)).alias("is_temporal"),
-                F.lit(boolean).alias("is_boolean"),
-            )
+            f"named_struct('position', {position}, 'column', {literal(name)}, "
+            f"'dtype', '{dtype.simpleString()}', 'is_text', {is_text(dtype)}, "
+            f"'is_numeric', {is_numeric(dtype) or boolean}, 'is_integral', {is_integral(dtype)}, "
+            f"'is_temporal', {is_temporal(dtype)}, 'is_boolean', {boolean})"
         )
     return inline_rows(df.sparkSession.range(1), rows)
 
 
-def _typed(names: list[str], df: DataFrame, test) -> Column:
+def _of_type(df: DataFrame, names: list[str], test) -> str:
     types = column_types(df.schema)
-    chosen = [name for name in names if test(types[name])]
-    return F.col("column").isin(*chosen) if chosen else F.lit(False)
+    chosen = ", ".join(literal(name) for name in names if test(types[name]))
+    return f"(column IN ({chosen}))" if chosen else "false"
 
 
 def _column_stats(df: DataFrame, names: list[str], counts: DataFrame) -> DataFrame:
     """One row per column from its distinct values."""
-    value, n = F.col("value"), F.col("n")
-    numeric = _typed(names, df, is_numeric)
-    temporal = _typed(names, df, is_temporal)
-    texts = _typed(names, df, is_text)
-    number = F.when(numeric, value.try_cast("double"))
-    finite = F.when((number > float("-inf")) & (number < float("inf")), number)
-    date = F.when(temporal, value.try_cast("timestamp_ntz")).when(
-        texts, dates.parse_date(value, day_first=False)
-    )
-    base = counts.select(
+    words = ", ".join(map(literal, TRUTH_WORDS))
+    digits = ", ".join(map(literal, TRUTH_NUMBERS))
+    is_text_column = _of_type(df, names, is_text)
+    read = counts.selectExpr(
         "column",
         "value",
         "n",
-        number.alias("number"),
-        finite.alias("finite"),
-        date.alias("date"),
-        (texts & value.rlike(EMAIL)).alias("is_email"),
-        (texts & value.rlike(PHONE)).alias("is_phone"),
-        F.lower(value).isin(*TRUTH_WORDS).alias("is_truth_word"),
-        value.isin(*TRUTH_NUMBERS).alias("is_truth_number"),
-    )
-    present = value.isNotNull()
-    weighted = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0).cast("bigint"))
-    return base.groupBy("column").agg(
-        F.sum(n).alias("rows"),
-        weighted(~present).alias("missing"),
-        F.count_if(present).alias("distinct_values"),
-        # An infinite minimum or maximum is reported as none, not replaced by the next value.
-        F.when(F.min("number") == F.min("finite"), F.min("finite")).alias("min_value"),
-        F.when(F.max("number") == F.max("finite"), F.max("finite")).alias("max_value"),
-        weighted(F.col("date").isNotNull()).alias("dates"),
-        F.min("date").alias("date_min"),
-        F.max("date").alias("date_max"),
-        weighted(F.col("is_email")).alias("emails"),
-        weighted(F.col("is_phone")).alias("phones"),
-        F.count_if(F.col("is_truth_word")).alias("truth_words"),
-        F.count_if(F.col("is_truth_number")).alias("truth_numbers"),
-    )
-
-
-def _with_dates(stats: DataFrame) -> DataFrame:
-    """Text columns are dates only if more than 95 % of the present values parse."""
-    present = F.col("rows") - F.col("missing")
-    is_date = (F.col("is_temporal") & (present > 0)) | (
-        F.col("is_text") & (F.col("dates") > CONTEXT_DATE_SHARE * present)
+        f"CASE WHEN {_of_type(df, names, is_numeric)} THEN try_cast(value AS DOUBLE) END AS number",
+        f"CASE WHEN {_of_type(df, names, is_temporal)} THEN try_cast(value AS TIMESTAMP_NTZ) "
+        f"WHEN {is_text_column} THEN {dates.parse_date('value', day_first=False)} END AS date",
+        f"{is_text_column} AND {matches('value', EMAIL)} AS is_email",
+        f"{is_text_column} AND {matches('value', PHONE)} AS is_phone",
+        f"lower(value) IN ({words}) AS is_truth_word",
+        f"value IN ({digits}) AS is_truth_number",
     )
-    return (
-        stats.withColumn("is_date", F.coalesce(is_date, F.lit(False)))
-        .withColumn("date_min", F.when(F.col("is_date"), F.col("date_min")))
-        .withColumn("date_max", F.when(F.col("is_date"), F.col("date_max")))
+    finite = "CASE WHEN abs(number) < double('Infinity') THEN number END"
+    return read.groupBy("column").agg(
+        *map(
+            F.expr,
+            [
+                "sum(n) AS rows",
+                f"{weighted('value IS NULL')} AS missing",
+                "count(value) AS distinct_values",
+                # An infinite minimum or maximum is reported as none, not as the next value.
+                f"CASE WHEN min(number) = min({finite}) THEN min(number) END AS min_value",
+                f"CASE WHEN max(number) = max({finite}) THEN max(number) END AS max_value",
+                f"{weighted('date IS NOT NULL')} AS dates",
+                "min(date) AS date_min",
+                "max(date) AS date_max",
+                f"{weighted('is_email')} AS emails",
+                f"{weighted('is_phone')} AS phones",
+                "count_if(is_truth_word) AS truth_words",
+                "count_if(is_truth_number) AS truth_numbers",
+            ],
+        )
     )
 
 
@@ -137,108 +118,97 @@ def _stats_table(df: DataFrame, row_id: str | None) -> tuple[DataFrame, DataFram
     require_batch(df, "dataset_context")
     names = data_columns(df, row_id)
     counts = value_counts(df, names)
-    # One row per column of the table on either side.
-    joined = _facts(df, names).join(
-        F.broadcast(_column_stats(df, names, counts)), "column", "left"
+    tallies = (
+        "rows", "missing", "distinct_values", "dates", "emails", "phones", "truth_words",
+        "truth_numbers",
     )
-    zero = F.lit(0).cast("bigint")
-    filled = joined.withColumns(
-        {
-            name: F.coalesce(name, zero)
-            for name in (
-                "rows", "missing", "distinct_values", "dates", "emails", "phones",
-                "truth_words", "truth_numbers",
-            )
-        }
+    # One row per column of the table on either side.
+    joined = _facts(df, names).join(F.broadcast(_column_stats(df, names, counts)), "column", "left")
+    filled = joined.withColumns({name: F.expr(f"coalesce({name}, 0)") for name in tallies})
+    # Text columns are dates only if more than 95 % of the present values parse.
+    is_date = (
+        "(is_temporal AND rows > missing) "
+        f"OR (is_text AND dates > {CONTEXT_DATE_SHARE}D * (rows - missing))"
     )
-    share = F.when(F.col("rows") > 0, F.col("missing") / F.col("rows")).otherwise(0.0)
-    return _with_dates(filled).withColumn("missing_fraction", share), counts
-
-
-def hint() -> Column:
-    """Over the statistics table; later matches of the same column win."""
-    distinct = F.col("distinct_values")
-    few = F.col("is_text") & ~F.col("is_date") & (distinct > 0) & (distinct < MAX_CATEGORIES)
-    unique_number = (
-        F.col("is_numeric") & (distinct == F.col("rows")) & (F.col("rows") > 0)
-    )
-    return (
-        F.when(F.col("is_boolean"), "Likely Boolean")
-        .when(F.col("is_date") | F.col("is_temporal"), "Likely Date")
-        .when(few, "Likely Categorical")
-        .when(unique_number, "Likely Identifier")
+    stats = filled.selectExpr(
+        *[name for name in filled.columns if name not in ("date_min", "date_max")],
+        "rows - missing AS present",
+        "CASE WHEN rows > 0 THEN missing / rows ELSE 0D END AS missing_fraction",
+        f"({is_date}) AS is_date",
+        f"CASE WHEN {is_date} THEN date_min END AS date_min",
+        f"CASE WHEN {is_date} THEN date_max END AS date_max",
     )
+    return stats, counts
 
 
-def _named(kind: str) -> Column:
-    return F.lower(F.col("column")).rlike("|".join(NAME_PARTS[kind]))
+# The hint of a column; more than one may apply, the first listed wins.
+HINT = f"""CASE
+    WHEN is_boolean THEN 'Likely Boolean'
+    WHEN is_date OR is_temporal THEN 'Likely Date'
+    WHEN is_text AND distinct_values > 0 AND distinct_values < {MAX_CATEGORIES}
+        THEN 'Likely Categorical'
+    WHEN is_numeric AND rows > 0 AND distinct_values = rows THEN 'Likely Identifier' END"""
 
 
-def role() -> Column:
-    """`struct(role, confidence, evidence)` over the statistics table; the first match decides."""
-    rows, distinct = F.col("rows"), F.col("distinct_values")
-    present = rows - F.col("missing")
-    text_like, numeric = F.col("is_text"), F.col("is_numeric")
-    unique = (distinct == rows) & (rows > 1)
-    two_truths = (numeric & (F.col("truth_numbers") == 2)) | (
-        text_like & (F.col("truth_words") == distinct)
-    ) | F.col("is_boolean")
-    in_age_range = (F.col("min_value") >= 0) & (F.col("max_value") <= 120)
-    phones = text_like & (F.col("phones") > 0.8 * present)
+def _named(kind: str) -> str:
+    return matches("lower(column)", "|".join(NAME_PARTS[kind]))
 
-    def outcome(name: str, confidence: str, evidence: str) -> Column:
-        return F.struct(
-            F.lit(name).alias("role"),
-            F.lit(confidence).alias("confidence"),
-            F.lit(evidence).alias("evidence"),
-        )
 
-    return (
-        F.when(present == 0, outcome("unknown", "low", "no present values"))
-        .when(unique & _named("identifier"),
-              outcome("identifier", "high", "every value is unique, identifier-like name"))
-        .when(F.col("is_date") & _named("date"),
-              outcome("date/datetime", "high", "values are dates, date-like name"))
-        .when(F.col("is_date"), outcome("date/datetime", "medium", "values are dates"))
-        .when(text_like & (F.col("emails") > 0.9 * present),
-              outcome("email", "high", "more than 90 % look like email addresses"))
-        .when(phones & _named("phone"),
-              outcome("phone", "high", "more than 80 % look like phone numbers, phone-like name"))
-        .when(phones, outcome("phone", "medium", "more than 80 % look like phone numbers"))
-        .when(numeric & _named("age") & in_age_range,
-              outcome("age", "high", "age-like name, values from 0 to 120"))
-        .when(numeric & _named("age"), outcome("age", "medium", "age-like name, unusual range"))
-        .when(numeric & _named("money"),
-              outcome("monetary/numeric amount", "high", "numeric with amount-like name"))
-        .when(numeric & _named("percentage"),
-              outcome("percentage", "high", "numeric with rate-like name"))
-        .when(text_like & _named("text"),
-              outcome("name/text", "high", "text with name-like name"))
-        .when((distinct == 2) & (_named("boolean") | two_truths),
-              outcome("boolean/binary", "high", "two values with a binary name or meaning"))
-        .when((distinct < MAX_CATEGORIES) & (distinct < rows) & _named("category"),
-              outcome("categorical", "high", "few values, category-like name"))
-        .when(unique & (F.col("is_integral") | text_like),
-              outcome("identifier", "medium", "every value is unique"))
-        .when(numeric, outcome("numeric", "low", "numeric without a more specific sign"))
-        .otherwise(outcome("unknown", "low", "no sign of a specific role"))
-    )
+_UNIQUE = "(rows > 1 AND distinct_values = rows)"
+_PHONES = "(is_text AND phones > 0.8D * present)"
+_TWO_TRUTHS = (
+    "(is_boolean OR (is_numeric AND truth_numbers = 2) "
+    "OR (is_text AND truth_words = distinct_values))"
+)
+# Condition, role, confidence, evidence; the first condition that holds decides.
+ROLES = (
+    ("present = 0", "unknown", "low", "no present values"),
+    (f"{_UNIQUE} AND {_named('identifier')}",
+     "identifier", "high", "every value is unique, identifier-like name"),
+    (f"is_date AND {_named('date')}", "date/datetime", "high", "values are dates, date-like name"),
+    ("is_date", "date/datetime", "medium", "values are dates"),
+    ("is_text AND emails > 0.9D * present",
+     "email", "high", "more than 90 % look like email addresses"),
+    (f"{_PHONES} AND {_named('phone')}",
+     "phone", "high", "more than 80 % look like phone numbers, phone-like name"),
+    (_PHONES, "phone", "medium", "more than 80 % look like phone numbers"),
+    (f"is_numeric AND {_named('age')} AND min_value >= 0 AND max_value <= 120",
+     "age", "high", "age-like name, values from 0 to 120"),
+    (f"is_numeric AND {_named('age')}", "age", "medium", "age-like name, unusual range"),
+    (f"is_numeric AND {_named('money')}",
+     "monetary/numeric amount", "high", "numeric with amount-like name"),
+    (f"is_numeric AND {_named('percentage')}",
+     "percentage", "high", "numeric with rate-like name"),
+    (f"is_text AND {_named('text')}", "name/text", "high", "text with name-like name"),
+    (f"distinct_values = 2 AND ({_named('boolean')} OR {_TWO_TRUTHS})",
+     "boolean/binary", "high", "two values with a binary name or meaning"),
+    (f"distinct_values < {MAX_CATEGORIES} AND distinct_values < rows AND {_named('category')}",
+     "categorical", "high", "few values, category-like name"),
+    (f"{_UNIQUE} AND (is_integral OR is_text)",
+     "identifier", "medium", "every value is unique"),
+    ("is_numeric", "numeric", "low", "numeric without a more specific sign"),
+    ("true", "unknown", "low", "no sign of a specific role"),
+)
+ROLE = "CASE " + " ".join(
+    f"WHEN {test} THEN named_struct('role', {literal(name)}, 'confidence', {literal(confidence)}, "
+    f"'evidence', {literal(evidence)})"
+    for test, name, confidence, evidence in ROLES
+) + " END"
 
 
 def _top_categories(stats: DataFrame, counts: DataFrame) -> DataFrame:
     """The most frequent values of the columns with few values; at most 19 rows per column."""
     few = stats.where(
-        F.col("is_text") & ~F.col("is_date") & F.col("distinct_values").between(1, MAX_CATEGORIES - 1)
+        f"is_text AND NOT is_date AND distinct_values BETWEEN 1 AND {MAX_CATEGORIES - 1}"
     ).select("column")
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
     return (
-        counts.where(F.col("value").isNotNull())
+        counts.where("value IS NOT NULL")
         .join(F.broadcast(few), "column", "left_semi")
         .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= SHOWN_CATEGORIES)
+        .where(f"place <= {SHOWN_CATEGORIES}")
         .groupBy("column")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("ranked"))
-        .select("column", F.transform("ranked", lambda item: item["value"]).alias("top_categories"))
+        .agg(F.expr("array_sort(collect_list(struct(place, value))).value AS top_categories"))
     )
 
 
@@ -250,20 +220,16 @@ _STATISTICS = (
 
 def column_statistics(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     """Rows, missing cells and fraction, distinct values, number and date range per column."""
-    stats, _ = _stats_table(df, row_id)
-    return stats.select(*_STATISTICS)
+    return _stats_table(df, row_id)[0].select(*_STATISTICS)
 
 
 def column_hints(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
-    stats, _ = _stats_table(df, row_id)
-    return stats.select("position", "column", hint().alias("hint"))
+    return _stats_table(df, row_id)[0].selectExpr("position", "column", f"{HINT} AS hint")
 
 
 def column_roles(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
-    stats, _ = _stats_table(df, row_id)
-    return stats.select("position", "column", role().alias("found")).select(
-        "position", "column", "found.*"
-    )
+    found = _stats_table(df, row_id)[0].selectExpr("position", "column", f"{ROLE} AS found")
+    return found.select("position", "column", "found.*")
 
 
 def top_categories(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
@@ -273,13 +239,11 @@ def top_categories(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
 def dataset_context(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     """One row per column: statistics, hint, role and top categories."""
     stats, counts = _stats_table(df, row_id)
+    described = stats.selectExpr(*_STATISTICS, f"{HINT} AS hint", f"{ROLE} AS found")
     # At most one row per column of the table.
     top = F.broadcast(_top_categories(stats, counts))
-    return (
-        stats.withColumn("hint", hint())
-        .withColumn("found", role())
-        .join(top, "column", "left")
-        .select(*_STATISTICS, "hint", "found.*", "top_categories")
+    return described.join(top, "column", "left").select(
+        *_STATISTICS, "hint", "found.*", "top_categories"
     )
 
 
@@ -297,29 +261,22 @@ def find_value_columns(
     require_batch(df, "find_value_columns")
     if kind not in VALUE_KINDS:
         raise ValueError(f"Unknown kind {kind!r}; use one of {', '.join(VALUE_KINDS)}")
-    names = data_columns(df, row_id)
-    types = column_types(df.schema)
     if kind == "date":
-        return column_roles(df, row_id).where(F.col("role") == "date/datetime").select(
-            "position", "column"
-        )
-    if kind == "number":
-        names = [name for name in names if is_numeric(types[name])]
-        number = float(value)
-        ranges = [known(name, types[name]).cast("double") for name in names]
-        tests = [(F.min(r) <= number) & (F.max(r) >= number) for r in ranges]
-    else:
-        tests = [F.bool_or(as_text(name, types[name]) == str(value)) for name in names]
-    everything = data_columns(df, row_id)
+        roles = column_roles(df, row_id).where("role = 'date/datetime'")
+        return roles.select("position", "column")
+    types = column_types(df.schema)
+    names = data_columns(df, row_id)
+    tests = {}
+    for position, name in enumerate(names):
+        if kind == "text":
+            tests[position] = f"bool_or({as_text(name, types[name])} = {literal(str(value))})"
+        elif is_numeric(types[name]):
+            number = f"CAST({known(name, types[name])} AS DOUBLE)"
+            tests[position] = f"double('{float(value)!r}') BETWEEN min({number}) AND max({number})"
+    if not tests:
+        raise ValueError("The table has no column of this kind")
     rows = [
-        F.struct(
-            F.lit(everything.index(name)).alias("position"),
-            F.lit(name).alias("column"),
-            F.col(f"f{i}").alias("found"),
-        )
-        for i, name in enumerate(names)
+        f"named_struct('position', {i}, 'column', {literal(names[i])}, 'found', f{i})" for i in tests
     ]
-    if not rows:
-        raise ValueError("The table has no column of this kind")
-    found = df.agg(*[test.alias(f"f{i}") for i, test in enumerate(tests)])
+    found = df.agg(*[F.expr(f"{test} AS f{i}") for i, test in tests.items()])
     return inline_rows(found, rows).where("found").select("position", "column")

@@ -12,10 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scour.functions.missing import known
-from scour.operators.changes import removal_log
+from scour.operators.changes import known_columns, removal_log
 from scour.schema import (
-    column_types,
     data_columns,
     ref,
     require_columns,
@@ -39,16 +37,14 @@ def drop_duplicates(
     require_columns(df, columns)
     if order is None:
         order = [ref(require_row_id(df, row_id, "drop_duplicates")).asc()]
-    types = column_types(df.schema)
-    window = Window.partitionBy(*[known(name, types[name]) for name in columns]).orderBy(*order)
+    window = Window.partitionBy(*known_columns(df, columns)).orderBy(*order)
     # `= 1` on a row number becomes a group limit on both sides of the shuffle.
     return df.withColumn("__rank", F.row_number().over(window)).where("__rank = 1").drop("__rank")
 
 
 def _first_rows(df: DataFrame, row_id: str) -> DataFrame:
     """The data columns of each distinct row with its first row identity."""
-    types = column_types(df.schema)
-    keys = [known(name, types[name]).alias(name) for name in data_columns(df, row_id)]
+    keys = known_columns(df, data_columns(df, row_id))
     return df.groupBy(*keys).agg(F.min(ref(row_id)).alias(row_id))
 
 
@@ -56,9 +52,7 @@ def remove_duplicates(df: DataFrame, row_id: str | None = "row_id") -> DataFrame
     """Whole-row duplicates, keep the first. NaN comes back as NULL: both mean missing."""
     require_batch(df, "remove_duplicates")
     if row_id is None or row_id not in df.columns:
-        types = column_types(df.schema)
-        keys = [known(name, types[name]).alias(name) for name in df.columns]
-        return df.select(*keys).distinct()
+        return df.select(*known_columns(df, df.columns)).distinct()
     return _first_rows(df, row_id).select(*map(ref, df.columns))
 
 
@@ -81,13 +75,9 @@ def remove_duplicates_log(df: DataFrame, row_id: str = "row_id") -> DataFrame:
 def duplicate_count(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     """One row: all rows, distinct rows, and the rows beyond the first of each kind."""
     require_batch(df, "duplicate_count")
-    types = column_types(df.schema)
-    keys = [known(name, types[name]).alias(name) for name in data_columns(df, row_id)]
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    rows = F.coalesce(F.sum("__n"), F.lit(0).cast("bigint"))
-    distinct = F.count(F.lit(1))
-    return groups.agg(
-        rows.alias("rows"),
-        distinct.alias("distinct_rows"),
-        (rows - distinct).alias("duplicate_rows"),
+    keys = known_columns(df, data_columns(df, row_id))
+    return df.groupBy(*keys).agg(F.expr("count(1) AS __n")).agg(
+        F.expr("coalesce(sum(__n), 0) AS rows"),
+        F.expr("count(1) AS distinct_rows"),
+        F.expr("coalesce(sum(__n), 0) - count(1) AS duplicate_rows"),
     )

@@ -15,7 +15,15 @@ from pyspark.sql import functions as F
 from scour.functions.missing import as_text, is_missing, known
 from scour.operators.changes import Edit, any_missing, apply_edits, edit_log, removal_log
 from scour.operators.quantiles import exact_medians
-from scour.schema import column_types, data_columns, is_numeric, ref, require_columns
+from scour.schema import (
+    column_types,
+    data_columns,
+    is_numeric,
+    literal,
+    quoted,
+    require_columns,
+    unpivot,
+)
 from scour.streaming.guards import require_batch
 
 NUMERIC_STRATEGIES = ("mean", "median")
@@ -49,7 +57,9 @@ def _targets(df: DataFrame, column: str | None, row_id: str | None, numeric: boo
 def _present_counts(df: DataFrame, columns: Sequence[str], extra=()) -> tuple[dict, dict, object]:
     """Present and missing cells per column in one scan, along with any further aggregates."""
     types = column_types(df.schema)
-    present = [F.count(known(name, types[name])).alias(f"p{i}") for i, name in enumerate(columns)]
+    present = [
+        F.expr(f"count({known(name, types[name])}) AS p{i}") for i, name in enumerate(columns)
+    ]
     row = df.agg(F.count(F.lit(1)).alias("rows"), *present, *extra).first()
     counts = {name: row[f"p{i}"] for i, name in enumerate(columns)}
     return counts, {name: row["rows"] - n for name, n in counts.items()}, row
@@ -71,7 +81,7 @@ def fit_numeric(
     means = []
     if strategy == "mean":
         means = [
-            F.avg(known(name, types[name]).cast("double")).alias(f"m{i}")
+            F.expr(f"avg(CAST({known(name, types[name])} AS DOUBLE)) AS m{i}")
             for i, name in enumerate(columns)
         ]
     counts, gaps, row = _present_counts(df, columns, means)
@@ -101,21 +111,19 @@ def fit_categorical(
     if not fillable:
         return {}
     types = column_types(df.schema)
-    cells = [
-        F.struct(F.lit(name).alias("column"), as_text(name, types[name]).alias("value"))
-        for name in fillable
-    ]
-    best = (
-        df.select(F.explode(F.array(*cells)).alias("cell"))
-        .select("cell.*")
-        .where(F.col("value").isNotNull())
+    counted = (
+        unpivot(df, {name: as_text(name, types[name]) for name in fillable})
+        .where("value IS NOT NULL")
         .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("column")
-        .agg(F.min(F.struct((-F.col("n")).alias("rank"), F.col("value"))).alias("best"))
-        .select("column", "best.value")
+        .agg(F.expr("count(1) AS n"))
     )
-    return {row["column"]: row["value"] for row in best.collect()}
+    best = counted.agg(
+        *[
+            F.expr(f"min(CASE WHEN column = {literal(name)} THEN struct(-n AS r, value) END) AS b{i}")
+            for i, name in enumerate(fillable)
+        ]
+    ).first()
+    return {name: best[f"b{i}"]["value"] for i, name in enumerate(fillable)}
 
 
 def fill_edits(df: DataFrame, values: Mapping[str, object], strategy: str) -> list[Edit]:
@@ -124,23 +132,20 @@ def fill_edits(df: DataFrame, values: Mapping[str, object], strategy: str) -> li
     edits = []
     for name, value in values.items():
         dtype = types[name]
-        gap = is_missing(name, dtype)
         if is_numeric(dtype):
-            filled = F.coalesce(known(name, dtype).cast("double"), F.lit(float(value)))
             shown = repr(float(value))
+            filled = f"coalesce(CAST({known(name, dtype)} AS DOUBLE), double('{shown}'))"
         else:
-            filled = F.coalesce(ref(name), F.lit(value).cast(dtype))
             shown = value
+            filled = f"coalesce({quoted(name)}, CAST({literal(value)} AS {dtype.simpleString()}))"
         edits.append(
             Edit(
                 column=name,
+                source=quoted(name),
+                original=literal(MISSING_MARK),
+                cleaned=f"CASE WHEN {is_missing(name, dtype)} THEN {literal(shown)} END",
+                reason=literal(f"Filled missing value using {strategy}"),
                 value=filled,
-                changed=gap,
-                before=F.lit(MISSING_MARK),
-                after=F.lit(shown),
-                reason=F.lit(
-                    f"Filled missing value using {strategy}"
-                ),
             )
         )
     return edits

@@ -13,14 +13,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scour.functions import dates, numbers, text, units
 from scour.functions.missing import as_text, is_missing
 from scour.operators.dedup import duplicate_count
-from scour.schema import column_types, data_columns, is_temporal, ref, text_columns
+from scour.schema import (
+    column_types,
+    data_columns,
+    is_temporal,
+    literal,
+    ref,
+    text_columns,
+    unpivot,
+)
 from scour.streaming.guards import require_batch
 
 # The issue types in report order.
@@ -34,47 +41,31 @@ ISSUE_TYPES = (
 )
 
 DATE_SHARE = 0.8
+STYLES = ("title", "lower", "upper")
+LETTER = r"\p{L}"
 _NOTATIONS = (*dates.DATE_FORMATS, dates.UNKNOWN_FORMAT)
 
 
-def inline_rows(spark_row: DataFrame, rows: Sequence[Column]) -> DataFrame:
-    """One-row table to one row per struct."""
-    return spark_row.select(F.inline(F.array(*rows)))
+def inline_rows(spark_row: DataFrame, rows: Sequence[str]) -> DataFrame:
+    """One-row table to one row per entry; an entry is the SQL text of a struct."""
+    return spark_row.select(F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], row_id: str | None = None) -> DataFrame:
     """`(column, value, n, first_row)`: distinct values as text; missing is one NULL value."""
     require_batch(df, "value_counts")
     types = column_types(df.schema)
-    first = ref(row_id) if row_id is not None else F.lit(None).cast("bigint")
-    cells = [
-        F.struct(F.lit(name).alias("column"), as_text(name, types[name]).alias("value"))
-        for name in columns
-    ]
-    if not cells:
-        cells = [F.struct(F.lit("").alias("column"), F.lit("").alias("value"))]
-        df = df.where(F.lit(False))
+    first = ref(row_id) if row_id is not None else F.expr("CAST(NULL AS BIGINT)")
+    values = {name: as_text(name, types[name]) for name in columns}
+    if not values:
+        df, values = df.where("false"), {"": "''"}
     return (
-        df.select(first.alias("first_row"), F.explode(F.array(*cells)).alias("cell"))
-        .groupBy("cell.column", "cell.value")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("first_row").alias("first_row"))
+        unpivot(df, values, first.alias("first_row"))
+        .groupBy("column", "value")
+        .agg(F.expr("count(1) AS n"), F.expr("min(first_row) AS first_row"))
     )
 
 
-def column_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per column from the schema alone."""
-    types = column_types(df.schema)
-    rows = [
-        F.struct(
-            F.lit(position).alias("position"),
-            F.lit(name).alias("column"),
-            F.lit(types[name].simpleString()).alias("dtype"),
-        )
-        for position, name in enumerate(columns)
-    ]
-    return inline_rows(df.sparkSession.range(1), rows)
-
-
 # --- table and column reports ----------------------------------------------------------------
 
 
@@ -83,41 +74,35 @@ def missing_counts(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     require_batch(df, "missing_counts")
     types = column_types(df.schema)
     names = data_columns(df, row_id)
-    counts = [F.count_if(is_missing(name, types[name])).alias(f"m{i}") for i, name in enumerate(names)]
+    counts = [
+        F.expr(f"count_if({is_missing(name, types[name])}) AS m{i}") for i, name in enumerate(names)
+    ]
     rows = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(name).alias("column"),
-            F.lit(types[name].simpleString()).alias("dtype"),
-            F.col("rows"),
-            F.col(f"m{i}").alias("missing"),
-        )
+        f"named_struct('position', {i}, 'column', {literal(name)}, "
+        f"'dtype', '{types[name].simpleString()}', 'rows', rows, 'missing', m{i})"
         for i, name in enumerate(names)
     ]
-    return inline_rows(df.agg(F.count(F.lit(1)).alias("rows"), *counts), rows)
+    return inline_rows(df.agg(F.expr("count(1) AS rows"), *counts), rows)
 
 
 def inspect_columns(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     """Type, missing cells and missing percentage per column (0 for an empty table)."""
-    share = F.when(F.col("rows") > 0, F.col("missing") * 100.0 / F.col("rows")).otherwise(0.0)
-    return missing_counts(df, row_id).withColumn("missing_percent", share)
+    share = "CASE WHEN rows > 0 THEN missing * 100D / rows ELSE 0D END AS missing_percent"
+    return missing_counts(df, row_id).selectExpr("*", share)
 
 
 def inspect_table(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     """One row: rows, columns, duplicate rows."""
-    return duplicate_count(df, row_id).select(
-        "rows",
-        F.lit(len(data_columns(df, row_id))).alias("columns"),
-        "duplicate_rows",
-    )
+    columns = len(data_columns(df, row_id))
+    return duplicate_count(df, row_id).selectExpr("rows", f"{columns} AS columns", "duplicate_rows")
 
 
 # --- evidence per text column ----------------------------------------------------------------
 
 
-def _weighted(test: Column) -> Column:
+def weighted(test: str) -> str:
     """Rows (not distinct values) for which the test holds."""
-    return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0).cast("bigint"))
+    return f"coalesce(sum(CASE WHEN {test} THEN n END), 0)"
 
 
 def text_evidence(counts: DataFrame) -> DataFrame:
@@ -126,110 +111,77 @@ def text_evidence(counts: DataFrame) -> DataFrame:
     Units are summed up by their number (none, one, several) and by category, so the buffer stays
     small however many spellings there are.
     """
-    value = F.col("value")
-    present = value.isNotNull()
-    stripped = text.strip(value)
-    date = dates.parse_date(value, day_first=True)
-    notation = dates.detect_format(value)
-    unit = F.when(units.has_unit(value), units.normalize_unit(units.quantity_unit(value)))
-    category = F.when(unit.isNotNull(), units.unit_category(unit))
-    letters = stripped.rlike(r"\p{L}")
-    is_title = letters & (stripped == text.title(stripped))
-    is_lower = letters & ~is_title & (stripped == F.lower(stripped))
-    is_upper = letters & ~is_title & ~is_lower & (stripped == F.upper(stripped))
-    base = counts.select(
-        "column",
-        "value",
-        "n",
-        "first_row",
-        date.isNotNull().alias("is_date"),
-        notation.alias("notation"),
-        unit.alias("unit"),
-        category.alias("category"),
-        numbers.is_number(value).alias("is_number"),
-        numbers.is_plain_number(value).alias("is_plain"),
-        F.when(is_title, "title").when(is_lower, "lower").when(is_upper, "upper").alias("style"),
+    # Each step uses the one before several times, so each is a projection of its own.
+    stripped = counts.selectExpr(
+        "column", "value", "n", "first_row", f"{text.strip('value')} AS stripped"
     )
-    has_unit = F.col("unit").isNotNull()
-    evidence = base.groupBy("column").agg(
-        _weighted(~present).alias("missing"),
-        _weighted(present).alias("present"),
-        F.count_if(present).alias("distinct_values"),
-        _weighted(F.col("is_date")).alias("dates"),
-        _weighted(present & F.col("is_number")).alias("numbers"),
-        _weighted(has_unit).alias("with_unit"),
-        F.count_if(has_unit).alias("distinct_with_unit"),
-        _weighted(present & ~has_unit & F.col("is_plain")).alias("plain_numbers"),
-        F.min("unit").alias("first_unit"),
-        F.max("unit").alias("last_unit"),
-        *[
-            F.max(F.when(F.col("unit") == name, name)).alias(f"unit_{name}")
-            for name in units.FACTOR
-        ],
-        *[
-            F.max(F.when(F.col("category") == name, name)).alias(f"category_{name}")
-            for name in (*units.UNIT_FACTORS, units.UNKNOWN_CATEGORY)
-        ],
-        *[
-            _weighted(F.col("style") == style).alias(f"style_{style}")
-            for style in ("title", "lower", "upper")
-        ],
-        *[
-            F.count_if(F.col("notation") == name).alias(f"notation_{i}")
-            for i, name in enumerate(_NOTATIONS)
-        ],
-        *[
-            F.min(F.when(F.col("notation") == name, F.col("first_row"))).alias(f"seen_{i}")
-            for i, name in enumerate(_NOTATIONS)
-        ],
-    )
-    # Notations in order of first appearance.
-    seen = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(f"notation_{i}") > 0,
-                    F.struct(F.col(f"seen_{i}").alias("seen"), F.lit(name).alias("name")),
-                )
-                for i, name in enumerate(_NOTATIONS)
-            ]
-        )
+    read = stripped.selectExpr(
+        "column", "value", "n", "first_row", "stripped",
+        f"{dates.parse_date('stripped', day_first=True)} IS NOT NULL AS is_date",
+        f"{dates.detect_format('stripped')} AS notation",
+        f"nullif({units.quantity_unit('stripped')}, '') AS spelled_unit",
+        f"{numbers.is_number('stripped')} AS is_number",
+        f"{numbers.is_plain_number('stripped')} AS is_plain",
+        f"CASE WHEN {text.matches('stripped', LETTER)} THEN {text.title('stripped')} END AS titled",
     )
-    known_units = F.array_sort(F.array_compact(F.array(*[F.col(f"unit_{u}") for u in units.FACTOR])))
-    categories = F.array_sort(
-        F.array_compact(
-            F.array(
+    judged = read.selectExpr(
+        "column", "value", "n", "first_row", "is_date", "notation", "is_number", "is_plain",
+        f"{units.normalize_unit('spelled_unit')} AS unit",
+        "CASE WHEN titled IS NULL THEN NULL WHEN stripped = titled THEN 'title' "
+        "WHEN stripped = lower(stripped) THEN 'lower' "
+        "WHEN stripped = upper(stripped) THEN 'upper' END AS style",
+    ).selectExpr("*", f"{units.unit_category('unit')} AS category")
+    evidence = judged.groupBy("column").agg(
+        *map(
+            F.expr,
+            [
+                f"{weighted('value IS NULL')} AS missing",
+                f"{weighted('value IS NOT NULL')} AS present",
+                "count(value) AS distinct_values",
+                f"{weighted('is_date')} AS dates",
+                f"{weighted('is_number')} AS numbers",
+                f"{weighted('unit IS NOT NULL')} AS with_unit",
+                "count(unit) AS distinct_with_unit",
+                f"{weighted('unit IS NULL AND is_plain')} AS plain_numbers",
+                "min(unit) AS first_unit",
+                "coalesce(min(unit) = max(unit), false) AS one_unit",
+                # Both sets are bounded by the registry, not by the data.
+                f"array_sort(collect_set(CASE WHEN category <> '{units.UNKNOWN_CATEGORY}' "
+                "THEN unit END)) AS known_units",
+                "array_sort(collect_set(category)) AS categories",
+                *[f"{weighted(f'style = {literal(s)}')} AS style_{s}" for s in STYLES],
+                *[f"bool_or(notation = '{f}') AS has_{i}" for i, f in enumerate(_NOTATIONS)],
                 *[
-                    F.col(f"category_{name}")
-                    for name in (*units.UNIT_FACTORS, units.UNKNOWN_CATEGORY)
-                ]
-            )
+                    f"min(CASE WHEN notation = '{f}' THEN first_row END) AS seen_{i}"
+                    for i, f in enumerate(_NOTATIONS)
+                ],
+            ],
         )
     )
-    one_unit = F.col("first_unit") == F.col("last_unit")
-    return evidence.select(
+
+    seen = ", ".join(
+        f"CASE WHEN has_{i} THEN struct(seen_{i} AS seen, '{name}' AS name) END"
+        for i, name in enumerate(_NOTATIONS)
+    )
+    return evidence.selectExpr(
         "column", "missing", "present", "distinct_values", "dates", "numbers", "with_unit",
-        "distinct_with_unit", "plain_numbers", "first_unit",
-        F.coalesce(one_unit, F.lit(False)).alias("one_unit"),
-        known_units.alias("known_units"),
-        categories.alias("categories"),
-        "style_title", "style_lower", "style_upper",
-        F.transform(F.array_sort(seen), lambda item: item["name"]).alias("formats"),
+        "distinct_with_unit", "plain_numbers", "first_unit", "one_unit", "known_units",
+        "categories",
+        *[f"style_{style}" for style in STYLES],
+        # Notations in order of first appearance.
+        f"array_sort(array_compact(array({seen}))).name AS formats",
     )
 
 
-def _is_date_column() -> Column:
-    return (F.col("present") > 0) & (F.col("dates") >= DATE_SHARE * F.col("present"))
-
-
-def has_date_issue() -> Column:
-    return _is_date_column() & (F.size("formats") > 1)
-
-
-def has_unit_issue() -> Column:
-    """Some cells carry a unit, unless all of them carry the same one."""
-    uniform = (F.col("with_unit") == F.col("present")) & F.col("one_unit")
-    return (F.col("with_unit") > 0) & ~uniform
+# Conditions over `text_evidence`.
+IS_DATE_COLUMN = f"(present > 0 AND dates >= {DATE_SHARE}D * present)"
+HAS_DATE_ISSUE = f"({IS_DATE_COLUMN} AND size(formats) > 1)"
+# Some cells carry a unit, unless all of them carry the same one.
+HAS_UNIT_ISSUE = "(with_unit > 0 AND NOT (with_unit = present AND one_unit))"
+# Some values carry the one unit, all others are plain numbers.
+MIXED_NUMERIC = (
+    "(with_unit > 0 AND present > with_unit AND plain_numbers = present - with_unit AND one_unit)"
+)
 
 
 def text_counts(df: DataFrame, row_id: str | None) -> DataFrame:
@@ -238,33 +190,26 @@ def text_counts(df: DataFrame, row_id: str | None) -> DataFrame:
 
 def spelling_groups(counts: DataFrame) -> DataFrame:
     """Keys with more than one spelling: `(column, key, spellings, stripped_alike)`."""
-    stripped = text.strip(F.col("value"))
     return (
-        counts.where(F.col("value").isNotNull())
-        .groupBy("column", text.text_key(F.col("value")).alias("key"))
+        counts.where("value IS NOT NULL")
+        .selectExpr("column", "first_row", f"{text.strip('value')} AS stripped")
+        .groupBy("column", F.expr("lower(stripped) AS key"))
         .agg(
-            F.count(F.lit(1)).alias("spellings"),
-            F.min(F.xxhash64(stripped)).alias("low"),
-            F.max(F.xxhash64(stripped)).alias("high"),
+            F.expr("count(1) AS spellings"),
+            F.expr("min(xxhash64(stripped)) = max(xxhash64(stripped)) AS stripped_alike"),
             # Keeps this branch on the same shuffle as `text_evidence`.
-            F.min("first_row").alias("first_row"),
-        )
-        .where(F.col("spellings") > 1)
-        .select(
-            "column", "key", "spellings",
-            (F.col("low") == F.col("high")).alias("stripped_alike"), "first_row",
+            F.expr("min(first_row) AS first_row"),
         )
+        .where("spellings > 1")
     )
 
 
 def text_variants(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     """Every spelling of every inconsistent value: `(column, key, variant, n)`."""
-    counts = text_counts(df, row_id).where(F.col("value").isNotNull())
-    keyed = counts.withColumn("key", text.text_key(F.col("value")))
+    counts = text_counts(df, row_id).where("value IS NOT NULL")
+    keyed = counts.selectExpr("column", f"{text.text_key('value')} AS key", "value AS variant", "n")
     inconsistent = spelling_groups(counts).select("column", "key")
-    return keyed.join(inconsistent, ["column", "key"], "left_semi").select(
-        "column", "key", F.col("value").alias("variant"), "n"
-    )
+    return keyed.join(inconsistent, ["column", "key"], "left_semi")
 
 
 def date_columns(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
@@ -272,34 +217,26 @@ def date_columns(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     types = column_types(df.schema)
     found = (
         text_evidence(text_counts(df, row_id))
-        .where(_is_date_column())
-        .select("column", (F.col("dates") / F.col("present")).alias("date_share"))
+        .where(IS_DATE_COLUMN)
+        .selectExpr("column", "dates / present AS date_share")
     )
     typed = [name for name in data_columns(df, row_id) if is_temporal(types[name])]
     if typed:
-        counted = missing_counts(df.select(*map(ref, typed)), None)
-        found = found.unionByName(
-            counted.where(F.col("missing") < F.col("rows")).select(
-                "column", F.lit(1.0).alias("date_share")
-            )
-        )
+        counted = missing_counts(df.select(*map(ref, typed)), None).where("missing < rows")
+        found = found.unionByName(counted.selectExpr("column", "1D AS date_share"))
     return found
 
 
 def date_formats(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     """Date columns with more than one notation, in order of first appearance."""
-    return (
-        text_evidence(text_counts(df, row_id))
-        .where(has_date_issue())
-        .select("column", "formats")
-    )
+    return text_evidence(text_counts(df, row_id)).where(HAS_DATE_ISSUE).select("column", "formats")
 
 
 def embedded_units(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     """Columns with an embedded-unit issue and what is known about their units."""
     return (
         text_evidence(text_counts(df, row_id))
-        .where(has_unit_issue())
+        .where(HAS_UNIT_ISSUE)
         .select(
             "column", "present", "with_unit", "distinct_with_unit", "one_unit", "known_units",
             "categories",
@@ -310,26 +247,26 @@ def embedded_units(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
 def unit_values(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     """Every distinct value with a unit in the columns that have an issue: `(column, value, n)`."""
     counts = text_counts(df, row_id)
-    columns = text_evidence(counts).where(has_unit_issue()).select("column")
+    columns = text_evidence(counts).where(HAS_UNIT_ISSUE).select("column")
     # The side has at most one row per column of the table.
     return (
-        counts.where(units.has_unit(F.col("value")))
+        counts.selectExpr("column", f"{text.strip('value')} AS value", "n")
+        .where(f"{units.quantity_unit('value')} <> ''")
         .join(F.broadcast(columns), "column", "left_semi")
-        .select("column", text.strip(F.col("value")).alias("value"), "n")
         .groupBy("column", "value")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.expr("sum(n) AS n"))
     )
 
 
 # --- issues ------------------------------------------------------------------------------------
 
 
-def _issue(kind: str, column: Column, count: Column) -> list[Column]:
+def issue_columns(kind: str, column: str, count: str) -> list[str]:
     return [
-        F.lit(ISSUE_TYPES.index(kind) + 1).alias("issue_rank"),
-        F.lit(kind).alias("type"),
-        column.cast("string").alias("column"),
-        count.cast("bigint").alias("count"),
+        f"{ISSUE_TYPES.index(kind) + 1} AS issue_rank",
+        f"'{kind}' AS type",
+        f"CAST({column} AS STRING) AS column",
+        f"CAST({count} AS BIGINT) AS count",
     ]
 
 
@@ -344,34 +281,29 @@ def analyze_quality(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     counts = text_counts(df, row_id)
     gaps = (
         missing_counts(df, row_id)
-        .where(F.col("missing") > 0)
-        .select(*_issue(MISSING_VALUES, F.col("column"), F.col("missing")))
+        .where("missing > 0")
+        .selectExpr(*issue_columns(MISSING_VALUES, "column", "missing"))
     )
     duplicates = (
         duplicate_count(df, row_id)
-        .where(F.col("duplicate_rows") > 0)
-        .select(*_issue(DUPLICATE_ROWS, F.lit(None), F.col("duplicate_rows")))
+        .where("duplicate_rows > 0")
+        .selectExpr(*issue_columns(DUPLICATE_ROWS, "NULL", "duplicate_rows"))
     )
     spellings = (
         spelling_groups(counts)
         .groupBy("column")
-        .agg(F.sum("spellings").alias("spellings"))
-        .select(*_issue(TEXT_INCONSISTENCY, F.col("column"), F.col("spellings")))
-    )
-    found = F.array(
-        F.when(
-            has_date_issue(),
-            F.struct(*_issue(DATE_INCONSISTENCY, F.col("column"), F.size("formats"))),
-        ),
-        F.when(
-            has_unit_issue(),
-            F.struct(*_issue(EMBEDDED_UNITS, F.col("column"), F.col("distinct_with_unit"))),
-        ),
+        .agg(F.expr("sum(spellings) AS spellings"))
+        .selectExpr(*issue_columns(TEXT_INCONSISTENCY, "column", "spellings"))
     )
+    date_issue = ", ".join(issue_columns(DATE_INCONSISTENCY, "column", "size(formats)"))
+    unit_issue = ", ".join(issue_columns(EMBEDDED_UNITS, "column", "distinct_with_unit"))
     others = (
         text_evidence(counts)
-        .select(F.explode(found).alias("issue"))
-        .where(F.col("issue").isNotNull())
+        .selectExpr(
+            f"explode(array(CASE WHEN {HAS_DATE_ISSUE} THEN struct({date_issue}) END, "
+            f"CASE WHEN {HAS_UNIT_ISSUE} THEN struct({unit_issue}) END)) AS issue"
+        )
+        .where("issue IS NOT NULL")
         .select("issue.*")
     )
     return reduce(DataFrame.unionByName, [gaps, duplicates, spellings, others])
@@ -385,41 +317,29 @@ def display_issues(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     """
     handled = (
         text_evidence(text_counts(df, row_id))
-        .where(mixed_numeric() & (F.col("missing") > 0))
-        .select(F.lit(EMBEDDED_UNITS).alias("type"), "column")
-    )
-    return analyze_quality(df, row_id).join(F.broadcast(handled), ["type", "column"], "left_anti").select(
-        "issue_rank", "type", "column", "count"
+        .where(f"{MIXED_NUMERIC} AND missing > 0")
+        .selectExpr(f"'{EMBEDDED_UNITS}' AS type", "column")
     )
-
-
-def mixed_numeric() -> Column:
-    """Over `text_evidence`: some values carry the one unit, all others are plain numbers."""
-    without = F.col("present") - F.col("with_unit")
+    # The side has at most one row per column of the table.
     return (
-        (F.col("with_unit") > 0)
-        & (without > 0)
-        & (F.col("plain_numbers") == without)
-        & F.col("one_unit")
+        analyze_quality(df, row_id)
+        .join(F.broadcast(handled), ["type", "column"], "left_anti")
+        .select("issue_rank", "type", "column", "count")
     )
 
 
 def profile_report(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     """One row per issue type, in order: how many issues, and their counts added up."""
     rows = [
-        F.struct(F.lit(i + 1).alias("issue_rank"), F.lit(kind).alias("type"))
-        for i, kind in enumerate(ISSUE_TYPES)
+        f"named_struct('issue_rank', {i + 1}, 'type', '{kind}')" for i, kind in enumerate(ISSUE_TYPES)
     ]
     kinds = inline_rows(df.sparkSession.range(1), rows)
     found = (
         analyze_quality(df, row_id)
         .groupBy("issue_rank")
-        .agg(F.count(F.lit(1)).alias("issues"), F.sum("count").alias("total"))
+        .agg(F.expr("count(1) AS issues"), F.expr("sum(count) AS total"))
     )
     # At most five rows.
-    return kinds.join(F.broadcast(found), "issue_rank", "left").select(
-        "issue_rank",
-        "type",
-        F.coalesce("issues", F.lit(0).cast("bigint")).alias("issues"),
-        F.coalesce("total", F.lit(0).cast("bigint")).alias("total"),
+    return kinds.join(F.broadcast(found), "issue_rank", "left").selectExpr(
+        "issue_rank", "type", "coalesce(issues, 0) AS issues", "coalesce(total, 0) AS total"
     )

@@ -90,7 +90,7 @@ def exact_medians(
 
 
 def _value(df: DataFrame, name: str) -> Column:
-    return known(name, column_types(df.schema)[name]).cast("double")
+    return F.expr(known(name, column_types(df.schema)[name])).cast("double")
 
 
 def _narrow(df: DataFrame, targets: list[_Target], accuracy: int) -> None:

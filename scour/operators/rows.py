@@ -43,7 +43,7 @@ def sort_keys(
     if ascending is not None and len(ascending) != len(by):
         raise ValueError("'ascending' needs one entry per sort column")
     types = column_types(df.schema)
-    keys = [known(name, types[name]) for name in by]
+    keys = [F.expr(known(name, types[name])) for name in by]
     return [
         key.asc_nulls_last() if up else key.desc_nulls_last()
         for key, up in zip(keys, ascending or [True] * len(by))
@@ -73,6 +73,6 @@ def sample_rows(df: DataFrame, row_id: str, n: int = 3) -> DataFrame:
         simple = types[name].typeName() in (
             "byte", "short", "integer", "long", "float", "double", "boolean", "string"
         )
-        value = known(name, types[name])
+        value = F.expr(known(name, types[name]))
         shown.append((value if simple else value.cast("string")).alias(name))
     return df.orderBy(ref(row_id)).limit(n).select(ref(row_id), *shown)

@@ -51,12 +51,12 @@ def violates(rule: Mapping, schema: T.StructType) -> Column:
     column, value = rule["column"], rule.get("value")
     dtype = column_types(schema)[column]
     if rule["rule"] == "not-null":
-        return is_missing(column, dtype)
+        return F.expr(is_missing(column, dtype))
     if rule["rule"] == "allowed-values":
         outside = build_condition(
             {"operator": "not_in", "column": column, "value": list(value)}, schema
         )
-        return ~is_missing(column, dtype) & outside
+        return ~F.expr(is_missing(column, dtype)) & outside
     operator = "lt" if rule["rule"] == "min" else "gt"
     return build_condition({"operator": operator, "column": column, "value": value}, schema)
 

@@ -7,10 +7,9 @@ An outside proposal can be passed as a hint; evidence overrules it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scour.functions import units
@@ -22,48 +21,53 @@ from scour.operators.profile import (
     DATE_INCONSISTENCY,
     DUPLICATE_ROWS,
     EMBEDDED_UNITS,
+    HAS_DATE_ISSUE,
+    HAS_UNIT_ISSUE,
     ISSUE_TYPES,
     MISSING_VALUES,
+    MIXED_NUMERIC,
+    STYLES,
     TEXT_INCONSISTENCY,
     inline_rows,
-    mixed_numeric,
 )
-from scour.schema import column_types, data_columns, is_numeric, is_text
+from scour.schema import column_types, data_columns, is_numeric, is_text, literal
 from scour.streaming.guards import require_batch
 
+# The outcome types.
 SAFE_FIX = "SAFE_FIX"
 REVIEW = "REVIEW_REQUIRED"
-MIXED_NUMERIC = "MIXED_NUMERIC"
+MIXED = "MIXED_NUMERIC"
 STANDARDIZE = "STANDARDIZATION_AVAILABLE"
-STYLES = ("title", "lower", "upper")
 HANDLED_BY_MISSING = (
     "Review required: resolved as part of the missing-value issue of the same column."
 )
 
 
-
 def _outcome(
     resolution: str,
     operation: str | None = None,
-    parameter: Column | str | None = None,
-    message: Column | str | None = None,
-    targets: Column | None = None,
-    detected: Column | None = None,
-) -> Column:
-    as_column = lambda item: item if isinstance(item, Column) else F.lit(item)
-    nothing = F.lit(None)
-    return F.struct(
-        F.lit(resolution).alias("resolution_type"),
-        as_column(operation).cast("string").alias("operation"),
-        as_column(parameter).cast("string").alias("parameter"),
-        as_column(message).cast("string").alias("message"),
-        (nothing if targets is None else targets).cast("array<string>").alias("available_targets"),
-        (nothing if detected is None else detected).cast("array<string>").alias("detected_units"),
+    parameter: str = "NULL",
+    message: str = "NULL",
+    targets: str = "NULL",
+    detected: str = "NULL",
+) -> str:
+    """SQL text of one outcome; all but the first two arguments are SQL text themselves."""
+    shown = "NULL" if operation is None else literal(operation)
+    return (
+        f"named_struct('resolution_type', {literal(resolution)}, "
+        f"'operation', CAST({shown} AS STRING), 'parameter', CAST({parameter} AS STRING), "
+        f"'message', CAST({message} AS STRING), "
+        f"'available_targets', CAST({targets} AS ARRAY<STRING>), "
+        f"'detected_units', CAST({detected} AS ARRAY<STRING>))"
     )
 
 
-def _review(message: Column | str) -> Column:
-    return _outcome(REVIEW, message=message)
+def _review(message: str) -> str:
+    return _outcome(REVIEW, message=literal(message))
+
+
+def _choose(*branches: tuple[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN {result}" for test, result in branches) + " END"
 
 
 class _Hints:
@@ -74,81 +78,77 @@ class _Hints:
             column: hint for (issue, column), hint in (hints or {}).items() if issue == kind
         }
 
-    def lookup(self, read) -> Column:
-        """`read(hint)` of the row's column, NULL without a hint."""
-        result = F.lit(None).cast("string")
-        for column, hint in self.entries.items():
-            value = read(hint)
-            if value is not None:
-                same = F.col("column").eqNullSafe(F.lit(column))
-                result = F.when(same, F.lit(value)).otherwise(result)
-        return result
+    def _lookup(self, read: Callable) -> str:
+        """SQL text of `read(hint)` for the row's column, NULL without a hint."""
+        found = {column: read(hint) for column, hint in self.entries.items()}
+        cases = " ".join(
+            f"WHEN column <=> {'NULL' if column is None else literal(column)} "
+            f"THEN {literal(value)}"
+            for column, value in found.items()
+            if value is not None
+        )
+        return f"CASE {cases} END" if cases else "CAST(NULL AS STRING)"
 
-    def operation(self) -> Column:
-        return self.lookup(lambda hint: hint.get("operation"))
+    def operation(self) -> str:
+        return self._lookup(lambda hint: hint.get("operation"))
 
-    def parameter(self, name: str) -> Column:
-        return self.lookup(lambda hint: (hint.get("parameters") or {}).get(name))
+    def parameter(self, name: str) -> str:
+        return self._lookup(lambda hint: (hint.get("parameters") or {}).get(name))
 
 
 # --- evidence ------------------------------------------------------------------------------------
 
-
-def classification() -> Column:
-    """`numeric`, `categorical` or `ambiguous`: all, none or some present values are numbers."""
-    return (
-        F.when(F.col("present") == 0, "ambiguous")
-        .when(F.col("numbers") == F.col("present"), "numeric")
-        .when(F.col("numbers") == 0, "categorical")
-        .otherwise("ambiguous")
-    )
+# All, none or some of the present values are numbers.
+CLASSIFICATION = _choose(
+    ("present = 0", "'ambiguous'"),
+    ("numbers = present", "'numeric'"),
+    ("numbers = 0", "'categorical'"),
+    ("true", "'ambiguous'"),
+)
 
 
 def classify_columns(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     """One row per column: present values, how many are numbers, and the class; one aggregate."""
     require_batch(df, "classify_columns")
     types = column_types(df.schema)
-    names = data_columns(df, row_id)
     tallies, rows = [], []
-    for i, name in enumerate(names):
-        value = as_text(name, types[name])
-        numeric = F.lit(True) if is_numeric(types[name]) else is_number(value)
-        if not (is_numeric(types[name]) or is_text(types[name])):
-            numeric = F.lit(False)
+    for i, name in enumerate(data_columns(df, row_id)):
+        value, dtype = as_text(name, types[name]), types[name]
+        numeric = is_number(value) if is_text(dtype) else str(is_numeric(dtype))
         tallies += [
-            F.count(value).alias(f"p{i}"),
-            F.count_if(value.isNotNull() & numeric).alias(f"n{i}"),
+            F.expr(f"count({value}) AS p{i}"),
+            F.expr(f"count_if({value} IS NOT NULL AND {numeric}) AS n{i}"),
         ]
         rows.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.col(f"p{i}").alias("present"),
-                F.col(f"n{i}").alias("numbers"),
-            )
+            f"named_struct('column', {literal(name)}, 'present', p{i}, 'numbers', n{i})"
         )
-    return inline_rows(df.agg(*tallies), rows).withColumn("classification", classification())
+    return inline_rows(df.agg(*tallies), rows).selectExpr(
+        "*", f"{CLASSIFICATION} AS classification"
+    )
 
 
 def _column_table(df: DataFrame, row_id: str | None, counts: DataFrame) -> DataFrame:
     """One row per column: missing cells for all, the text evidence where there is any."""
     types = column_types(df.schema)
-    numeric = [name for name in data_columns(df, row_id) if is_numeric(types[name])]
+    numeric = [literal(name) for name in data_columns(df, row_id) if is_numeric(types[name])]
+    is_number_column = f"column IN ({', '.join(numeric)})" if numeric else "false"
     evidence = profile.text_evidence(counts).drop("missing", "present")
-    is_number_column = F.col("column").isin(*numeric) if numeric else F.lit(False)
-    zero = F.lit(0).cast("bigint")
     # One row per column of the table on either side.
-    return (
-        profile.missing_counts(df, row_id)
-        .join(F.broadcast(evidence), "column", "left")
-        .withColumn("present", F.col("rows") - F.col("missing"))
-        .withColumn(
-            "numbers",
-            F.coalesce("numbers", F.when(is_number_column, F.col("present")).otherwise(zero)),
-        )
-        .withColumn("with_unit", F.coalesce("with_unit", zero))
-        .withColumn("one_unit", F.coalesce("one_unit", F.lit(False)))
-        .withColumn("classification", classification())
-        .withColumn("mixed_numeric", F.coalesce(mixed_numeric(), F.lit(False)))
+    joined = profile.missing_counts(df, row_id).join(F.broadcast(evidence), "column", "left")
+    filled = joined.withColumns(
+        {
+            "present": F.expr("rows - missing"),
+            "numbers": F.expr(
+                f"coalesce(numbers, CASE WHEN {is_number_column} THEN rows - missing ELSE 0 END)"
+            ),
+            "with_unit": F.expr("coalesce(with_unit, 0)"),
+            "one_unit": F.expr("coalesce(one_unit, false)"),
+        }
+    )
+    return filled.selectExpr(
+        "*",
+        f"{CLASSIFICATION} AS classification",
+        f"coalesce({MIXED_NUMERIC}, false) AS mixed_numeric",
     )
 
 
@@ -157,150 +157,130 @@ def _spelling_table(counts: DataFrame) -> DataFrame:
     return (
         profile.spelling_groups(counts)
         .groupBy("column")
-        .agg(F.bool_and("stripped_alike").alias("only_white_space"))
-        .withColumn("single_spelling", F.lit(False))
+        .agg(F.expr("bool_and(stripped_alike) AS only_white_space"))
+        .selectExpr("*", "false AS single_spelling")
     )
 
 
-# --- one rule set per issue type; each is a struct over the evidence row ---------------------------
+# --- one rule set per issue type, as SQL text over the evidence row ---------------------------------
 
 
-def missing_outcome(hints: Mapping | None = None) -> Column:
-    hint = _Hints(hints, MISSING_VALUES)
-    strategy = hint.parameter("strategy")
-    unit = F.col("first_unit")
-    return (
-        F.when(
-            F.col("classification") == "numeric",
-            _outcome(SAFE_FIX, "fill_numeric", F.coalesce(strategy, F.lit("median"))),
-        )
-        .when(
-            F.col("classification") == "categorical",
-            _outcome(SAFE_FIX, "fill_categorical", F.coalesce(strategy, F.lit("mode"))),
-        )
-        .when(
-            F.col("mixed_numeric"),
-            _outcome(
-                MIXED_NUMERIC,
-                "remove_units",
-                unit,
-                F.concat(
-                    F.lit("Some values carry '"), unit,
-                    F.lit("', the others are plain numbers. Standardize numeric representation first?"),
-                ),
-            ),
-        )
-        .otherwise(_review("Review required: numbers and other text are mixed in this column."))
+def missing_outcome(hints: Mapping | None = None) -> str:
+    strategy = _Hints(hints, MISSING_VALUES).parameter("strategy")
+    message = (
+        "concat('Some values carry ', first_unit, ', the others are plain numbers. "
+        "Standardize numeric representation first?')"
+    )
+    return _choose(
+        (
+            "classification = 'numeric'",
+            _outcome(SAFE_FIX, "fill_numeric", f"coalesce({strategy}, 'median')"),
+        ),
+        (
+            "classification = 'categorical'",
+            _outcome(SAFE_FIX, "fill_categorical", f"coalesce({strategy}, 'mode')"),
+        ),
+        ("mixed_numeric", _outcome(MIXED, "remove_units", "first_unit", message)),
+        ("true", _review("Review required: numbers and other text are mixed in this column.")),
     )
 
 
-def duplicates_outcome(hints: Mapping | None = None) -> Column:
+def duplicates_outcome(hints: Mapping | None = None) -> str:
     proposed = _Hints(hints, DUPLICATE_ROWS).operation()
-    return F.when(
-        F.coalesce(proposed != "remove_duplicates", F.lit(False)),
-        _review("Review required: the proposal does not fit duplicate rows."),
-    ).otherwise(_outcome(SAFE_FIX, "remove_duplicates"))
+    return _choose(
+        (
+            f"{proposed} <> 'remove_duplicates'",
+            _review("Review required: the proposal does not fit duplicate rows."),
+        ),
+        ("true", _outcome(SAFE_FIX, "remove_duplicates")),
+    )
 
 
-def text_outcome(hints: Mapping | None = None) -> Column:
+def text_outcome(hints: Mapping | None = None) -> str:
+    """White space only, then the hint, then a style with half of the votes and more than others."""
     hint = _Hints(hints, TEXT_INCONSISTENCY)
-    proposed = F.when(
-        (hint.operation() == "standardize_text")
-        & hint.parameter("style").isin(*STANDARDIZE_STYLES),
-        hint.parameter("style"),
+    allowed = ", ".join(map(literal, STANDARDIZE_STYLES))
+    total = " + ".join(f"style_{style}" for style in STYLES)
+    votes = []
+    for style in STYLES:
+        more = [f"style_{style} > style_{other}" for other in STYLES if other != style]
+        votes.append((" AND ".join([f"2 * style_{style} >= {total}", *more]), literal(style)))
+    style = _choose(
+        ("only_white_space", "'strip'"),
+        (
+            f"{hint.operation()} = 'standardize_text' AND {hint.parameter('style')} IN ({allowed})",
+            hint.parameter("style"),
+        ),
+        *votes,
     )
-    votes = {style: F.col(f"style_{style}") for style in STYLES}
-    total = reduce(Column.__add__, votes.values())
-    winner = None
-    for style, vote in votes.items():
-        others = [other for name, other in votes.items() if name != style]
-        wins = (total > 0) & (vote * 2 >= total)
-        for other in others:
-            wins = wins & (vote > other)
-        winner = F.when(wins, style) if winner is None else winner.when(wins, style)
-    style = F.when(F.col("only_white_space"), "strip").otherwise(F.coalesce(proposed, winner))
-    return F.when(
-        F.col("single_spelling"),
-        _review("Review required: the values differ in more than their spelling."),
-    ).when(
-        style.isNotNull(), _outcome(SAFE_FIX, "standardize_text", style)
-    ).otherwise(_review("Review required: no casing is dominant enough."))
-
-
-def units_outcome(hints: Mapping | None = None) -> Column:
-    hint = _Hints(hints, EMBEDDED_UNITS)
-    unit = F.col("first_unit")
-    without = F.col("present") - F.col("with_unit")
-    only_numbers = F.col("plain_numbers") == without
-    mixed = (
-        F.when(~only_numbers, _review("Review required: inconsistent text mixed with numbers."))
-        .when(
-            ~F.col("one_unit"),
-            _review("Review required: plain numbers mixed with several units."),
-        )
-        .when(F.col("missing") > 0, _review(HANDLED_BY_MISSING))
-        .otherwise(
-            _outcome(
-                MIXED_NUMERIC,
-                "remove_units",
-                unit,
-                F.concat(
-                    F.lit("Some values carry '"), unit, F.lit("', the others are plain numbers.")
-                ),
-            )
-        )
+    return _choose(
+        (
+            "single_spelling",
+            _review("Review required: the values differ in more than their spelling."),
+        ),
+        (f"({style}) IS NOT NULL", _outcome(SAFE_FIX, "standardize_text", style)),
+        ("true", _review("Review required: no casing is dominant enough.")),
     )
-    targets = None
-    for category, factors in units.UNIT_FACTORS.items():
-        listed = F.array(*map(F.lit, factors))
-        same = F.element_at("categories", 1) == category
-        targets = F.when(same, listed) if targets is None else targets.when(same, listed)
-    one_category = (F.size("categories") == 1) & (
-        F.element_at("categories", 1) != units.UNKNOWN_CATEGORY
+
+
+def units_outcome(hints: Mapping | None = None) -> str:
+    hint = _Hints(hints, EMBEDDED_UNITS)
+    targets = _choose(
+        *[
+            (f"categories[0] = '{category}'", f"array({', '.join(map(literal, factors))})")
+            for category, factors in units.UNIT_FACTORS.items()
+        ]
     )
-    conflict = F.concat(
-        F.lit("Review required: Genuine unit inconsistency between the categories "),
-        F.array_join("categories", ", "),
-        F.lit("."),
+    conflict = (
+        "concat('Review required: Genuine unit inconsistency between the categories ', "
+        "array_join(categories, ', '), '.')"
     )
-    several = F.when(
-        one_category,
-        _outcome(STANDARDIZE, "standardize_units", targets=targets, detected=F.col("known_units")),
-    ).otherwise(_review(conflict))
-    contradicts = hint.operation().isNotNull() & (
-        (hint.operation() != "remove_units") | ~hint.parameter("unit").eqNullSafe(unit)
+    mixed_message = "concat('Some values carry ', first_unit, ', the others are plain numbers.')"
+    contradicts = (
+        f"{hint.operation()} IS NOT NULL AND ({hint.operation()} <> 'remove_units' "
+        f"OR NOT ({hint.parameter('unit')} <=> first_unit))"
     )
-    single = F.when(
-        contradicts, _review("Review required: the proposal contradicts the unit in the data.")
-    ).otherwise(_outcome(SAFE_FIX, "remove_units", unit))
-    return (
-        F.when(F.col("with_unit") == 0, _review("Review required: no unit was found."))
-        .when(without > 0, mixed)
-        .when(~F.col("one_unit"), several)
-        .otherwise(single)
+    return _choose(
+        ("with_unit = 0", _review("Review required: no unit was found.")),
+        (
+            "present > with_unit AND plain_numbers <> present - with_unit",
+            _review("Review required: inconsistent text mixed with numbers."),
+        ),
+        (
+            "present > with_unit AND NOT one_unit",
+            _review("Review required: plain numbers mixed with several units."),
+        ),
+        ("present > with_unit AND missing > 0", _review(HANDLED_BY_MISSING)),
+        ("present > with_unit", _outcome(MIXED, "remove_units", "first_unit", mixed_message)),
+        (
+            f"NOT one_unit AND size(categories) = 1 AND categories[0] <> '{units.UNKNOWN_CATEGORY}'",
+            _outcome(STANDARDIZE, "standardize_units", targets=targets, detected="known_units"),
+        ),
+        ("NOT one_unit", _outcome(REVIEW, message=conflict)),
+        (contradicts, _review("Review required: the proposal contradicts the unit in the data.")),
+        ("true", _outcome(SAFE_FIX, "remove_units", "first_unit")),
     )
 
 
-def dates_outcome() -> Column:
+def dates_outcome() -> str:
     return _review("Review required: several date notations; the user has to choose the target.")
 
 
 # --- public operators ------------------------------------------------------------------------------
 
 
-def _entry(kind: str, column: Column, outcome: Column) -> Column:
-    return F.struct(
-        F.lit(ISSUE_TYPES.index(kind) + 1).alias("issue_rank"),
-        F.lit(kind).alias("type"),
-        column.cast("string").alias("column"),
-        outcome.alias("outcome"),
+def _entry(kind: str, outcome: str) -> str:
+    return (
+        f"named_struct('issue_rank', {ISSUE_TYPES.index(kind) + 1}, 'type', '{kind}', "
+        f"'column', CAST(column AS STRING), 'outcome', {outcome})"
     )
 
 
-def _report(entries: DataFrame) -> DataFrame:
-    """A table with one `entry` struct per row to the flat report."""
+def _report(rows: DataFrame, *entries: str) -> DataFrame:
+    """The entries of every row that are not NULL, flat."""
     return (
-        entries.where(F.col("entry").isNotNull())
+        rows.selectExpr(f"explode(array({', '.join(entries)})) AS entry")
+        .where("entry IS NOT NULL")
         .select("entry.*")
         .select("issue_rank", "type", "column", "outcome.*")
     )
@@ -312,25 +292,16 @@ def suggest_missing(
     """For each column with missing cells: fill it, remove its unit first, or review."""
     require_batch(df, "suggest_missing")
     rows = _column_table(df, row_id, profile.text_counts(df, row_id)).where("missing > 0")
-    return _report(
-        rows.select(_entry(MISSING_VALUES, F.col("column"), missing_outcome(hints)).alias("entry"))
-    )
+    return _report(rows, _entry(MISSING_VALUES, missing_outcome(hints)))
 
 
 def suggest_duplicates(
     df: DataFrame, row_id: str | None = "row_id", hints: Mapping | None = None
 ) -> DataFrame:
     require_batch(df, "suggest_duplicates")
-    rows = (
-        profile.duplicate_count(df, row_id)
-        .where("duplicate_rows > 0")
-        .withColumn("column", F.lit(None).cast("string"))
-    )
-    return _report(
-        rows.select(
-            _entry(DUPLICATE_ROWS, F.col("column"), duplicates_outcome(hints)).alias("entry")
-        )
-    )
+    rows = profile.duplicate_count(df, row_id).where("duplicate_rows > 0")
+    rows = rows.selectExpr("*", "CAST(NULL AS STRING) AS column")
+    return _report(rows, _entry(DUPLICATE_ROWS, duplicates_outcome(hints)))
 
 
 def suggest_text_style(
@@ -353,20 +324,18 @@ def suggest_text_style(
         groups = inline_rows(df.sparkSession.range(1), judged)
     # One row per text column.
     rows = groups.join(F.broadcast(votes), "column")
-    return _report(
-        rows.select(_entry(TEXT_INCONSISTENCY, F.col("column"), text_outcome(hints)).alias("entry"))
-    )
+    return _report(rows, _entry(TEXT_INCONSISTENCY, text_outcome(hints)))
 
 
-def _judge_variants(column: str, given: Sequence[str]) -> Column:
+def _judge_variants(column: str, given: Sequence[str]) -> str:
     groups: dict[str, set[str]] = {}
     for variant in given:
         groups.setdefault(variant.strip().lower(), set()).add(variant)
     stripped = {variant.strip() for variant in given}
-    return F.struct(
-        F.lit(column).alias("column"),
-        F.lit(len(stripped) == len(groups)).alias("only_white_space"),
-        F.lit(any(len(group) == 1 for group in groups.values())).alias("single_spelling"),
+    return (
+        f"named_struct('column', {literal(column)}, "
+        f"'only_white_space', {len(stripped) == len(groups)}, "
+        f"'single_spelling', {any(len(group) == 1 for group in groups.values())})"
     )
 
 
@@ -379,19 +348,15 @@ def suggest_units(
     """For each column with an embedded-unit issue, or for the named columns without asking."""
     require_batch(df, "suggest_units")
     evidence = profile.text_evidence(profile.text_counts(df, row_id))
-    chosen = profile.has_unit_issue() if columns is None else F.col("column").isin(*columns)
-    return _report(
-        evidence.where(chosen).select(
-            _entry(EMBEDDED_UNITS, F.col("column"), units_outcome(hints)).alias("entry")
-        )
-    )
+    if columns is None:
+        rows = evidence.where(HAS_UNIT_ISSUE)
+    else:
+        rows = evidence.where(F.col("column").isin(*columns))
+    return _report(rows, _entry(EMBEDDED_UNITS, units_outcome(hints)))
 
 
 def suggest_dates(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
-    rows = profile.date_formats(df, row_id)
-    return _report(
-        rows.select(_entry(DATE_INCONSISTENCY, F.col("column"), dates_outcome()).alias("entry"))
-    )
+    return _report(profile.date_formats(df, row_id), _entry(DATE_INCONSISTENCY, dates_outcome()))
 
 
 def suggest(
@@ -408,21 +373,13 @@ def suggest(
     rows = _column_table(df, row_id, counts).join(
         F.broadcast(_spelling_table(counts)), "column", "left"
     )
-    column = F.col("column")
-    entries = [
-        F.when(
-            F.col("missing") > 0, _entry(MISSING_VALUES, column, missing_outcome(hints))
-        ),
-        F.when(
-            F.col("only_white_space").isNotNull(),
-            _entry(TEXT_INCONSISTENCY, column, text_outcome(hints)),
+    about_columns = _report(
+        rows,
+        _choose(("missing > 0", _entry(MISSING_VALUES, missing_outcome(hints)))),
+        _choose(
+            ("only_white_space IS NOT NULL", _entry(TEXT_INCONSISTENCY, text_outcome(hints)))
         ),
-        F.when(
-            profile.has_date_issue(), _entry(DATE_INCONSISTENCY, column, dates_outcome())
-        ),
-        F.when(
-            profile.has_unit_issue(), _entry(EMBEDDED_UNITS, column, units_outcome(hints))
-        ),
-    ]
-    about_columns = _report(rows.select(F.explode(F.array(*entries)).alias("entry")))
+        _choose((HAS_DATE_ISSUE, _entry(DATE_INCONSISTENCY, dates_outcome()))),
+        _choose((HAS_UNIT_ISSUE, _entry(EMBEDDED_UNITS, units_outcome(hints)))),
+    )
     return about_columns.unionByName(suggest_duplicates(df, row_id, hints))

@@ -3,28 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scour.operators.changes import cells_differ
-from scour.schema import column_types, data_columns
+from scour.schema import column_types, data_columns, literal, quoted
 
 ORIGINALS = "__originals"
 
 
-def changed_cells(types_before: dict[str, T.DataType], after: DataFrame, names: Sequence[str]) -> Column:
+def changed_cells(before_types: dict[str, T.DataType], after: DataFrame, names: Sequence[str]) -> str:
     """Changed cells of one row: the originals travel along in a hidden struct."""
-    types_after = column_types(after.schema)
+    after_types = column_types(after.schema)
     tests = [
-        cells_differ(
-            F.col(ORIGINALS).getField(name), types_before[name], name, types_after[name]
-        ).cast("bigint")
+        cells_differ(f"{ORIGINALS}.{quoted(name)}", before_types[name], name, after_types[name])
         for name in names
     ]
-    return reduce(Column.__add__, tests, F.lit(0).cast("bigint"))
+    return " + ".join(f"CAST({test} AS BIGINT)" for test in tests) or "CAST(0 AS BIGINT)"
 
 
 def impact(
@@ -35,33 +32,27 @@ def impact(
     `after` still carries the hidden originals of the `touched` columns, the only ones that can
     differ; columns that no step writes are never compared.
     """
-    names_before, names_after = data_columns(before, row_id), [
-        name for name in data_columns(after, row_id) if name != ORIGINALS
-    ]
+    names_before = data_columns(before, row_id)
+    names_after = [name for name in data_columns(after, row_id) if name != ORIGINALS]
     compared = [name for name in touched if name in names_after]
-    zero = F.lit(0).cast("bigint")
-    old = before.select(F.lit(1).alias("b"), zero.alias("a"), zero.alias("v"))
-    new = after.select(
-        F.lit(0).alias("b"),
-        F.lit(1).cast("bigint").alias("a"),
-        changed_cells(column_types(before.schema), after, compared).alias("v"),
+    changed = changed_cells(column_types(before.schema), after, compared)
+    old = before.agg(
+        F.expr("count(1) AS b"), F.expr("CAST(0 AS BIGINT) AS a"), F.expr("CAST(0 AS BIGINT) AS v")
     )
-    parts = [
-        part.agg(*[F.coalesce(F.sum(name), zero).alias(name) for name in ("b", "a", "v")])
-        for part in (old, new)
-    ]
-    total = parts[0].unionByName(parts[1]).agg(*[F.sum(name).alias(name) for name in ("b", "a", "v")])
-    added = [name for name in names_after if name not in names_before]
-    removed = [name for name in names_before if name not in names_after]
-    return total.select(
-        F.col("b").alias("rows_before"),
-        F.col("a").alias("rows_after"),
-        F.greatest(F.col("b") - F.col("a"), zero).alias("rows_removed"),
-        _names(added).alias("columns_added"),
-        _names(removed).alias("columns_removed"),
-        F.col("v").alias("values_changed"),
+    new = after.agg(
+        F.expr("CAST(0 AS BIGINT) AS b"),
+        F.expr("count(1) AS a"),
+        F.expr(f"coalesce(sum({changed}), 0) AS v"),
+    )
+    return old.unionByName(new).agg(
+        F.expr("sum(b) AS rows_before"),
+        F.expr("sum(a) AS rows_after"),
+        F.expr("greatest(sum(b) - sum(a), 0) AS rows_removed"),
+        _names([name for name in names_after if name not in names_before], "columns_added"),
+        _names([name for name in names_before if name not in names_after], "columns_removed"),
+        F.expr("sum(v) AS values_changed"),
     )
 
 
-def _names(names: Sequence[str]) -> Column:
-    return F.array(*map(F.lit, names)).cast("array<string>")
+def _names(names: Sequence[str], alias: str) -> Column:
+    return F.expr(f"CAST(array({', '.join(map(literal, names))}) AS ARRAY<STRING>) AS {alias}")

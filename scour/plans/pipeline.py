@@ -19,13 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scour.functions.arithmetic import build_expression, expression_errors
+from scour.functions.missing import known
 from scour.functions.predicates import build_condition, check_condition, condition_columns
 from scour.functions.text import NORMALIZE_STYLES
 from scour.operators.columns import ALL_TEXT, normalize_text
 from scour.operators.dedup import drop_duplicates, remove_duplicates
 from scour.operators.rows import sort_keys
 from scour.plans.impact import ORIGINALS, impact
-from scour.schema import data_columns, ref, require_row_id, text_columns
+from scour.schema import column_types, data_columns, ref, require_row_id, text_columns
 from scour.streaming.guards import require_batch
 
 # Each step kind with the fields it must have.
@@ -137,11 +138,6 @@ class _Fold:
             kept.append(ORIGINALS)
         return kept + [name for name, _ in self.keys]
 
-    def visible(self) -> DataFrame:
-        return self.df.select(
-            *[ref(name) for name in self.df.columns if name not in self.hidden() or name == self.row_id]
-        )
-
     def order(self) -> list[Column]:
         keys = [
             ref(name).asc_nulls_last() if up else ref(name).desc_nulls_last()
@@ -157,9 +153,6 @@ class _Fold:
         self.df = self.df.where(~keep if step.get("remove") else keep)
 
     def _sort(self, step: Mapping) -> None:
-        from scour.functions.missing import known
-        from scour.schema import column_types
-
         sort_keys(self.df, step["by"], step.get("ascending"))
         types = column_types(self.df.schema)
         directions = step.get("ascending") or [True] * len(step["by"])
@@ -168,7 +161,7 @@ class _Fold:
         for i, (name, up) in enumerate(zip(step["by"], directions)):
             alias = f"{_HIDDEN}_{start + i}"
             # A copy, because later steps may overwrite or drop the sort column.
-            self.df = self.df.withColumn(alias, known(name, types[name]))
+            self.df = self.df.withColumn(alias, F.expr(known(name, types[name])))
             new.append((alias, up))
         self.keys = new + self.keys
 

@@ -35,9 +35,19 @@ def is_temporal(dtype: T.DataType) -> bool:
     return isinstance(dtype, TEMPORAL_TYPES)
 
 
+def quoted(name: str) -> str:
+    """The column in SQL text; dots, spaces and backticks are part of the name."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """The text as a SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def ref(name: str) -> Column:
-    """A reference to exactly this column; dots, spaces and backticks are part of the name."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """A reference to exactly this column."""
+    return F.col(quoted(name))
 
 
 def column_types(schema: T.StructType) -> dict[str, T.DataType]:
@@ -67,3 +77,13 @@ def require_row_id(df: DataFrame, row_id: str | None, what: str) -> str:
 def text_columns(schema: T.StructType, names: Sequence[str]) -> list[str]:
     types = column_types(schema)
     return [name for name in names if is_text(types[name])]
+
+
+def unpivot(df: DataFrame, values: dict[str, str], *kept: Column) -> DataFrame:
+    """`(column, value)` rows, one per entry of `values` (name to SQL text), after the kept columns."""
+    cells = ", ".join(
+        f"named_struct('column', {literal(name)}, 'value', {value})" for name, value in values.items()
+    )
+    return df.select(*kept, F.expr(f"explode(array({cells})) AS cell")).select(
+        *[name for name in df.select(*kept).columns], "cell.column", "cell.value"
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scour.schema import ref
+from scour.schema import literal, quoted, ref
 from scour.sources import inference, records
 
 # Cell texts the lenient scan reads as missing.
@@ -114,10 +114,13 @@ def load_csv(
     if not names:
         raise ValueError(f"The file {path!r} has no readable header")
     cells = _text_cells(spark, path, names, delimiter, multi_line, corrupt=schema is None)
-    missing = {
-        name: F.when(~ref(name).isin(*NULL_TOKENS), ref(name)) for name in names
-    }
-    cells = cells.withColumns(missing)
+    tokens = ", ".join(map(literal, NULL_TOKENS))
+    cells = cells.withColumns(
+        {
+            name: F.expr(f"CASE WHEN {quoted(name)} NOT IN ({tokens}) THEN {quoted(name)} END")
+            for name in names
+        }
+    )
     if schema is not None:
         return cells.select(
             *[
@@ -134,11 +137,11 @@ def _lenient_types(cells: DataFrame, names: Sequence[str], path, delimiter: str)
     keys = ("present", "odd", "not_int", "not_bool")
     flags, gaps = [], []
     for i, name in enumerate(names):
-        flags += inference._flags(name, i, ())
-        gaps.append(F.coalesce(F.bool_or(ref(name).isNull()), F.lit(False)).alias(f"gap{i}"))
-    long = records.field_count(F.col(_CORRUPT), delimiter) > len(names)
+        flags += inference.flags(name, i, ())
+        gaps.append(F.expr(f"coalesce(bool_or({quoted(name)} IS NULL), false) AS gap{i}"))
+    too_long = f"{records.field_count(_CORRUPT, delimiter)} > {len(names)}"
     row = cells.agg(
-        F.coalesce(F.bool_or(long), F.lit(False)).alias("too_long"), *flags, *gaps
+        F.expr(f"coalesce(bool_or({too_long}), false) AS too_long"), *flags, *gaps
     ).first()
     if row["too_long"]:
         raise ValueError(f"The file {path!r} has records with more fields than its header")
@@ -205,12 +208,12 @@ def ingest_csv(
     if multi_line:
         return _ingest_multi_line(spark, path, names, delimiter, infer)
 
-    issue = records.structure_issue(F.col("value"), len(names), delimiter)
+    issue = records.structure_issue("value", len(names), delimiter)
     tally = (
-        lines.select(issue.alias("issue"))
+        lines.selectExpr(f"{issue} AS issue")
         .agg(
-            F.count("issue").alias("issues"),
-            F.count_if(F.col("issue") == records.ENCODING).alias("encoding"),
+            F.expr("count(issue) AS issues"),
+            F.expr(f"count_if(issue = '{records.ENCODING}') AS encoding"),
         )
         .first()
     )
@@ -244,16 +247,14 @@ def _ingest_multi_line(
 ) -> IngestResult:
     """The reader flags records whose field count differs from the header."""
     cells = _text_cells(spark, path, names, delimiter, True, corrupt=True)
-    record = F.col(_CORRUPT)
-    errors = cells.where(record.isNotNull()).select(
-        F.lit(None).cast("bigint").alias("row_index"),
-        F.lit(len(names)).alias("expected_fields"),
-        records.field_count(record, delimiter).alias("found_fields"),
-        record.alias("raw_content"),
-        F.coalesce(
-            records.structure_issue(record, len(names), delimiter), F.lit(records.QUOTES)
-        ).alias("issue_type"),
-        F.lit(None).cast("string").alias("message"),
+    issue = records.structure_issue(_CORRUPT, len(names), delimiter)
+    errors = cells.where(f"{_CORRUPT} IS NOT NULL").selectExpr(
+        "CAST(NULL AS BIGINT) AS row_index",
+        f"{len(names)} AS expected_fields",
+        f"{records.field_count(_CORRUPT, delimiter)} AS found_fields",
+        f"{_CORRUPT} AS raw_content",
+        f"coalesce({issue}, '{records.QUOTES}') AS issue_type",
+        "CAST(NULL AS STRING) AS message",
     )
     tally = errors.agg(
         F.count(F.lit(1)).alias("issues"),
@@ -297,19 +298,19 @@ def structural_errors(
     spark: SparkSession, path, names: Sequence[str], delimiter: str = ","
 ) -> DataFrame:
     """One row per record that does not fit the header, with its number (the header is 1)."""
-    value = F.col("value")
-    issue = records.structure_issue(value, len(names), delimiter)
-    counted = issue.isin(records.EXTRA, records.SHORT)
+    issue = records.structure_issue("value", len(names), delimiter)
+    counted = f"issue IN ('{records.EXTRA}', '{records.SHORT}')"
     return (
         numbered_lines(spark, path)
-        .where(issue.isNotNull())
-        .select(
-            F.col("line_number").alias("row_index"),
-            F.when(counted, len(names)).alias("expected_fields"),
-            F.when(counted, records.field_count(value, delimiter)).alias("found_fields"),
-            value.alias("raw_content"),
-            issue.alias("issue_type"),
-            F.lit(None).cast("string").alias("message"),
+        .selectExpr("*", f"{issue} AS issue")
+        .where("issue IS NOT NULL")
+        .selectExpr(
+            "line_number AS row_index",
+            f"CASE WHEN {counted} THEN {len(names)} END AS expected_fields",
+            f"CASE WHEN {counted} THEN {records.field_count('value', delimiter)} END AS found_fields",
+            "value AS raw_content",
+            "issue AS issue_type",
+            "CAST(NULL AS STRING) AS message",
         )
     )
 

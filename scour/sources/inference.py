@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scour.functions import dates, numbers, text
-from scour.schema import data_columns, ref, text_columns
+from scour.schema import data_columns, literal, quoted, text_columns
 from scour.streaming.guards import require_batch
 
 # Texts that count as missing once a whole column converts.
@@ -19,23 +19,23 @@ MIN_DATE_LENGTH = 6
 TEXT, INTEGER, DOUBLE, DATETIME, BOOLEAN = "string", "bigint", "double", "timestamp_ntz", "boolean"
 
 
-def _flags(name: str, i: int, tokens: Sequence[str]) -> list[Column]:
-    value = ref(name)
+def flags(name: str, i: int, tokens: Sequence[str]) -> list[Column]:
+    """What `_decide` asks about a text column; each is one boolean aggregate."""
+    value = quoted(name)
     stripped = text.strip(value)
-    is_token = stripped.isin(*tokens)
-    cell = value.isNotNull() & ~is_token
-    date = dates.parse_date(value, day_first=False)
-    flags = {
-        "present": value.isNotNull(),
-        "cells": cell,
-        "zeros": stripped.rlike(LEADING_ZERO),
-        "odd": cell & ~numbers.is_number(value),
-        "not_int": ~numbers.is_integer(value),
-        "short": F.length(stripped) < MIN_DATE_LENGTH,
-        "undated": cell & date.isNull(),
-        "not_bool": cell & ~stripped.isin("True", "False", "TRUE", "FALSE", "true", "false"),
+    listed = ", ".join(map(literal, tokens))
+    cell = f"({value} IS NOT NULL AND {stripped} NOT IN ({listed}))" if listed else f"({value} IS NOT NULL)"
+    truths = "'True', 'False', 'TRUE', 'FALSE', 'true', 'false'"
+    tests = {
+        "present": f"{value} IS NOT NULL",
+        "zeros": text.matches(stripped, LEADING_ZERO),
+        "odd": f"{cell} AND NOT {numbers.is_number(value)}",
+        "not_int": f"NOT {numbers.is_integer(value)}",
+        "short": f"length({stripped}) < {MIN_DATE_LENGTH}",
+        "undated": f"{cell} AND {dates.parse_date(value, day_first=False)} IS NULL",
+        "not_bool": f"{cell} AND {stripped} NOT IN ({truths})",
     }
-    return [F.coalesce(F.bool_or(test), F.lit(False)).alias(f"{key}{i}") for key, test in flags.items()]
+    return [F.expr(f"coalesce(bool_or({test}), false) AS {key}{i}") for key, test in tests.items()]
 
 
 def _decide(row, i: int) -> str:
@@ -62,27 +62,26 @@ def infer_types(
     names = list(columns) if columns is not None else text_columns(df.schema, df.columns)
     if not names:
         return {}
-    flags = [flag for i, name in enumerate(names) for flag in _flags(name, i, tokens)]
-    row = df.agg(*flags).first()
+    row = df.agg(*[flag for i, name in enumerate(names) for flag in flags(name, i, tokens)]).first()
     return {name: _decide(row, i) for i, name in enumerate(names)}
 
 
-def converted(name: str, dtype: str) -> Column:
-    """The text column in the inferred type."""
-    value = ref(name)
+def converted(name: str, dtype: str) -> str:
+    """The text column in the inferred type, as SQL text."""
+    value = quoted(name)
     if dtype == INTEGER:
-        return F.when(numbers.is_integer(value), F.trim(value).try_cast("bigint"))
+        return f"CASE WHEN {numbers.is_integer(value)} THEN try_cast(trim({value}) AS BIGINT) END"
     if dtype == DOUBLE:
         return numbers.to_double(value)
     if dtype == DATETIME:
         return dates.parse_date(value, day_first=False)
     if dtype == BOOLEAN:
-        return text.strip(value).try_cast("boolean")
+        return f"try_cast({text.strip(value)} AS BOOLEAN)"
     return value
 
 
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    changed = {name: converted(name, dtype) for name, dtype in types.items() if dtype != TEXT}
+    changed = {name: F.expr(converted(name, t)) for name, t in types.items() if t != TEXT}
     return df.withColumns(changed) if changed else df
 
 

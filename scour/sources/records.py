@@ -1,12 +1,11 @@
-"""The structure of CSV records, as column expressions over raw lines."""
+"""The structure of CSV records, as SQL text over raw lines."""
 
 from __future__ import annotations
 
 import csv
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from scour.schema import literal
 
 EXTRA, SHORT, QUOTES, ENCODING, EMPTY = (
     "extra_fields", "missing_fields", "malformed_quotes", "encoding_error", "empty_file",
@@ -21,26 +20,24 @@ def _field_pattern(delimiter: str) -> str:
     return rf"(?s)(?:^|{d})(?:{quoted}|{plain})?+(?={d}|$)"
 
 
-def is_malformed(line: Column, delimiter: str = ",") -> Column:
+def is_malformed(line: str, delimiter: str = ",") -> str:
     """Whether something is left of the line once all well-formed fields are taken out."""
-    return F.regexp_replace(line, _field_pattern(delimiter), "") != ""
+    return f"regexp_replace({line}, {literal(_field_pattern(delimiter))}, '') <> ''"
 
 
-def field_count(line: Column, delimiter: str = ",") -> Column:
+def field_count(line: str, delimiter: str = ",") -> str:
     """Fields of a well-formed line; an empty line has none."""
-    return F.when(line == "", 0).otherwise(
-        F.regexp_count(line, F.lit(_field_pattern(delimiter)))
-    )
+    pattern = literal(_field_pattern(delimiter))
+    return f"CASE WHEN {line} = '' THEN 0 ELSE regexp_count({line}, {pattern}) END"
 
 
-def structure_issue(line: Column, expected: int, delimiter: str = ",") -> Column:
+def structure_issue(line: str, expected: int, delimiter: str = ",") -> str:
     """What is wrong with the line, NULL if nothing is."""
     found = field_count(line, delimiter)
     return (
-        F.when(~F.is_valid_utf8(line), ENCODING)
-        .when(is_malformed(line, delimiter), QUOTES)
-        .when(found > expected, EXTRA)
-        .when(found < expected, SHORT)
+        f"CASE WHEN NOT is_valid_utf8({line}) THEN '{ENCODING}' "
+        f"WHEN {is_malformed(line, delimiter)} THEN '{QUOTES}' "
+        f"WHEN {found} > {expected} THEN '{EXTRA}' WHEN {found} < {expected} THEN '{SHORT}' END"
     )
 
 
