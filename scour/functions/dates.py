@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from scour.functions.text import matches, strip
+from scour.functions.text import matches
 from scour.schema import literal
 
 # Notation names with the pattern each one stands for, in the order tried.
@@ -33,8 +33,11 @@ _MONTHS = "january,february,march,april,may,june,july,august,september,october,n
 _SHORT_MONTHS = "jan,feb,mar,apr,may,jun,jul,aug,sep,oct,nov,dec"
 _NAMED = r"^([A-Za-z]+)\s+(\d{1,2}),\s*(\d{4})$"
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T](?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d)?$"
-_DAY = r"(\d{1,2})"
-_MONTH = r"(0?[1-9]|1[0-2])"
+# Two-digit years go with slashes only.
+_YEAR = r"(\d{4}|(?<=/)\d{2})"
+_BY_DAY = rf"^(\d{{1,2}})([-/])(0?[1-9]|1[0-2])\2{_YEAR}$"
+_BY_MONTH = rf"^(0?[1-9]|1[0-2])([-/])(\d{{1,2}})\2{_YEAR}$"
+
 
 
 def detect_format(value: str) -> str:
@@ -46,32 +49,39 @@ def detect_format(value: str) -> str:
     return f"CASE {cases} WHEN {value} IS NOT NULL THEN '{UNKNOWN_FORMAT}' END"
 
 
-def _rewrite(value: str, pattern: str, replacement: str) -> str:
-    return f"regexp_replace({value}, {literal(pattern)}, '{replacement}')"
+def _group(text: str, pattern: str, index: int) -> str:
+    return f"regexp_extract({text}, {literal(pattern)}, {index})"
+
+
+def _iso(year: str, month: str, day: str) -> str:
+    return f"concat_ws('-', {year}, {month}, {day})"
 
 
-def parse_date(value: str, day_first: bool) -> str:
-    """The timestamp a text stands for, NULL if the grammar has no reading of it.
+def parse_date(text: str, day_first: bool) -> str:
+    """The timestamp a (stripped) text stands for, NULL if the grammar has no reading of it.
 
-    The other notations are rewritten to the ISO one, which a single cast reads. For the ambiguous
-    ones the preferred order is used unless its month is impossible.
+    The other notations are rewritten to the ISO one, which a single cast reads; anything else that
+    a cast would take, such as a bare year, never gets there. For the ambiguous notations the
+    preferred order is used unless its month is impossible.
     """
-    text = strip(value)
-    text = _rewrite(text, r"^(\d{1,2}/\d{1,2}/)(69|[7-9]\d)$", "$119$2")
-    text = _rewrite(text, r"^(\d{1,2}/\d{1,2}/)(\d\d)$", "$120$2")
-    by_day = (rf"^{_DAY}([-/]){_MONTH}\2(\d{{4}})$", "$4-$3-$1")
-    by_month = (rf"^{_MONTH}([-/]){_DAY}\2(\d{{4}})$", "$4-$1-$3")
-    for pattern, replacement in (by_day, by_month) if day_first else (by_month, by_day):
-        text = _rewrite(text, pattern, replacement)
-    name = f"lower(regexp_extract({value}, '[A-Za-z]+', 0))"
+
+    def numeric(pattern: str, month: int, day: int) -> str:
+        year = _group(text, pattern, 4)
+        century = f"CASE WHEN {year} < '69' THEN '20' ELSE '19' END"
+        long_year = f"CASE WHEN length({year}) = 2 THEN concat({century}, {year}) ELSE {year} END"
+        rewritten = _iso(long_year, _group(text, pattern, month), _group(text, pattern, day))
+        return f"WHEN {matches(text, pattern)} THEN {rewritten} "
+
+    by_day, by_month = numeric(_BY_DAY, 3, 1), numeric(_BY_MONTH, 1, 3)
+    name = f"lower({_group(text, _NAMED, 1)})"
     month = f"greatest(find_in_set({name}, '{_MONTHS}'), find_in_set({name}, '{_SHORT_MONTHS}'))"
-    named = (
-        f"concat_ws('-', regexp_extract({strip(value)}, {literal(_NAMED)}, 3), CAST({month} AS STRING), "
-        f"regexp_extract({strip(value)}, {literal(_NAMED)}, 2))"
+    named = _iso(_group(text, _NAMED, 3), f"CAST({month} AS STRING)", _group(text, _NAMED, 2))
+    iso_text = (
+        f"CASE WHEN {matches(text, _ISO)} THEN {text} "
+        + (by_day + by_month if day_first else by_month + by_day)
+        + f"WHEN {matches(text, _NAMED)} THEN {named} END"
     )
-    text = f"CASE WHEN {matches(strip(value), _NAMED)} THEN {named} ELSE {text} END"
-    # Anything else that a cast would take, such as a bare year, is not in the grammar.
-    return f"try_cast(regexp_extract({text}, {literal(_ISO)}, 0) AS TIMESTAMP_NTZ)"
+    return f"try_cast({iso_text} AS TIMESTAMP_NTZ)"
 
 
 def render_date(value: str, target: str) -> str:

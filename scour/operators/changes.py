@@ -23,12 +23,17 @@ WHOLE_ROW = "*"
 REMOVED = "Removed"
 
 
+# Names an edit can give to the steps it builds on.
+TEXT, NUMBER = "__text", "__number"
+
+
 @dataclass(frozen=True)
 class Edit:
     """How one column changes; everything is SQL text over the source columns.
 
-    A cell changes where `cleaned` is not NULL and differs from `original`. `value` is the new
-    column if it is not the cleaned text itself, `source` what stays in unchanged cells.
+    A cell changes where `cleaned` is not NULL and differs from `original`. `source` is what stays
+    in unchanged cells, `value` the new column if it is not just the cleaned text. `steps` are
+    named intermediate results, computed once per row in this order.
     """
 
     column: str
@@ -37,49 +42,48 @@ class Edit:
     cleaned: str
     reason: str
     value: str | None = None
-    # A number that `cleaned` uses more than once, under the name `NUMBER`.
-    number: str | None = None
+    steps: tuple[tuple[str, str], ...] = ()
 
+    def numbered(self, i: int) -> Edit:
+        """The edit with step names of its own, and the cleaned value as the last step."""
+        steps = (*self.steps, ("__cleaned", self.cleaned))
 
-NUMBER = "__number"
+        def own(sql: str) -> str:
+            for name, _ in steps:
+                sql = sql.replace(name, f"{name}_{i}")
+            return sql
 
+        return Edit(
+            self.column, self.source, own(self.original), f"__cleaned_{i}", own(self.reason),
+            self.value, tuple((own(name), own(sql)) for name, sql in steps),
+        )
 
-def _staged(df: DataFrame, edits: Sequence[Edit]) -> DataFrame:
-    """The table with the cleaned values next to the source columns."""
-    numbers = {
-        f"{NUMBER}_{i}": edit.number for i, edit in enumerate(edits) if edit.number is not None
-    }
-    if numbers:
-        df = df.select("*", *[F.expr(number).alias(name) for name, number in numbers.items()])
-    return df.select(
-        "*",
-        *[
-            F.expr(edit.cleaned.replace(NUMBER, f"{NUMBER}_{i}") if edit.number else edit.cleaned)
-            .alias(f"__cleaned_{i}")
-            for i, edit in enumerate(edits)
-        ],
-    )
+    @property
+    def changed(self) -> str:
+        return f"({self.cleaned} <> {self.original})"
 
 
-def _changed(edit: Edit, i: int) -> str:
-    return f"(__cleaned_{i} <> {edit.original})"
+def _staged(df: DataFrame, edits: Sequence[Edit]) -> tuple[DataFrame, list[Edit]]:
+    """The table with all steps next to the source columns, and the edits that refer to them."""
+    numbered = [edit.numbered(i) for i, edit in enumerate(edits)]
+    for level in range(max(len(edit.steps) for edit in numbered)):
+        steps = [edit.steps[level] for edit in numbered if level < len(edit.steps)]
+        df = df.select("*", *[F.expr(sql).alias(name) for name, sql in steps])
+    return df, numbered
 
 
 def apply_edits(df: DataFrame, edits: Sequence[Edit]) -> DataFrame:
     if not edits:
         return df
-    by_column = {edit.column: (i, edit) for i, edit in enumerate(edits)}
-    result = []
-    for name in df.columns:
-        if name not in by_column:
-            result.append(ref(name))
-            continue
-        i, edit = by_column[name]
-        value = edit.value or (
-            f"CASE WHEN {_changed(edit, i)} THEN __cleaned_{i} ELSE {edit.source} END"
-        )
-        result.append(F.expr(value).alias(name))
-    return _staged(df, edits).select(*result)
+    staged, numbered = _staged(df, edits)
+    values = {
+        edit.column: edit.value
+        or f"CASE WHEN {edit.changed} THEN {edit.cleaned} ELSE {edit.source} END"
+        for edit in numbered
+    }
+    return staged.select(
+        *[F.expr(values.get(name, quoted(name))).alias(name) for name in df.columns]
+    )
 
 
 def edit_log(df: DataFrame, edits: Sequence[Edit], row_id: str) -> DataFrame:
@@ -87,15 +91,17 @@ def edit_log(df: DataFrame, edits: Sequence[Edit], row_id: str) -> DataFrame:
     require_row_id(df, row_id, "A change log")
     if not edits:
         return empty_log(df, row_id)
+    staged, numbered = _staged(df, edits)
     entries = ", ".join(
-        f"CASE WHEN {_changed(edit, i)} THEN named_struct('column', {literal(edit.column)}, "
-        f"'original_value', {edit.original}, 'cleaned_value', __cleaned_{i}, "
+        f"CASE WHEN {edit.changed} THEN named_struct('column', {literal(edit.column)}, "
+        f"'original_value', {edit.original}, 'cleaned_value', {edit.cleaned}, "
         f"'reason', {edit.reason}) END"
-        for i, edit in enumerate(edits)
+        for edit in numbered
     )
     return (
-        _staged(df, edits)
-        .select(ref(row_id).alias("row_id"), F.expr(f"explode(array({entries}))").alias("entry"))
+        staged.select(
+            ref(row_id).alias("row_id"), F.expr(f"explode(array({entries}))").alias("entry")
+        )
         .where("entry IS NOT NULL")
         .select("row_id", "entry.*")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scour.functions import dates, numbers, text, units
-from scour.operators.changes import NUMBER, Edit, apply_edits, edit_log
+from scour.operators.changes import NUMBER, TEXT, Edit, apply_edits, edit_log
 from scour.schema import (
     column_types,
     data_columns,
@@ -73,25 +73,23 @@ def standardize_text_edits(df: DataFrame, column: str, style: str) -> list[Edit]
 def remove_units_edits(df: DataFrame, column: str, unit: str) -> list[Edit]:
     """Cells that are a number and this unit become the number, in text form."""
     source = _source(df, column)
-    original = text.strip(source)
     # Quoted literally, whatever characters the unit has.
     pattern = r"(?iu)^([-+]?\d+(?:\.\d+)?)\s*" + re.escape(unit) + r"\s*$"
-    number = f"try_cast(regexp_extract({original}, {literal(pattern)}, 1) AS DOUBLE)"
-    cleaned = numbers.render_number(NUMBER)
+    number = f"try_cast(regexp_extract({TEXT}, {literal(pattern)}, 1) AS DOUBLE)"
     reason = literal(f"Removed {unit} unit")
-    return [Edit(column, source, original, cleaned, reason, number=number)]
+    steps = ((TEXT, text.strip(source)), (NUMBER, number))
+    return [Edit(column, source, TEXT, numbers.render_number(NUMBER), reason, steps=steps)]
 
 
 def standardize_units_edits(df: DataFrame, column: str, target_unit: str) -> list[Edit]:
     """Quantities in a unit of the target's category are rewritten as `<number> <target unit>`."""
     source = _source(df, column)
-    original = text.strip(source)
-    unit = units.quantity_unit(original)
-    number = f"try_cast({units.quantity_number(original)} AS DOUBLE)"
-    converted = units.convert_value(number, unit, target_unit)
+    unit = units.quantity_unit(TEXT)
+    number = f"try_cast({units.quantity_number(TEXT)} AS DOUBLE)"
+    steps = ((TEXT, text.strip(source)), (NUMBER, units.convert_value(number, unit, target_unit)))
     cleaned = f"concat({numbers.render_rounded(NUMBER)}, {literal(' ' + target_unit)})"
     reason = f"concat('Converted from ', {unit}, {literal(' to ' + target_unit)})"
-    return [Edit(column, source, original, cleaned, reason, number=converted)]
+    return [Edit(column, source, TEXT, cleaned, reason, steps=steps)]
 
 
 def date_format_edits(
@@ -99,11 +97,11 @@ def date_format_edits(
 ) -> list[Edit]:
     """Dates are rewritten in the target notation; texts that are no date stay as they are."""
     source = _source(df, column)
-    original = text.strip(source)
-    parsed = dates.parse_date(source, day_first=interpretation == dates.DAY_FIRST)
+    parsed = dates.parse_date(TEXT, day_first=interpretation == dates.DAY_FIRST)
     cleaned = dates.render_date(parsed, target_format)
     reason = f"Converted date to {target_format} using user-selected interpretation"
-    return [Edit(column, source, original, cleaned, literal(reason))]
+    steps = ((TEXT, text.strip(source)),)
+    return [Edit(column, source, TEXT, cleaned, literal(reason), steps=steps)]
 
 
 def standardize_text(df: DataFrame, column: str, style: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from scour.functions import dates
 from scour.functions.missing import as_text, known
-from scour.functions.text import matches
+from scour.functions.text import matches, strip
 from scour.operators.profile import inline_rows, value_counts, weighted
 from scour.schema import (
     column_types,
@@ -78,13 +78,13 @@ def _column_stats(df: DataFrame, names: list[str], counts: DataFrame) -> DataFra
     words = ", ".join(map(literal, TRUTH_WORDS))
     digits = ", ".join(map(literal, TRUTH_NUMBERS))
     is_text_column = _of_type(df, names, is_text)
-    read = counts.selectExpr(
+    read = counts.selectExpr("*", f"{strip('value')} AS stripped").selectExpr(
         "column",
         "value",
         "n",
         f"CASE WHEN {_of_type(df, names, is_numeric)} THEN try_cast(value AS DOUBLE) END AS number",
         f"CASE WHEN {_of_type(df, names, is_temporal)} THEN try_cast(value AS TIMESTAMP_NTZ) "
-        f"WHEN {is_text_column} THEN {dates.parse_date('value', day_first=False)} END AS date",
+        f"WHEN {is_text_column} THEN {dates.parse_date('stripped', day_first=False)} END AS date",
         f"{is_text_column} AND {matches('value', EMAIL)} AS is_email",
         f"{is_text_column} AND {matches('value', PHONE)} AS is_phone",
         f"lower(value) IN ({words}) AS is_truth_word",

@@ -134,26 +134,22 @@ def load_csv(
 
 
 def _lenient_types(cells: DataFrame, names: Sequence[str], path, delimiter: str) -> dict[str, str]:
-    keys = ("present", "odd", "not_int", "not_bool")
-    flags, gaps = [], []
-    for i, name in enumerate(names):
-        flags += inference.flags(name, i, ())
-        gaps.append(F.expr(f"coalesce(bool_or({quoted(name)} IS NULL), false) AS gap{i}"))
+    keys = ("present", "absent", "odd", "not_int", "not_bool")
     too_long = f"{records.field_count(_CORRUPT, delimiter)} > {len(names)}"
-    row = cells.agg(
-        F.expr(f"coalesce(bool_or({too_long}), false) AS too_long"), *flags, *gaps
-    ).first()
+    row = inference.flags(
+        cells, names, (), keys, f"coalesce(bool_or({too_long}), false) AS too_long"
+    )
     if row["too_long"]:
         raise ValueError(f"The file {path!r} has records with more fields than its header")
     types = {}
     for i, name in enumerate(names):
-        present, odd, not_int, not_bool = (row[f"{key}{i}"] for key in keys)
+        present, absent, odd, not_int, not_bool = (row[f"{key}{i}"] for key in keys)
         if not present:
             types[name] = inference.DOUBLE
         elif not odd:
-            whole = not not_int and not row[f"gap{i}"]
+            whole = not not_int and not absent
             types[name] = inference.INTEGER if whole else inference.DOUBLE
-        elif not not_bool and not row[f"gap{i}"]:
+        elif not not_bool and not absent:
             types[name] = inference.BOOLEAN
         else:
             types[name] = inference.TEXT

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from scour.functions import dates, numbers, text
-from scour.schema import data_columns, literal, quoted, text_columns
+from scour.schema import data_columns, literal, quoted, ref, text_columns
 from scour.streaming.guards import require_batch
 
 # Texts that count as missing once a whole column converts.
@@ -19,23 +19,38 @@ MIN_DATE_LENGTH = 6
 TEXT, INTEGER, DOUBLE, DATETIME, BOOLEAN = "string", "bigint", "double", "timestamp_ntz", "boolean"
 
 
-def flags(name: str, i: int, tokens: Sequence[str]) -> list[Column]:
-    """What `_decide` asks about a text column; each is one boolean aggregate."""
-    value = quoted(name)
-    stripped = text.strip(value)
+SAFE_TESTS = ("present", "zeros", "odd", "not_int", "short", "undated")
+
+
+def flags(
+    df: DataFrame, names: Sequence[str], tokens: Sequence[str], tests: Sequence[str], *more: str
+) -> Row:
+    """One row with the tests that decide on each text column, `<test><i>`, and further aggregates.
+
+    The ends are stripped in a projection of their own, because every test needs that.
+    """
+    kept = [name for name in df.columns if name not in names]
+    stripped = df.selectExpr(
+        *map(quoted, kept), *[f"{text.strip(quoted(name))} AS s{i}" for i, name in enumerate(names)]
+    )
     listed = ", ".join(map(literal, tokens))
-    cell = f"({value} IS NOT NULL AND {stripped} NOT IN ({listed}))" if listed else f"({value} IS NOT NULL)"
     truths = "'True', 'False', 'TRUE', 'FALSE', 'true', 'false'"
-    tests = {
-        "present": f"{value} IS NOT NULL",
-        "zeros": text.matches(stripped, LEADING_ZERO),
-        "odd": f"{cell} AND NOT {numbers.is_number(value)}",
-        "not_int": f"NOT {numbers.is_integer(value)}",
-        "short": f"length({stripped}) < {MIN_DATE_LENGTH}",
-        "undated": f"{cell} AND {dates.parse_date(value, day_first=False)} IS NULL",
-        "not_bool": f"{cell} AND {stripped} NOT IN ({truths})",
-    }
-    return [F.expr(f"coalesce(bool_or({test}), false) AS {key}{i}") for key, test in tests.items()]
+    aggregates = list(more)
+    for i in range(len(names)):
+        value = f"s{i}"
+        cell = f"({value} NOT IN ({listed}))" if listed else f"({value} IS NOT NULL)"
+        conditions = {
+            "present": f"{value} IS NOT NULL",
+            "absent": f"{value} IS NULL",
+            "zeros": text.matches(value, LEADING_ZERO),
+            "odd": f"{cell} AND NOT {numbers.is_number(value)}",
+            "not_int": f"NOT {numbers.is_integer(value)}",
+            "short": f"length({value}) < {MIN_DATE_LENGTH}",
+            "undated": f"{cell} AND {dates.parse_date(value, day_first=False)} IS NULL",
+            "not_bool": f"{cell} AND {value} NOT IN ({truths})",
+        }
+        aggregates += [f"coalesce(bool_or({conditions[key]}), false) AS {key}{i}" for key in tests]
+    return stripped.agg(*map(F.expr, aggregates)).first()
 
 
 def _decide(row, i: int) -> str:
@@ -62,7 +77,7 @@ def infer_types(
     names = list(columns) if columns is not None else text_columns(df.schema, df.columns)
     if not names:
         return {}
-    row = df.agg(*[flag for i, name in enumerate(names) for flag in flags(name, i, tokens)]).first()
+    row = flags(df.select(*map(ref, names)), names, tokens, SAFE_TESTS)
     return {name: _decide(row, i) for i, name in enumerate(names)}
 
 
@@ -74,7 +89,7 @@ def converted(name: str, dtype: str) -> str:
     if dtype == DOUBLE:
         return numbers.to_double(value)
     if dtype == DATETIME:
-        return dates.parse_date(value, day_first=False)
+        return dates.parse_date(text.strip(value), day_first=False)
     if dtype == BOOLEAN:
         return f"try_cast({text.strip(value)} AS BOOLEAN)"
     return value
