@@ -87,7 +87,8 @@ def _text_cells(
         .option("emptyValue", "")
     )
     if corrupt:
-        reader = reader.option("columnNameOfCorruptRecord", _CORRUPT)
+        # Only a reader that looks at all fields notices how many there are.
+        reader = reader.option("columnNameOfCorruptRecord", _CORRUPT).option("columnPruning", False)
     cells = reader.csv(path)
     kept = [F.col(_CORRUPT)] if corrupt else []
     return cells.select(
@@ -250,11 +251,12 @@ def _ingest_multi_line(
         f"{records.field_count(_CORRUPT, delimiter)} AS found_fields",
         f"{_CORRUPT} AS raw_content",
         f"coalesce({issue}, '{records.QUOTES}') AS issue_type",
-        "CAST(NULL AS STRING) AS message",
+        f"concat('The record starts with: ', {quoted(names[0])}) AS message",
     )
+    # Spark refuses to look for broken records without reading a field of them.
     tally = errors.agg(
-        F.count(F.lit(1)).alias("issues"),
-        F.count_if(F.col("issue_type") == records.ENCODING).alias("encoding"),
+        F.expr("count_if(length(message) > 0) AS issues"),
+        F.expr(f"count_if(issue_type = '{records.ENCODING}') AS encoding"),
     ).first()
     if tally["encoding"]:
         return _encoding_failure(spark)
