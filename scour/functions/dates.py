@@ -29,8 +29,10 @@ TARGET_FORMATS = {
 }
 DAY_FIRST = "DD-MM-YYYY"
 
-_MONTHS = "january,february,march,april,may,june,july,august,september,october,november,december"
-_SHORT_MONTHS = "jan,feb,mar,apr,may,jun,jul,aug,sep,oct,nov,dec"
+_MONTHS = (
+    "january,february,march,april,may,june,july,august,september,october,november,december,"
+    "jan,feb,mar,apr,may,jun,jul,aug,sep,oct,nov,dec"
+)
 _NAMED = r"^([A-Za-z]+)\s+(\d{1,2}),\s*(\d{4})$"
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T](?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d)?$"
 # Two-digit years go with slashes only.
@@ -73,8 +75,8 @@ def parse_date(text: str, day_first: bool) -> str:
         return f"WHEN {matches(text, pattern)} THEN {rewritten} "
 
     by_day, by_month = numeric(_BY_DAY, 3, 1), numeric(_BY_MONTH, 1, 3)
-    name = f"lower({_group(text, _NAMED, 1)})"
-    month = f"greatest(find_in_set({name}, '{_MONTHS}'), find_in_set({name}, '{_SHORT_MONTHS}'))"
+    # An unknown name becomes month 0, which no cast accepts.
+    month = f"(find_in_set(lower({_group(text, _NAMED, 1)}), '{_MONTHS}') - 1) % 12 + 1"
     named = _iso(_group(text, _NAMED, 3), f"CAST({month} AS STRING)", _group(text, _NAMED, 2))
     iso_text = (
         f"CASE WHEN {matches(text, _ISO)} THEN {text} "
