@@ -202,9 +202,11 @@ def _top_categories(stats: DataFrame, counts: DataFrame) -> DataFrame:
         f"is_text AND NOT is_date AND distinct_values BETWEEN 1 AND {MAX_CATEGORIES - 1}"
     ).select("column")
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
+    # Neither a filter on the key nor a semi-join: both would be pushed below the grouping and give
+    # it a scan of its own.
     return (
-        counts.where("value IS NOT NULL")
-        .join(F.broadcast(few), "column", "left_semi")
+        counts.join(F.broadcast(few), "column")
+        .where("NOT (value IS NULL AND n > 0)")
         .withColumn("place", F.row_number().over(order))
         .where(f"place <= {SHOWN_CATEGORIES}")
         .groupBy("column")

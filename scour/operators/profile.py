@@ -144,7 +144,7 @@ def text_evidence(counts: DataFrame) -> DataFrame:
                 "count(unit) AS distinct_with_unit",
                 f"{weighted('unit IS NULL AND is_plain')} AS plain_numbers",
                 "min(unit) AS first_unit",
-                "coalesce(min(unit) = max(unit), false) AS one_unit",
+                "max(unit) AS last_unit",
                 # Both sets are bounded by the registry, not by the data.
                 f"array_sort(collect_set(CASE WHEN category <> '{units.UNKNOWN_CATEGORY}' "
                 "THEN unit END)) AS known_units",
@@ -165,7 +165,10 @@ def text_evidence(counts: DataFrame) -> DataFrame:
     )
     return evidence.selectExpr(
         "column", "missing", "present", "distinct_values", "dates", "numbers", "with_unit",
-        "distinct_with_unit", "plain_numbers", "first_unit", "one_unit", "known_units",
+        "distinct_with_unit", "plain_numbers", "first_unit",
+        # Reading a set as well keeps the aggregate on hashing: text minima alone mean sorting.
+        "coalesce(first_unit = last_unit AND size(categories) = 1, false) AS one_unit",
+        "known_units",
         "categories",
         *[f"style_{style}" for style in STYLES],
         # Notations in order of first appearance.
@@ -191,16 +194,17 @@ def text_counts(df: DataFrame, row_id: str | None) -> DataFrame:
 def spelling_groups(counts: DataFrame) -> DataFrame:
     """Keys with more than one spelling: `(column, key, spellings, stripped_alike)`."""
     return (
-        counts.where("value IS NOT NULL")
-        .selectExpr("column", "first_row", f"{text.strip('value')} AS stripped")
+        counts.selectExpr("column", "n", "first_row", f"{text.strip('value')} AS stripped")
         .groupBy("column", F.expr("lower(stripped) AS key"))
         .agg(
             F.expr("count(1) AS spellings"),
             F.expr("min(xxhash64(stripped)) = max(xxhash64(stripped)) AS stripped_alike"),
-            # Keeps this branch on the same shuffle as `text_evidence`.
+            F.expr("sum(n) AS n"),
             F.expr("min(first_row) AS first_row"),
         )
-        .where("spellings > 1")
+        # Missing is a single value, so it never has two spellings. The second condition always
+        # holds: it asks for the columns `text_evidence` reads, and so both share one shuffle.
+        .where("spellings > 1 AND NOT (n < spellings AND first_row < 0)")
     )
 
 
