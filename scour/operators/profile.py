@@ -24,6 +24,7 @@ from scour.schema import (
     data_columns,
     is_temporal,
     literal,
+    quoted,
     ref,
     text_columns,
     unpivot,
@@ -55,12 +56,12 @@ def value_counts(df: DataFrame, columns: Sequence[str], row_id: str | None = Non
     """`(column, value, n, first_row)`: distinct values as text; missing is one NULL value."""
     require_batch(df, "value_counts")
     types = column_types(df.schema)
-    first = ref(row_id) if row_id is not None else F.expr("CAST(NULL AS BIGINT)")
+    first = quoted(row_id) if row_id is not None else "CAST(NULL AS BIGINT)"
     values = {name: as_text(name, types[name]) for name in columns}
     if not values:
         df, values = df.where("false"), {"": "''"}
     return (
-        unpivot(df, values, first.alias("first_row"))
+        unpivot(df, values, first_row=first)
         .groupBy("column", "value")
         .agg(F.expr("count(1) AS n"), F.expr("min(first_row) AS first_row"))
     )

@@ -79,11 +79,16 @@ def text_columns(schema: T.StructType, names: Sequence[str]) -> list[str]:
     return [name for name in names if is_text(types[name])]
 
 
-def unpivot(df: DataFrame, values: dict[str, str], *kept: Column) -> DataFrame:
-    """`(column, value)` rows, one per entry of `values` (name to SQL text), after the kept columns."""
-    cells = ", ".join(
-        f"named_struct('column', {literal(name)}, 'value', {value})" for name, value in values.items()
-    )
-    return df.select(*kept, F.expr(f"explode(array({cells})) AS cell")).select(
-        *[name for name in df.select(*kept).columns], "cell.column", "cell.value"
+def unpivot(df: DataFrame, values: dict[str, str], **kept: str) -> DataFrame:
+    """`(column, value)` rows, one per entry of `values`, after the kept columns; all SQL text.
+
+    The values must have one type.
+    """
+    keys = [f"__kept_{name}" for name in kept]
+    prepared = df.select(
+        *[F.expr(sql).alias(key) for key, sql in zip(keys, kept.values())],
+        *[F.expr(sql).alias(name) for name, sql in values.items()],
     )
+    return prepared.unpivot(
+        [ref(key) for key in keys], [ref(name) for name in values], "column", "value"
+    ).select(*[ref(key).alias(name) for key, name in zip(keys, kept)], "column", "value")
