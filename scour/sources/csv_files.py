@@ -206,16 +206,30 @@ def ingest_csv(
         return _ingest_multi_line(spark, path, names, delimiter, infer)
 
     issue = records.structure_issue("value", len(names), delimiter)
+    # One row per file on the way, to see whether each one starts with the same header.
+    starts = f"value = {literal(header)} AND split = 0"
     tally = (
-        lines.selectExpr(f"{issue} AS issue")
+        lines.selectExpr(
+            "value", f"{issue} AS issue", "_metadata.file_path AS file",
+            "_metadata.file_block_start AS split",
+        )
+        .groupBy("file")
         .agg(
             F.expr("count(issue) AS issues"),
             F.expr(f"count_if(issue = '{records.ENCODING}') AS encoding"),
+            F.expr(f"bool_or({starts}) AS has_header"),
+        )
+        .agg(
+            F.expr("sum(issues) AS issues"),
+            F.expr("sum(encoding) AS encoding"),
+            F.expr("count_if(NOT has_header) AS other_headers"),
         )
         .first()
     )
     if tally["encoding"]:
         return _encoding_failure(spark)
+    if tally["other_headers"]:
+        return _fatal(spark, "other", f"{tally['other_headers']} files have another header.")
     if tally["issues"]:
         return IngestResult(
             UNCLEAR,

@@ -85,6 +85,15 @@ def test_header_only_and_repeated_header_line(spark, write):
     assert scour.ingest_csv(spark, write("A,A\n1,2\n", "twice.csv")).status == "fatal_error"
 
 
+def test_folder_of_files(spark, write, tmp_path):
+    write("A,B\n1,2\n", "one.csv")
+    write("A,B\n3,4\nA,B\n", "two.csv")
+    result = scour.ingest_csv(spark, str(tmp_path))
+    assert result.status == "success" and result.data.count() == 3
+    write("B,A\n5,6\n", "three.csv")
+    assert scour.ingest_csv(spark, str(tmp_path)).status == "fatal_error"
+
+
 def test_quoted_line_breaks_need_multi_line(spark, write):
     path = write('A,B\n1,"x\ny"\n2,z\n')
     assert scour.ingest_csv(spark, path).status == "needs_clarification"
