@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scour.llm import archive, mixing, url_rules
+from scour.llm import archive, bpe, compression, mixing, token_files, url_rules
 from scour.llm.ordering import with_positions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 2: BPE ---------------------------------------------------------------------------------------
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+@case("op2_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compiled = bpe.compile_tokenizer(spark, public_tokenizers.path(TOKENIZER))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = documents.select("doc_id", bpe.encode(F.col("text"), compiled).alias("ids"))
+    decoded = encoded.select("doc_id", "ids", bpe.decode(F.col("ids"), compiled).alias("decoded"))
+    return decoded.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 # --- 3: mixing sources ----------------------------------------------------------------------------
 
 WEIGHTS = (5, 2, 1)
@@ -132,6 +152,49 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+# --- 7: token files -------------------------------------------------------------------------------
+
+END_ID = 2
+
+
+@case("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_token_files(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID
+    )
+    return token_files.read_token_files(spark, files).select(
+        "doc_id",
+        "start",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
+# --- 8: quality classifier ------------------------------------------------------------------------
+
+
+def held_out(key: str = "doc_id"):
+    """Whether the labels of a document are not to be learned from."""
+    remainder = F.crc32(F.col(key).cast("string").cast("binary")) % 3
+    return F.coalesce(remainder == 1, F.lit(False))
+
+
+def fit_quality(spark: SparkSession, documents: DataFrame, sf_dir: str) -> compression.Model | None:
+    return compression.fit(documents, table(spark, sf_dir, "labels").where(~held_out()))
+
+
+@case("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = compression.score(documents, fit_quality(spark, documents, sf_dir))
+    return scored.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 # --- 10: WARC -------------------------------------------------------------------------------------
 
 WARC_SQL = """
