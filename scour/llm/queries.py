@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scour.llm import archive, bpe, compression, mixing, token_files, url_rules
+from scour.llm import archive, bpe, compression, mixing, simhash, token_files, url_rules
 from scour.llm.ordering import with_positions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +152,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+# --- 6: SimHash ---------------------------------------------------------------------------------
+
+
+@case("op6_simhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        simhash.as_hex(F.col("fingerprint")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 # --- 7: token files -------------------------------------------------------------------------------
 
 END_ID = 2
