@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scour.llm import archive, bpe, compression, mixing, simhash, token_files, url_rules
+from scour.llm import archive, bpe, compression, mixing, neighbours, simhash, token_files, url_rules
 from scour.llm.ordering import with_positions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,10 +37,8 @@ TOKENIZER = "word_bpe_49k.json"
 
 @case("op2_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    compiled = bpe.compile_tokenizer(spark, public_tokenizers.path(TOKENIZER))
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = documents.select("doc_id", bpe.encode(F.col("text"), compiled).alias("ids"))
-    decoded = encoded.select("doc_id", "ids", bpe.decode(F.col("ids"), compiled).alias("decoded"))
+    decoded = bpe.transcode(documents, public_tokenizers.path(TOKENIZER))
     return decoded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
@@ -207,6 +205,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- 9: nearest neighbours ------------------------------------------------------------------------
+
+
+@case("op9_neighbours")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(
+        table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0
+    )
+
+
 # --- 10: WARC -------------------------------------------------------------------------------------
 
 WARC_SQL = """
