@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scour.llm import archive, bpe, compression, mixing, neighbours, simhash, token_files, url_rules
+from scour.llm import archive, bpe, compression, merkle, mixing, neighbours, quotes, simhash, token_files, url_rules
 from scour.llm.ordering import with_positions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 1: quotation linking -------------------------------------------------------------------------
+
+
+@case("op1_quotation_links")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations_without_quotes(table(spark, sf_dir, "conversations"))
+
+
 # --- 2: BPE ---------------------------------------------------------------------------------------
 
 TOKENIZER = "word_bpe_49k.json"
@@ -112,6 +120,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- 4: fingerprints ------------------------------------------------------------------------------
+
+
+@case("op4_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 # --- 5: URL filters -------------------------------------------------------------------------------
 
 URL_RULES = [
