@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scour.llm.components import components
@@ -272,7 +272,9 @@ def links(classes: DataFrame, most: int = 4, part: int = PART) -> DataFrame:
 def near_duplicates(
     documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, most: int = 4
 ) -> DataFrame:
-    """key, fingerprint (64-bit integer) and component (the smallest key reachable by links).
+    """key, fingerprint (64-bit integer), component (the smallest key reachable by links) and root.
+
+    The root is the smallest fingerprint of the component.
 
     Fingerprints are written once. The classes, one row a distinct fingerprint, are what is linked;
     copies never meet each other.
@@ -292,7 +294,33 @@ def near_duplicates(
         "classes",
     )
     names = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.join(names, "root").select("fingerprint", "component")
+    named = rooted.join(names, "root").select("fingerprint", "component", "root")
     return marked.join(named, "fingerprint").select(
-        F.col("key").alias(key), "fingerprint", "component"
+        F.col("key").alias(key), "fingerprint", "component", "root"
+    )
+
+
+def one_of_each(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, most: int = 4
+) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest key.
+
+    Null keys come last, and of rows that share key and fingerprint one stays.
+    """
+    marked = near_duplicates(documents, key, text, width, most)
+    # Components are told by their roots here, as those without a key have no name.
+    rank = F.row_number().over(
+        Window.partitionBy("root").orderBy(F.col(key).asc_nulls_last(), "fingerprint")
+    )
+    chosen = (
+        marked.withColumn("rank", rank)
+        .where(F.col("rank") == 1)
+        .select(F.col(key).alias("__key"), F.col("fingerprint").alias("__of"))
+    )
+    shown = documents.withColumn("__fingerprint", fingerprints(F.col(text), width))
+    same = shown[key].eqNullSafe(chosen["__key"]) & (shown["__fingerprint"] == chosen["__of"])
+    return (
+        shown.join(chosen, same, "left_semi")
+        .dropDuplicates([key, "__fingerprint"])
+        .select(*documents.columns)
     )
