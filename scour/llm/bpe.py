@@ -28,21 +28,24 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
 WORD_END = "</w>"
 # Fixed value: the words of the tokenizer file's pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A Python worker remembers this many of the latest distinct pieces, and as many from before.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Documents that leave a worker at a time.
+GROUP_TEXTS = 256
 
 # Latin letters and common signs: there, Python and the tokenizer agree on case and white space,
 # and composing characters changes nothing. Other texts are split by the tokenizer's own rules.
-_UNSURE = re.compile("[^\x00-\x1b\x20-ɏ‐-‧€]")
+UNSURE = re.compile("[^\x00-\x1b\x20-ɏ‐-‧€]")
 
 
 def byte_symbols() -> list[str]:
@@ -257,7 +260,7 @@ class Codec:
         return packed
 
     def _plain(self, text: str) -> bytes:
-        if _UNSURE.search(text):
+        if UNSURE.search(text):
             split = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
             return self._packed([word for word, _ in split])
         known = self.pieces.get
@@ -283,12 +286,13 @@ class Codec:
 _codecs: dict[int, Codec] = {}
 
 
-def _codec(compiled) -> Codec:
-    """The worker's codec for this broadcast."""
-    if compiled.id not in _codecs:
+def _codec(compiled: Broadcast) -> Codec:
+    """The worker's codec for these tables."""
+    name = hash(compiled.value[1])
+    if name not in _codecs:
         _codecs.clear()
-        _codecs[compiled.id] = Codec(*compiled.value)
-    return _codecs[compiled.id]
+        _codecs[name] = Codec(*compiled.value)
+    return _codecs[name]
 
 
 def automaton_of(file: str) -> Automaton:
@@ -299,51 +303,42 @@ def automaton_of(file: str) -> Automaton:
     return Automaton(rules["model"]["vocab"], [tuple(m) for m in merges], special)
 
 
-class _Compiled:
-    """A broadcast with a name that workers can tell it by."""
-
-    def __init__(self, broadcast):
-        self.id = broadcast._jbroadcast.id() if broadcast._jbroadcast is not None else id(broadcast)
-        self.broadcast = broadcast
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
+def transcode(
+    documents: DataFrame,
+    path: str,
+    text: str = "text",
+    ids: str | None = "ids",
+    decoded: str | None = "decoded",
+) -> DataFrame:
+    """The documents with their packed ids and the text that the ids decode to; None leaves one out.
 
-def compile_tokenizer(spark: SparkSession, path: str):
-    """Compile a tokenizer file on the driver and broadcast the tables; they don't grow with data."""
+    Columns that have these names already are replaced. The tokenizer file is compiled on the
+    driver; the tables are broadcast, they don't grow with the data. Results leave the worker a few
+    hundred documents at a time.
+    """
+    spark = documents.sparkSession
     with open(path, encoding="utf-8") as file:
         content = file.read()
-    return _Compiled(spark.sparkContext.broadcast((automaton_of(content), content)))
-
-
-def encode(text: Column, compiled) -> Column:
-    """Ids of a text, packed as little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(compiled)
-        for batch in batches:
-            yield pd.Series([codec.encode(value) for value in batch], dtype=object)
-
-    return F.pandas_udf(run, "binary")(text)
-
-
-def decode(ids: Column, compiled) -> Column:
-    """The text of packed ids."""
+    compiled = spark.sparkContext.broadcast((automaton_of(content), content))
+    added = [(name, kind) for name, kind in ((ids, BinaryType()), (decoded, StringType())) if name]
+    kept = documents.drop(*[name for name, _ in added if name != text])
+    schema = StructType(
+        [field for field in kept.schema.fields if field.name not in dict(added)]
+        + [StructField(name, kind) for name, kind in added]
+    )
+    old = [field.name for field in schema.fields[: -len(added)]]
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(compiled)
         for batch in batches:
-            yield pd.Series([codec.decode(value) for value in batch], dtype=object)
-
-    return F.pandas_udf(run, "string")(ids)
-
-
-def encode_documents(
-    documents: DataFrame, path: str, text: str = "text", ids: str = "ids"
-) -> DataFrame:
-    """The documents with a column of packed ids."""
-    return documents.withColumn(
-        ids, encode(F.col(text), compile_tokenizer(documents.sparkSession, path))
-    )
+            for at in range(0, batch.num_rows, GROUP_TEXTS):
+                part = batch.slice(at, GROUP_TEXTS)
+                packed = list(map(codec.encode, part.column(text).to_pylist()))
+                columns = [part.column(name) for name in old]
+                if ids:
+                    columns.append(pa.array(packed, pa.binary()))
+                if decoded:
+                    columns.append(pa.array(map(codec.decode, packed), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return kept.mapInArrow(run, schema)
