@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from scour.llm.bpe import UNSURE, byte_symbols
 from scour.sources.staging import scratch_path
 
 MAGIC = b"RANKVB01"
@@ -40,8 +41,6 @@ BLOCK_IDS = 1 << 20
 HEAD, TAIL = struct.Struct("<QQ"), struct.Struct("<QQ8s")
 #: A Python worker remembers this many of the latest distinct pieces, and as many from before.
 REMEMBERED = 300_000
-#: Texts and pieces that are encoded at a time.
-GROUP_TEXTS, GROUP_PIECES = 1024, 10_000
 # Python splits at these controls, the tokenizer doesn't take them for white space.
 _CONTROLS = re.compile("[\x1c-\x1f]")
 
@@ -74,64 +73,67 @@ def decode_block(count: int, control: bytes, data: bytes) -> np.ndarray:
 # --- tokens ---------------------------------------------------------------------------------------
 
 
-class PieceEncoder:
-    """Encodes texts with a tokenizer; each distinct piece between white space once.
+class PieceIds(dict):
+    """The packed ids of pieces between white space, made with a tokenizer when first asked for.
 
-    This tokenizer drops white space and merges only within words, so the ids of a text are those
-    of its pieces.
+    This tokenizer lower-cases, drops white space and merges only within words, so the ids of a text
+    are those of its pieces, and those of a piece are those of its words. Words of Latin letters go
+    to the tokenizer's model, other pieces through the whole tokenizer.
     """
 
     def __init__(self, file: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.known: dict[str, bytes] = {}
+        self.symbols = byte_symbols()
         self.before: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), GROUP_PIECES):
-            part = texts[at : at + GROUP_PIECES]
-            for found in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
-                yield array(self.code, found.ids).tobytes()
-
-    def _resolve(self, pieces: set[str]) -> dict[str, bytes]:
-        resolved, missing = {}, []
-        for piece in pieces:
-            packed = self.known.get(piece)
-            if packed is None:
-                packed = self.before.get(piece)
-                if packed is None:
-                    missing.append(piece)
-                    continue
-                self.known[piece] = packed
-            resolved[piece] = packed
-        made = dict(zip(missing, self._ids(missing)))
-        resolved |= made
-        self.known |= made
-        if len(self.known) >= REMEMBERED:
-            self.before, self.known = self.known, {}
-        return resolved
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), GROUP_TEXTS):
-            group = [text or "" for text in texts[at : at + GROUP_TEXTS]]
-            # A text with such controls is one piece.
-            split = [[t] if _CONTROLS.search(t) else t.split() for t in group]
-            resolved = self._resolve(set().union(*split))
-            for pieces in split:
-                yield b"".join(map(resolved.__getitem__, pieces))
-
-
-_encoders: dict[int, PieceEncoder] = {}
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array(self.code, ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self.before.get(piece)
+        if packed is None:
+            word = piece.lower()
+            if UNSURE.search(piece):
+                packed = self.whole(piece)
+            elif not word.isalpha():
+                if piece[-1] in ".," and word[:-1].isalpha():
+                    packed = self[piece[:-1]] + self[piece[-1]]
+                else:
+                    packed = self.whole(piece)
+            elif word == piece:
+                shown = word if word.isascii() else "".join(map(self.symbols.__getitem__, word.encode()))
+                ids = [token.id for token in self.model.tokenize(shown)]
+                packed = array(self.code, ids).tobytes()
+            else:
+                packed = self[word]
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        self[piece] = packed
+        return packed
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if _CONTROLS.search(text):
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+_encoders: dict[int, PieceIds] = {}
 
 
 def _read_tokenizer(path: str) -> tuple[str, str]:
     """The file, and the numpy type that holds its ids."""
     with open(path, encoding="utf-8") as file:
         content = file.read()
-    return content, f"<u{array(PieceEncoder(content).code).itemsize}"
+    return content, f"<u{array(PieceIds(content).code).itemsize}"
 
 
 def _encode(text: Column, rules: str, kind: str, spark: SparkSession, end_id: int) -> Column:
@@ -143,11 +145,10 @@ def _encode(text: Column, rules: str, kind: str, spark: SparkSession, end_id: in
         name = hash(content.value)
         if name not in _encoders:
             _encoders.clear()
-            _encoders[name] = PieceEncoder(content.value)
+            _encoders[name] = PieceIds(content.value)
         encoder = _encoders[name]
         for batch in batches:
-            packed = [ids + last for ids in encoder.encode(batch.tolist())]
-            yield pd.Series(packed, dtype=object)
+            yield pd.Series([encoder.encode(value) + last for value in batch], dtype=object)
 
     return F.pandas_udf(run, "binary")(text)
 
