@@ -9,7 +9,7 @@ compared, written and logged but should be computed once.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +23,13 @@ WHOLE_ROW = "*"
 REMOVED = "Removed"
 
 
-# Names an edit can give to the steps it builds on.
-TEXT, NUMBER = "__text", "__number"
+def step_name(df: DataFrame, kind: str, column: str) -> str:
+    """A name for an intermediate result of a column, which no column of the table has."""
+    name = f"__{kind}_{df.columns.index(column)}"
+    taken = {other.lower() for other in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
 
 
 @dataclass(frozen=True)
@@ -33,7 +38,7 @@ class Edit:
 
     A cell changes where `cleaned` is not NULL and differs from `original`. `source` is what stays
     in unchanged cells, `value` the new column if it is not just the cleaned text. `steps` are
-    named intermediate results, computed once per row in this order.
+    named intermediate results, computed once per row in this order; `step_name` gives names.
     """
 
     column: str
@@ -44,19 +49,10 @@ class Edit:
     value: str | None = None
     steps: tuple[tuple[str, str], ...] = ()
 
-    def numbered(self, i: int) -> Edit:
-        """The edit with step names of its own, and the cleaned value as the last step."""
-        steps = (*self.steps, ("__cleaned", self.cleaned))
-
-        def own(sql: str) -> str:
-            for name, _ in steps:
-                sql = sql.replace(name, f"{name}_{i}")
-            return sql
-
-        return Edit(
-            self.column, self.source, own(self.original), f"__cleaned_{i}", own(self.reason),
-            self.value, tuple((own(name), own(sql)) for name, sql in steps),
-        )
+    def staged(self, df: DataFrame) -> Edit:
+        """The edit with the cleaned value as the last step."""
+        name = step_name(df, "cleaned", self.column)
+        return replace(self, cleaned=name, steps=(*self.steps, (name, self.cleaned)))
 
     @property
     def changed(self) -> str:
@@ -65,7 +61,7 @@ class Edit:
 
 def _staged(df: DataFrame, edits: Sequence[Edit]) -> tuple[DataFrame, list[Edit]]:
     """The table with all steps next to the source columns, and the edits that refer to them."""
-    numbered = [edit.numbered(i) for i, edit in enumerate(edits)]
+    numbered = [edit.staged(df) for edit in edits]
     for level in range(max(len(edit.steps) for edit in numbered)):
         steps = [edit.steps[level] for edit in numbered if level < len(edit.steps)]
         df = df.select("*", *[F.expr(sql).alias(name) for name, sql in steps])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scour.functions import dates, numbers, text, units
-from scour.operators.changes import NUMBER, TEXT, Edit, apply_edits, edit_log
+from scour.operators.changes import Edit, apply_edits, edit_log, step_name
 from scour.schema import (
     column_types,
     data_columns,
@@ -73,23 +73,26 @@ def standardize_text_edits(df: DataFrame, column: str, style: str) -> list[Edit]
 def remove_units_edits(df: DataFrame, column: str, unit: str) -> list[Edit]:
     """Cells that are a number and this unit become the number, in text form."""
     source = _source(df, column)
+    stripped, value = step_name(df, "text", column), step_name(df, "number", column)
     # Quoted literally, whatever characters the unit has.
-    pattern = r"(?iu)^([-+]?\d+(?:\.\d+)?)\s*" + re.escape(unit) + r"\s*$"
-    number = f"try_cast(regexp_extract({TEXT}, {literal(pattern)}, 1) AS DOUBLE)"
+    pattern = r"(?iu)^([-+]?\d+(?:\.\d+)?)(?U:\s*)" + re.escape(unit) + r"(?U:\s*)$"
+    number = f"try_cast(regexp_extract({stripped}, {literal(pattern)}, 1) AS DOUBLE)"
     reason = literal(f"Removed {unit} unit")
-    steps = ((TEXT, text.strip(source)), (NUMBER, number))
-    return [Edit(column, source, TEXT, numbers.render_number(NUMBER), reason, steps=steps)]
+    steps = ((stripped, text.strip(source)), (value, number))
+    return [Edit(column, source, stripped, numbers.render_number(value), reason, steps=steps)]
 
 
 def standardize_units_edits(df: DataFrame, column: str, target_unit: str) -> list[Edit]:
     """Quantities in a unit of the target's category are rewritten as `<number> <target unit>`."""
     source = _source(df, column)
-    unit = units.quantity_unit(TEXT)
-    number = f"try_cast({units.quantity_number(TEXT)} AS DOUBLE)"
-    steps = ((TEXT, text.strip(source)), (NUMBER, units.convert_value(number, unit, target_unit)))
-    cleaned = f"concat({numbers.render_rounded(NUMBER)}, {literal(' ' + target_unit)})"
+    stripped, value = step_name(df, "text", column), step_name(df, "number", column)
+    unit = units.quantity_unit(stripped)
+    number = f"try_cast({units.quantity_number(stripped)} AS DOUBLE)"
+    converted = units.convert_value(number, unit, target_unit)
+    steps = ((stripped, text.strip(source)), (value, converted))
+    cleaned = f"concat({numbers.render_rounded(value)}, {literal(' ' + target_unit)})"
     reason = f"concat('Converted from ', {unit}, {literal(' to ' + target_unit)})"
-    return [Edit(column, source, TEXT, cleaned, reason, steps=steps)]
+    return [Edit(column, source, stripped, cleaned, reason, steps=steps)]
 
 
 def date_format_edits(
@@ -97,11 +100,12 @@ def date_format_edits(
 ) -> list[Edit]:
     """Dates are rewritten in the target notation; texts that are no date stay as they are."""
     source = _source(df, column)
-    parsed = dates.parse_date(TEXT, day_first=interpretation == dates.DAY_FIRST)
+    stripped = step_name(df, "text", column)
+    parsed = dates.parse_date(stripped, day_first=interpretation == dates.DAY_FIRST)
     cleaned = dates.render_date(parsed, target_format)
     reason = f"Converted date to {target_format} using user-selected interpretation"
-    steps = ((TEXT, text.strip(source)),)
-    return [Edit(column, source, TEXT, cleaned, literal(reason), steps=steps)]
+    steps = ((stripped, text.strip(source)),)
+    return [Edit(column, source, stripped, cleaned, literal(reason), steps=steps)]
 
 
 def standardize_text(df: DataFrame, column: str, style: str) -> DataFrame:

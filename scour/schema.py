@@ -35,19 +35,30 @@ def is_temporal(dtype: T.DataType) -> bool:
     return isinstance(dtype, TEMPORAL_TYPES)
 
 
-def quoted(name: str) -> str:
-    """The column in SQL text; dots, spaces and backticks are part of the name."""
+def _in_backticks(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def quoted(name: str) -> str:
+    """The column in SQL text; dots, spaces and backticks are part of the name.
+
+    The parser would replace `${...}` by settings, and names know no escape, so such a name is
+    refused.
+    """
+    if "${" in name:
+        raise ValueError(f"The column name {name!r} contains '${{'; rename it")
+    return _in_backticks(name)
+
+
 def literal(text: str) -> str:
-    """The text as a SQL string literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """The text as a SQL string literal. The dollar sign is escaped: `${...}` is replaced in SQL."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024")
+    return "'" + escaped + "'"
 
 
 def ref(name: str) -> Column:
     """A reference to exactly this column."""
-    return F.col(quoted(name))
+    return F.col(_in_backticks(name))
 
 
 def column_types(schema: T.StructType) -> dict[str, T.DataType]:
