@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from scour.schema import literal, quoted, ref
 from scour.sources import inference, records
+from scour.sources.staging import stage
 
 # Cell texts the lenient scan reads as missing.
 NULL_TOKENS = (
@@ -105,8 +106,9 @@ def load_csv(
 ) -> DataFrame:
     """The lenient scan: null tokens become NULL, and types are inferred without leading-zero care.
 
-    With a `schema` no extra pass is made; otherwise one aggregate infers integer, double and
-    boolean columns and finds records with too many fields, which are an error.
+    Files whose headers differ are an error, as are records with more fields than the header. One
+    aggregate infers integer, double and boolean columns. A `schema` has the header's names, in any
+    order, and gives the types instead; a value that does not convert is then an error too.
     """
     header = _header_line(spark, path)
     if header is None:
@@ -114,7 +116,10 @@ def load_csv(
     names = records.parse_header(header, delimiter)
     if not names:
         raise ValueError(f"The file {path!r} has no readable header")
-    cells = _text_cells(spark, path, names, delimiter, multi_line, corrupt=schema is None)
+    others = _file_tally(spark, path, header)["other_headers"]
+    if others:
+        raise ValueError(f"{others} files of {path!r} have another header")
+    cells = _text_cells(spark, path, names, delimiter, multi_line, corrupt=True)
     tokens = ", ".join(map(literal, NULL_TOKENS))
     cells = cells.withColumns(
         {
@@ -123,17 +128,34 @@ def load_csv(
         }
     )
     if schema is not None:
-        return cells.select(
-            *[
-                (ref(name) if field.dataType == T.StringType() else ref(name).try_cast(field.dataType))
-                .alias(field.name)
-                for name, field in zip(names, schema.fields)
-            ]
-        )
+        return _with_schema(cells, names, schema, path, delimiter)
     types = _lenient_types(cells, names, path, delimiter)
     return inference.apply_types(cells.drop(_CORRUPT), types)
 
 
+def _with_schema(
+    cells: DataFrame, names: Sequence[str], schema: T.StructType, path, delimiter: str
+) -> DataFrame:
+    """The named columns in the types of the schema; one aggregate looks for what would be lost."""
+    if sorted(names) != sorted(schema.names):
+        raise ValueError(f"The schema has the columns {schema.names}, the header {list(names)}")
+    values = {
+        field.name: ref(field.name)
+        if field.dataType == T.StringType()
+        else ref(field.name).try_cast(field.dataType)
+        for field in schema.fields
+    }
+    too_long = F.expr(f"{records.field_count(_CORRUPT, delimiter)} > {len(names)}")
+    lost = [F.count_if(ref(n).isNotNull() & v.isNull()).alias(f"n{i}") for i, (n, v) in enumerate(values.items())]
+    row = cells.agg(F.count_if(too_long).alias("too_long"), *lost).first()
+    if row["too_long"]:
+        raise ValueError(f"The file {path!r} has records with more fields than its header")
+    bad = [name for i, name in enumerate(values) if row[f"n{i}"]]
+    if bad:
+        raise ValueError(f"Columns {', '.join(bad)} of {path!r} have values that are not of their type")
+    return cells.select(*[value.alias(name) for name, value in values.items()])
+
+
 def _lenient_types(cells: DataFrame, names: Sequence[str], path, delimiter: str) -> dict[str, str]:
     keys = ("present", "absent", "odd", "not_int", "not_bool")
     too_long = f"{records.field_count(_CORRUPT, delimiter)} > {len(names)}"
@@ -202,34 +224,16 @@ def ingest_csv(
         return _fatal(spark, records.QUOTES, "The quotes of the header are broken.")
     if len(set(names)) != len(names):
         return _fatal(spark, "other", "The header repeats a column name.")
-    if multi_line:
-        return _ingest_multi_line(spark, path, names, delimiter, infer)
-
-    issue = records.structure_issue("value", len(names), delimiter)
-    # One row per file on the way, to see whether each one starts with the same header.
-    starts = f"value = {literal(header)} AND split = 0"
-    tally = (
-        lines.selectExpr(
-            "value", f"{issue} AS issue", "_metadata.file_path AS file",
-            "_metadata.file_block_start AS split",
-        )
-        .groupBy("file")
-        .agg(
-            F.expr("count(issue) AS issues"),
-            F.expr(f"count_if(issue = '{records.ENCODING}') AS encoding"),
-            F.expr(f"bool_or({starts}) AS has_header"),
-        )
-        .agg(
-            F.expr("sum(issues) AS issues"),
-            F.expr("sum(encoding) AS encoding"),
-            F.expr("count_if(NOT has_header) AS other_headers"),
-        )
-        .first()
-    )
+    issue = None
+    if not multi_line:
+        issue = records.structure_issue("value", len(names), delimiter)
+    tally = _file_tally(spark, path, header, issue)
     if tally["encoding"]:
         return _encoding_failure(spark)
     if tally["other_headers"]:
         return _fatal(spark, "other", f"{tally['other_headers']} files have another header.")
+    if multi_line:
+        return _ingest_multi_line(spark, path, names, delimiter, infer)
     if tally["issues"]:
         return IngestResult(
             UNCLEAR,
@@ -240,6 +244,31 @@ def ingest_csv(
     return _success(spark, _text_cells(spark, path, names, delimiter, False), infer)
 
 
+def _file_tally(spark: SparkSession, path, header: str, issue: str | None = None):
+    """One row: broken lines, lines that are not UTF-8, and files that start with another header."""
+    return (
+        _lines(spark, path)
+        .select(
+            "value",
+            F.expr(issue or "CAST(NULL AS STRING)").alias("issue"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("split"),
+        )
+        .groupBy("file")
+        .agg(
+            F.count("issue").alias("issues"),
+            F.count_if(~F.is_valid_utf8("value")).alias("encoding"),
+            F.bool_or((F.col("value") == F.lit(header)) & (F.col("split") == 0)).alias("has_header"),
+        )
+        .agg(
+            F.sum("issues").alias("issues"),
+            F.sum("encoding").alias("encoding"),
+            F.count_if(~F.col("has_header")).alias("other_headers"),
+        )
+        .first()
+    )
+
+
 def _success(spark: SparkSession, cells: DataFrame, infer: bool) -> IngestResult:
     data = inference.safe_infer(cells, None) if infer else cells
     return IngestResult(SUCCESS, None, data, _no_errors(spark))
@@ -268,29 +297,28 @@ def _ingest_multi_line(
         f"concat('The record starts with: ', {quoted(names[0])}) AS message",
     )
     # Spark refuses to look for broken records without reading a field of them.
-    tally = errors.agg(
-        F.expr("count_if(length(message) > 0) AS issues"),
-        F.expr(f"count_if(issue_type = '{records.ENCODING}') AS encoding"),
-    ).first()
-    if tally["encoding"]:
-        return _encoding_failure(spark)
+    tally = errors.agg(F.expr("count_if(length(message) > 0) AS issues")).first()
     if tally["issues"]:
         message = f"{tally['issues']} records do not fit the header; repairing them would be a guess."
         return IngestResult(UNCLEAR, message, None, errors)
     return _success(spark, cells.drop(_CORRUPT), infer)
 
 
-def numbered_lines(spark: SparkSession, path) -> DataFrame:
-    """`(file, line_number, value)`, the first line of each file being 1.
+def numbered_lines(spark: SparkSession, path, wanted: str = "true") -> DataFrame:
+    """`(file, line_number, value)` of the wanted lines, the first line of each file being 1.
 
     Lines are counted per file split, and the running counts are added to the position within the
-    split. The counts have one row per split, so they are small enough to be sent to every task.
+    split. The scan is written once, without the lines nobody wants: where splits begin and end
+    depends on the cluster at the time, so it must not be made twice.
     """
-    lines = _lines(spark, path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("id"),
+    lines = stage(
+        _lines(spark, path).select(
+            F.expr(f"CASE WHEN {wanted} THEN value END").alias("value"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("id"),
+        ),
+        "lines",
     )
     counts = lines.groupBy("file", "split").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")
@@ -301,7 +329,7 @@ def numbered_lines(spark: SparkSession, path) -> DataFrame:
     starts = counts.select(
         "file", "split", "first_id", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")
     )
-    return lines.join(F.broadcast(starts), ["file", "split"]).select(
+    return lines.where("value IS NOT NULL").join(starts, ["file", "split"]).select(
         "file", (F.col("start") + F.col("id") - F.col("first_id") + 1).alias("line_number"), "value"
     )
 
@@ -313,9 +341,8 @@ def structural_errors(
     issue = records.structure_issue("value", len(names), delimiter)
     counted = f"issue IN ('{records.EXTRA}', '{records.SHORT}')"
     return (
-        numbered_lines(spark, path)
+        numbered_lines(spark, path, f"{issue} IS NOT NULL")
         .selectExpr("*", f"{issue} AS issue")
-        .where("issue IS NOT NULL")
         .selectExpr(
             "line_number AS row_index",
             f"CASE WHEN {counted} THEN {len(names)} END AS expected_fields",
@@ -333,12 +360,14 @@ def structural_errors(
 def save_table(
     df: DataFrame, path: str, inputs: Sequence[str] = (), format: str = "csv"
 ) -> None:
-    """Write with a header, never over existing data and never onto an input of the table."""
+    """Write with a header, never over existing data and never onto a named input.
+
+    A target that holds an input of the table exists, so it is refused like any that does.
+    """
     if format not in ("csv", "parquet"):
         raise ValueError(f"Unknown format {format!r}; use csv or parquet")
     target = _qualified(df.sparkSession, path)
     taken = {_qualified(df.sparkSession, source) for source in inputs}
-    taken |= {_qualified(df.sparkSession, name) for name in df.inputFiles()}
     if any(source == target or source.startswith(target + "/") for source in taken):
         raise ValueError(f"{path!r} is an input of this table; choose a new folder")
     parent = target.rsplit("/", 1)[0]

@@ -112,7 +112,7 @@ def test_record_numbers_across_splits(spark, write):
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
         result = scour.ingest_csv(spark, path)
-        assert csv_files.numbered_lines(spark, path).rdd.getNumPartitions() > 8
+        assert csv_files._lines(spark, path).rdd.getNumPartitions() > 8
         assert [e[0] for e in errors(result)] == [i for i in range(2, 5001) if i % 97 == 0]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -167,8 +167,10 @@ def test_save(spark, make, tmp_path):
     assert column(back, "x") == [1.5, None, 2.0]
     with pytest.raises(Exception, match="already exists"):
         scour.save_table(df, target)
-    with pytest.raises(ValueError):
+    with pytest.raises(Exception, match="already exists"):
         scour.save_table(back, target)
+    with pytest.raises(ValueError):
+        scour.save_table(df, target, inputs=[target])
     with pytest.raises(ValueError):
         scour.save_table(df, str(tmp_path / "no" / "such" / "out"))
     scour.save_table(df, str(tmp_path / "p"), format="parquet")
