@@ -7,7 +7,9 @@ from scour.functions.text import matches
 # Spark's cast also takes `12d` and `1f`, so the shape is checked first.
 _NUMBER = r"^\s*[-+]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|(?i:inf|infinity))\s*$"
 _PLAIN = r"^\s*[-+]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|(?i:inf|infinity|nan))\s*$"
-_INTEGER = r"^\s*[-+]?\d{1,18}\s*$"
+_INTEGER = r"^\s*[-+]?\d+\s*$"
+# Integers with no more digits are doubles without loss.
+_EXACT_DIGITS = 15
 _BIGINT_SAFE = "9.0e18D"
 _NAN, _INFINITY = "double('NaN')", "double('Infinity')"
 
@@ -17,7 +19,18 @@ def is_number(text: str) -> str:
 
 
 def is_integer(text: str) -> str:
-    return matches(text, _INTEGER)
+    """Whether a text is an integer of 64 bits."""
+    return f"({matches(text, _INTEGER)} AND try_cast(trim({text}) AS BIGINT) IS NOT NULL)"
+
+
+def loses_digits(text: str) -> str:
+    """Whether a text is an integer that a double would round."""
+    exact = f"try_cast(trim({text}) AS DECIMAL(38, 0))"
+    rounded = f"try_cast(try_cast(trim({text}) AS DOUBLE) AS DECIMAL(38, 0))"
+    return (
+        f"(length({text}) > {_EXACT_DIGITS} AND {matches(text, _INTEGER)} "
+        f"AND NOT coalesce({exact} = {rounded}, false))"
+    )
 
 
 def is_plain_number(text: str) -> str:

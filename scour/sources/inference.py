@@ -19,7 +19,7 @@ MIN_DATE_LENGTH = 6
 TEXT, INTEGER, DOUBLE, DATETIME, BOOLEAN = "string", "bigint", "double", "timestamp_ntz", "boolean"
 
 
-SAFE_TESTS = ("present", "zeros", "odd", "not_int", "short", "undated")
+SAFE_TESTS = ("present", "zeros", "odd", "not_int", "rounded", "short", "undated")
 
 
 def flags(
@@ -45,6 +45,7 @@ def flags(
             "zeros": text.matches(value, LEADING_ZERO),
             "odd": f"{cell} AND NOT {numbers.is_number(value)}",
             "not_int": f"NOT {numbers.is_integer(value)}",
+            "rounded": numbers.loses_digits(value),
             "short": f"length({value}) < {MIN_DATE_LENGTH}",
             "undated": f"{cell} AND {dates.parse_date(value, day_first=False)} IS NULL",
             "not_bool": f"{cell} AND {value} NOT IN ({truths})",
@@ -58,7 +59,10 @@ def _decide(row, i: int) -> str:
     if not row[f"present{i}"]:
         return TEXT
     if not row[f"zeros{i}"] and not row[f"odd{i}"]:
-        return DOUBLE if row[f"not_int{i}"] else INTEGER
+        if not row[f"not_int{i}"]:
+            return INTEGER
+        # A number that a double would round stays as it is written.
+        return TEXT if row[f"rounded{i}"] else DOUBLE
     if not row[f"short{i}"] and not row[f"undated{i}"]:
         return DATETIME
     return TEXT
@@ -70,7 +74,8 @@ def infer_types(
     """The type each text column can take without losing a value.
 
     Numeric if no cell has leading zeros and every cell that is not empty is a number; integral if
-    in addition no cell is empty. Otherwise a timestamp if every cell has at least six characters
+    in addition no cell is empty and all fit 64 bits. A column stays text if a double would round
+    one of its integers. Otherwise a timestamp if every cell has at least six characters
     and is a date. A column of empty cells alone becomes numeric, a column without cells stays text.
     """
     require_batch(df, "infer_types")
