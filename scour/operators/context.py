@@ -46,8 +46,8 @@ NAME_PARTS = {
         "department", "class",
     ),
 }
-EMAIL = r"^[\w\.-]+@[\w\.-]+\.\w+$"
-PHONE = r"^\+?[\d\s\-\(\)]{7,20}$"
+EMAIL = r"(?U)^[\w\.-]+@[\w\.-]+\.\w+$"
+PHONE = r"(?U)^\+?[\d\s\-\(\)]{7,20}$"
 TRUTH_WORDS = ("true", "false", "yes", "no", "y", "n", "t", "f")
 TRUTH_NUMBERS = ("0", "1", "0.0", "1.0")
 

@@ -34,6 +34,8 @@ def drop_duplicates(
     """Keep the first row per key in row order (or in `order`); missing equals missing."""
     require_batch(df, "drop_duplicates")
     columns = list(subset) if subset is not None else data_columns(df, row_id)
+    if not columns:
+        raise ValueError("drop_duplicates needs at least one column to tell rows apart by")
     require_columns(df, columns)
     if order is None:
         order = [ref(require_row_id(df, row_id, "drop_duplicates")).asc()]

@@ -196,16 +196,17 @@ def spelling_groups(counts: DataFrame) -> DataFrame:
     """Keys with more than one spelling: `(column, key, spellings, stripped_alike)`."""
     return (
         counts.selectExpr("column", "n", "first_row", f"{text.strip('value')} AS stripped")
+        .groupBy("column", "stripped")
+        .agg(F.expr("count(1) AS spellings"), F.expr("sum(n) AS n"), F.expr("min(first_row) AS first_row"))
         .groupBy("column", F.expr("lower(stripped) AS key"))
         .agg(
-            F.expr("count(1) AS spellings"),
-            F.expr("min(xxhash64(stripped)) = max(xxhash64(stripped)) AS stripped_alike"),
+            F.expr("sum(spellings) AS spellings"),
+            F.expr("count(1) = 1 AS stripped_alike"),
             F.expr("sum(n) AS n"),
             F.expr("min(first_row) AS first_row"),
         )
-        # Missing is a single value, so it never has two spellings. The second condition always
-        # holds: it asks for the columns `text_evidence` reads, and so both share one shuffle.
-        .where("spellings > 1 AND NOT (n < spellings AND first_row < 0)")
+        # Missing is a single value, so it never has two spellings.
+        .where("spellings > 1")
     )
 
 

@@ -67,7 +67,8 @@ def _rule_value(rule: Mapping) -> str | None:
         return None
     if rule["rule"] == "allowed-values":
         return ",".join(map(str, value))
-    return f"{value:g}"
+    whole = isinstance(value, float) and value.is_integer() and abs(value) < 1e15
+    return str(int(value) if whole else value)
 
 
 def _describe(rule: Mapping, index: int) -> list[Column]:
