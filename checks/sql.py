@@ -2,8 +2,32 @@
 
 from __future__ import annotations
 
-from scour.functions.dates import DATE_FORMATS
-from scour.operators.context import EMAIL, NAME_PARTS, PHONE
+# Fixed values, written out: an error in the library's own must show.
+DATE_FORMATS = {
+    "DD/MM/YYYY or MM/DD/YYYY": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$",
+    "DD/MM/YY or MM/DD/YY": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$",
+    "DD-MM-YYYY or MM-DD-YYYY": r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$",
+    "YYYY-MM-DD": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
+    "Month DD, YYYY": r"^[A-Za-z]+\s+[0-9]{1,2},\s+[0-9]{4}$",
+}
+EMAIL = r"^[\pL\pN_.-]+@[\pL\pN_.-]+\.[\pL\pN_]+$"
+PHONE = r"^\+?[0-9\s()-]{7,20}$"
+NAME_PARTS = {
+    "identifier": ("id", "uuid", "guid", "index"),
+    "date": ("date", "time", "timestamp", "created", "updated"),
+    "phone": ("phone", "mobile", "tel", "contact"),
+    "age": ("age", "years"),
+    "money": (
+        "price", "cost", "revenue", "salary", "amount", "total", "tax", "fee", "balance",
+    ),
+    "percentage": ("percent", "rate", "ratio", "margin"),
+    "text": ("name", "title", "description", "text", "comment", "address"),
+    "boolean": ("is_", "has_", "flag"),
+    "category": (
+        "category", "type", "status", "group", "role", "city", "country", "state", "gender",
+        "department", "class",
+    ),
+}
 
 
 def parsed(value: str, day_first: bool = True) -> str:
