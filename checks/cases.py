@@ -911,7 +911,7 @@ def ctx_unique(spark, sf_dir):
     ),
 )
 def ctx_missing(spark, sf_dir):
-    return context.column_statistics(view(spark, sf_dir, "messy_orders")).select(
+    return context.column_ranges(view(spark, sf_dir, "messy_orders")).select(
         "column", "rows", "missing", F.round("missing_fraction", 4).alias("missing_fraction")
     )
 
@@ -925,7 +925,7 @@ def ctx_missing(spark, sf_dir):
     ),
 )
 def ctx_minmax(spark, sf_dir):
-    return context.column_statistics(view(spark, sf_dir, "line_items")).select(
+    return context.column_ranges(view(spark, sf_dir, "line_items")).select(
         "column", "min_value", "max_value"
     )
 
@@ -948,7 +948,7 @@ def _date_range(stats: str) -> str:
 )
 def ctx_date_range(spark, sf_dir):
     parts = [
-        context.column_statistics(df, row_id)
+        context.column_ranges(df, row_id)
         for df, row_id in (
             (view(spark, sf_dir, "messy_orders"), "row_id"),
             (table(spark, sf_dir, "orders"), None),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scour.functions import dates
-from scour.functions.missing import as_text, known
+from scour.functions.missing import as_text, is_missing, known
 from scour.functions.text import matches, strip
 from scour.operators.profile import inline_rows, value_counts, weighted
 from scour.schema import (
@@ -22,6 +22,7 @@ from scour.schema import (
     is_temporal,
     is_text,
     literal,
+    quoted,
 )
 from scour.streaming.guards import require_batch
 
@@ -225,6 +226,56 @@ def column_statistics(df: DataFrame, row_id: str | None = "row_id") -> DataFrame
     return _stats_table(df, row_id)[0].select(*_STATISTICS)
 
 
+def _range_struct(name: str, dtype: T.DataType, position: int) -> str:
+    """One column's ranges as a struct of aggregates; `n<i>`, `d<i>` are its number and date."""
+    number, date = f"n{position}", f"d{position}"
+    finite = f"CASE WHEN abs({number}) < double('Infinity') THEN {number} END"
+    if is_temporal(dtype):
+        is_date = f"count({date}) > 0"
+    else:
+        is_date = f"count({date}) > {CONTEXT_DATE_SHARE}D * count_if(NOT m{position})"
+    missing = f"count_if(m{position})"
+    return (
+        f"named_struct('position', {position}, 'column', {literal(name)}, "
+        f"'dtype', '{dtype.simpleString()}', 'rows', count(1), 'missing', {missing}, "
+        f"'missing_fraction', CASE WHEN count(1) > 0 THEN {missing} / count(1) ELSE 0D END, "
+        f"'min_value', CASE WHEN min({number}) = min({finite}) THEN min({number}) END, "
+        f"'max_value', CASE WHEN max({number}) = max({finite}) THEN max({number}) END, "
+        f"'date_min', CASE WHEN {is_date} THEN min({date}) END, "
+        f"'date_max', CASE WHEN {is_date} THEN max({date}) END)"
+    )
+
+
+def column_ranges(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
+    """Rows, missing cells and fraction, number and date range per column.
+
+    A plain aggregate: a row a task is all that is shuffled, unlike for `column_statistics`, which
+    counts distinct values.
+    """
+    require_batch(df, "column_ranges")
+    types = column_types(df.schema)
+    names = data_columns(df, row_id)
+    cells = []
+    for i, name in enumerate(names):
+        dtype = types[name]
+        number = f"try_cast({known(name, dtype)} AS DOUBLE)" if is_numeric(dtype) else "CAST(NULL AS DOUBLE)"
+        if is_temporal(dtype):
+            date = f"CAST({quoted(name)} AS TIMESTAMP_NTZ)"
+        elif is_text(dtype):
+            date = dates.parse_date(f"s{i}", day_first=False)
+        else:
+            date = "CAST(NULL AS TIMESTAMP_NTZ)"
+        cells.append((f"{is_missing(name, dtype)} AS m{i}", f"{number} AS n{i}", f"{date} AS d{i}"))
+    stripped = [
+        f"{strip(quoted(name))} AS s{i}" for i, name in enumerate(names) if is_text(types[name])
+    ]
+    prepared = df.selectExpr(*[quoted(name) for name in names], *stripped).selectExpr(
+        *[cell for column in cells for cell in column]
+    )
+    structs = ", ".join(_range_struct(name, types[name], i) for i, name in enumerate(names))
+    return prepared.agg(F.expr(f"array({structs})").alias("found")).select(F.inline("found"))
+
+
 def column_hints(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     return _stats_table(df, row_id)[0].selectExpr("position", "column", f"{HINT} AS hint")
 
