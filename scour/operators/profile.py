@@ -29,6 +29,7 @@ from scour.schema import (
     text_columns,
     unpivot,
 )
+from scour.sources.staging import stage
 from scour.streaming.guards import require_batch
 
 # The issue types in report order.
@@ -192,6 +193,11 @@ def text_counts(df: DataFrame, row_id: str | None) -> DataFrame:
     return value_counts(df, text_columns(df.schema, data_columns(df, row_id)), row_id)
 
 
+def shared_counts(df: DataFrame, row_id: str | None) -> DataFrame:
+    """`text_counts`, written once: several branches read them, and each would count again."""
+    return stage(text_counts(df, row_id), "value-counts")
+
+
 def spelling_groups(counts: DataFrame) -> DataFrame:
     """Keys with more than one spelling: `(column, key, spellings, stripped_alike)`."""
     return (
@@ -212,7 +218,7 @@ def spelling_groups(counts: DataFrame) -> DataFrame:
 
 def text_variants(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     """Every spelling of every inconsistent value: `(column, key, variant, n)`."""
-    counts = text_counts(df, row_id).where("value IS NOT NULL")
+    counts = shared_counts(df, row_id).where("value IS NOT NULL")
     keyed = counts.selectExpr("column", f"{text.text_key('value')} AS key", "value AS variant", "n")
     inconsistent = spelling_groups(counts).select("column", "key")
     return keyed.join(inconsistent, ["column", "key"], "left_semi")
@@ -252,7 +258,7 @@ def embedded_units(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
 
 def unit_values(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     """Every distinct value with a unit in the columns that have an issue: `(column, value, n)`."""
-    counts = text_counts(df, row_id)
+    counts = shared_counts(df, row_id)
     columns = text_evidence(counts).where(HAS_UNIT_ISSUE).select("column")
     # The side has at most one row per column of the table.
     return (
@@ -281,10 +287,13 @@ def analyze_quality(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
 
     `count` is missing cells, duplicate rows, spellings, date notations, or distinct values with a
     unit. Three scans: one aggregate for the missing cells, one grouping for the duplicates, and one
-    shared `value_counts` for the rest.
+    for the distinct values, which are written when this is called and serve the rest.
     """
     require_batch(df, "analyze_quality")
-    counts = text_counts(df, row_id)
+    return _issues(df, row_id, shared_counts(df, row_id))
+
+
+def _issues(df: DataFrame, row_id: str | None, counts: DataFrame) -> DataFrame:
     gaps = (
         missing_counts(df, row_id)
         .where("missing > 0")
@@ -321,14 +330,15 @@ def display_issues(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     That is the case where all other present values are plain numbers, there is one unit, and cells
     are missing.
     """
+    counts = shared_counts(df, row_id)
     handled = (
-        text_evidence(text_counts(df, row_id))
+        text_evidence(counts)
         .where(f"{MIXED_NUMERIC} AND missing > 0")
         .selectExpr(f"'{EMBEDDED_UNITS}' AS type", "column")
     )
     # The side has at most one row per column of the table.
     return (
-        analyze_quality(df, row_id)
+        _issues(df, row_id, counts)
         .join(F.broadcast(handled), ["type", "column"], "left_anti")
         .select("issue_rank", "type", "column", "count")
     )

@@ -315,7 +315,7 @@ def suggest_text_style(
     `variants` replaces the spellings found in the data by the caller's own per column.
     """
     require_batch(df, "suggest_text_style")
-    counts = profile.text_counts(df, row_id)
+    counts = profile.shared_counts(df, row_id)
     votes = profile.text_evidence(counts).select("column", *[f"style_{s}" for s in STYLES])
     if variants is None:
         groups = _spelling_table(counts)
@@ -368,7 +368,7 @@ def suggest(
     aggregated once.
     """
     require_batch(df, "suggest")
-    counts = profile.text_counts(df, row_id)
+    counts = profile.shared_counts(df, row_id)
     # One row per text column.
     rows = _column_table(df, row_id, counts).join(
         F.broadcast(_spelling_table(counts)), "column", "left"
