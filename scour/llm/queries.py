@@ -33,7 +33,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- 1: quotation linking -------------------------------------------------------------------------
 
 
-@case("op1_quotation_links")
+QUOTES_SQL = r"""
+WITH RECURSIVE lines AS (
+    SELECT conv_id, turn, i, regexp_extract(parts[i], '^(?:[ \t]{0,3}>)+') AS marks,
+        regexp_replace(parts[i], '^(?:[ \t]{0,3}>)+[ \t]?', '') AS content
+    FROM (SELECT conv_id, turn, string_split_regex(coalesce(text, ''), '\r\n|\n|\r') AS parts
+        FROM conversations) s, unnest(range(1, len(s.parts) + 1)) AS t(i)),
+leveled AS (
+    SELECT *, lag(level) OVER message AS last_level, lag(content) OVER message AS last_content,
+        lead(level) OVER message AS next_level
+    FROM (SELECT *, length(regexp_replace(marks, '[^>]', '', 'g')) AS level FROM lines)
+    WINDOW message AS (PARTITION BY conv_id, turn ORDER BY i)),
+own AS (
+    SELECT conv_id, turn, regexp_replace(coalesce(string_agg(content, chr(10) ORDER BY i) FILTER (
+        level = 0 AND NOT (coalesce(next_level, 0) > 0 AND regexp_matches(content,
+            '(?i)^[ \t]*(on\b.*\bwrote|.*\bwrites):[ \t]*$'))), ''),
+        '^(?:[ \t]*\n)+|\s+$', '', 'g') AS own_text
+    FROM leveled GROUP BY conv_id, turn),
+cut AS (
+    SELECT *, count(*) FILTER (last_level IS NULL OR level <> last_level OR trim(last_content) = '')
+        OVER (PARTITION BY conv_id, turn ORDER BY i) AS passage
+    FROM leveled),
+passages AS (
+    SELECT conv_id, turn, passage, level, string_agg(content, chr(10) ORDER BY i) AS body
+    FROM cut GROUP BY conv_id, turn, passage, level HAVING trim(body) <> ''),
+units AS (
+    SELECT conv_id, turn, passage, level, true AS whole, body AS part FROM passages
+    UNION ALL SELECT conv_id, turn, passage, level, false, unnest(string_split(body, chr(10))) FROM passages),
+spoken AS (
+    SELECT conv_id, turn, passage, level, whole, trim(regexp_replace(lower(part), '\s+', ' ', 'g')) AS words
+    FROM units WHERE trim(part) <> ''),
+said AS (SELECT conv_id, words, min(turn) AS origin FROM spoken WHERE level = 0 GROUP BY ALL),
+links AS (
+    SELECT q.conv_id, q.turn, q.passage, q.level, max({'whole': whole, 'origin': origin}).origin AS origin
+    FROM spoken q JOIN said USING (conv_id, words) WHERE q.level > 0 AND origin < q.turn GROUP BY ALL),
+linked AS (
+    SELECT conv_id, turn, max({'level': -level, 'origin': origin}).origin AS origin, count(*) AS linked
+    FROM links GROUP BY ALL),
+replies AS (
+    SELECT m.conv_id, m.turn, coalesce(origin, previous) AS reply_to, coalesce(linked, 0) AS linked
+    FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous
+        FROM conversations) m LEFT JOIN linked USING (conv_id, turn)),
+walk AS (
+    SELECT conv_id, turn, [turn] AS path FROM replies WHERE reply_to IS NULL
+    UNION ALL SELECT r.conv_id, r.turn, list_append(path, r.turn)
+    FROM replies r JOIN walk w ON r.conv_id = w.conv_id AND r.reply_to = w.turn),
+placed AS (
+    SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS position FROM walk)
+SELECT m.conv_id, m.turn, m.role, reply_to, position, linked, own_text, (
+    SELECT count(*) FROM passages p WHERE p.conv_id = m.conv_id AND p.turn = m.turn AND level > 0) AS quotes
+FROM conversations m JOIN replies USING (conv_id, turn) JOIN placed USING (conv_id, turn)
+JOIN own USING (conv_id, turn)
+"""
+
+
+@case("op1_quotation_links", QUOTES_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations_without_quotes(table(spark, sf_dir, "conversations"))
 
