@@ -21,6 +21,7 @@ from scour.schema import (
 )
 from scour.streaming.guards import require_batch
 
+# What the change log says.
 DUPLICATE_ROW = "Duplicate row"
 DUPLICATE_REASON = "Removed duplicate row"
 

@@ -28,6 +28,7 @@ from scour.streaming.guards import require_batch
 
 NUMERIC_STRATEGIES = ("mean", "median")
 CATEGORICAL_STRATEGIES = ("mode",)
+# What the change log says.
 MISSING_ROW = "Row contains missing value"
 MISSING_REASON = "Dropped row containing missing value"
 MISSING_MARK = "NaN"

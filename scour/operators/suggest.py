@@ -232,7 +232,7 @@ def units_outcome(hints: Mapping | None = None) -> str:
         ]
     )
     conflict = (
-        "concat('Review required: Genuine unit inconsistency between the categories ', "
+        "concat('Review required: the units belong to different categories: ', "
         "array_join(categories, ', '), '.')"
     )
     mixed_message = "concat('Some values carry ', first_unit, ', the others are plain numbers.')"
