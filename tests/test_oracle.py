@@ -5,6 +5,7 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from checks.cases import ORACLES
 from checks.compare import difference, oracle_connection
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -16,7 +17,7 @@ def connection():
     return oracle_connection(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, connection, name):
     assert difference(spark, SF_DIR, queries()[name], oracle_sql()[name], connection) is None
 
