@@ -1,0 +1,17 @@
+"""How many rows travel to Python at a time."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = 1000
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Lower the session's number of rows in a batch; texts can be long, and a batch is in memory.
+
+    The setting is read when a plan is run, so it is left as it is then. It is never raised.
+    """
+    if not 0 < int(spark.conf.get(SETTING)) <= ROWS:
+        spark.conf.set(SETTING, ROWS)

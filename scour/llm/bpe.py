@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
+from scour.llm.batches import limit_batches
+
 WORD_END = "</w>"
 # Fixed value: the words of the tokenizer file's pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -317,6 +319,7 @@ def transcode(
     hundred documents at a time.
     """
     spark = documents.sparkSession
+    limit_batches(spark)
     with open(path, encoding="utf-8") as file:
         content = file.read()
     compiled = spark.sparkContext.broadcast((automaton_of(content), content))

@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scour.llm.batches import limit_batches
 from scour.llm.components import components
 from scour.sources.staging import stage
 
@@ -279,6 +280,7 @@ def near_duplicates(
     Fingerprints are written once. The classes, one row a distinct fingerprint, are what is linked;
     copies never meet each other.
     """
+    limit_batches(documents.sparkSession)
     marked = stage(
         documents.select(
             F.col(key).alias("key"), fingerprints(F.col(text), width).alias("fingerprint")

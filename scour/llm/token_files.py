@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from scour.llm.batches import limit_batches
 from scour.llm.bpe import UNSURE, byte_symbols
 from scour.sources.staging import scratch_path
 
@@ -267,6 +268,7 @@ def write_token_files(
     counts of the whole corpus.
     """
     spark = documents.sparkSession
+    limit_batches(spark)
     files = TokenFiles(folder or scratch_path(spark, "tokens"))
     kept = f"{files.folder}/ids"
     rules, kind = _read_tokenizer(tokenizer)
