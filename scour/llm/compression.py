@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scour.llm.batches import limit_batches
 from scour.sources.staging import stage
 
 PIECE_BYTES = 128
@@ -82,14 +84,15 @@ def differences(text: Column, good: bytes, bad: bytes) -> Column:
 
 
 def _sampled_pieces(text: Column, pieces: int) -> Column:
-    """Some pieces of each text, spread evenly over its whole length."""
+    """Some pieces of each text, spread evenly over its whole length, in mixed order."""
 
     def run(batch: pd.Series) -> pd.Series:
         chosen = []
         for value in batch:
             data = (value or "").encode("utf-8", "surrogatepass")
             starts = np.linspace(0, max(0, len(data) - PIECE_BYTES), pieces).astype(int)
-            chosen.append([data[at : at + PIECE_BYTES] for at in dict.fromkeys(starts.tolist())])
+            mixed = np.random.default_rng(len(data)).permutation(np.unique(starts))
+            chosen.append([data[at : at + PIECE_BYTES] for at in mixed.tolist()])
         return pd.Series(chosen, dtype=object)
 
     return F.pandas_udf(run, "array<binary>")(text)
@@ -116,7 +119,7 @@ def fit(
     documents: DataFrame,
     labels: DataFrame,
     sample: int = 2000,
-    pieces: int = 6,
+    pieces: int = 64,
     dictionary_bytes: int = 1 << 18,
     key: str = "doc_id",
     text: str = "text",
@@ -129,6 +132,7 @@ def fit(
     and one number each. Every second sampled document makes the dictionaries, the others the
     curve. Labels are read for training here and nowhere else.
     """
+    limit_batches(documents.sparkSession)
     known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).where(
         F.col("__key").isNotNull() & F.col("__label").isin(0, 1)
     )
@@ -165,8 +169,7 @@ def fit(
     place = {row["__key"]: row["__order"] for kind in rows for row in kind}
     found.sort(key=lambda row: (place[row["__key"]], row["__key"]))
     good, bad = (
-        _dictionary([p for row in found if row["__label"] == value for p in row["__pieces"]],
-                    dictionary_bytes)
+        _dictionary([row["__pieces"] for row in found if row["__label"] == value], dictionary_bytes)
         for value in (1, 0)
     )
     fitted = (
@@ -185,9 +188,14 @@ def fit(
     return Model(good, bad, tuple(fit_curve(points)))
 
 
-def _dictionary(pieces: list[bytes], limit: int) -> bytes:
-    """The pieces end to end, as many as fit; the last ones are the cheapest to refer to."""
-    return b"".join(dict.fromkeys(pieces))[-limit:]
+def _dictionary(documents: list[list[bytes]], limit: int) -> bytes:
+    """A piece of each document in turn, then another of each, as many as fit, end to end.
+
+    With few documents most of each goes in, with many a little of each.
+    """
+    rounds = zip_longest(*documents)
+    pieces = dict.fromkeys(piece for turn in rounds for piece in turn if piece is not None)
+    return b"".join(pieces)[:limit]
 
 
 def score(
@@ -196,6 +204,7 @@ def score(
     """The documents with the probability of the good label."""
     if model is None:
         return documents.withColumn(into, F.lit(0.5))
+    limit_batches(documents.sparkSession)
     values, levels = zip(*model.curve)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
