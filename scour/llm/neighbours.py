@@ -39,6 +39,8 @@ ROWS, QUERIES = 20_000, 1_000
 #: Vectors that the planes are placed by, and queries that the number of candidates is fitted on.
 FITTED, TRIED = 4096, 64
 BITS = 32
+#: Rows whose distances to a query are computed at a time.
+SLICE = 4096
 
 
 @dataclass(frozen=True)
@@ -213,20 +215,22 @@ def _counts(rows: pd.DataFrame, queries: pd.DataFrame, bits: int) -> pd.DataFram
 def _nearest(rows: pd.DataFrame, queries: pd.DataFrame, k: int, size: int) -> pd.DataFrame:
     rows = rows.iloc[np.argsort(rows["code"].to_numpy(), kind="stable")]
     vectors, keys = _matrix(rows["vector"], size), rows["key"].to_numpy()
-    squares = (vectors**2).sum(1)
     asked = _matrix(queries["vector"], size)
     start, end = _ranges(
         rows["code"].to_numpy(), queries["code"].to_numpy(), queries["level"].to_numpy()
     )
     found = []
     for i, (a, b) in enumerate(zip(start.tolist(), end.tolist())):
-        rough = squares[a:b] - 2 * (vectors[a:b] @ asked[i])
-        # A few more than asked for, as the rough measure rounds otherwise than the exact one.
-        wide = k + 8
-        near = np.argpartition(rough, wide)[:wide] if wide < len(rough) else np.arange(b - a)
-        exact = _distances(vectors[a:b][near], asked[i])
-        best = np.lexsort((keys[a:b][near], exact))[:k]
-        found.append((keys[a:b][near][best], exact[best]))
+        # Differences first: squares and products of whole vectors round away small distances.
+        exact = np.concatenate(
+            [np.zeros(0)]
+            + [_distances(vectors[at : min(at + SLICE, b)], asked[i]) for at in range(a, b, SLICE)]
+        )
+        near = np.arange(b - a)
+        if k < len(exact):  # all that tie with the last one stay, so that the smaller keys win
+            near = np.flatnonzero(exact <= np.partition(exact, k - 1)[k - 1])
+        best = near[np.lexsort((keys[a:b][near], exact[near]))[:k]]
+        found.append((keys[a:b][best], exact[best]))
     sizes = [len(near) for near, _ in found]
     return pd.DataFrame(
         {"key": queries["key"].to_numpy().repeat(sizes),

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +207,26 @@ def test_neighbours(spark, limits, monkeypatch):
     assert [v for _, _, v in found[300]] == list(range(301, 311))
 
 
+def test_nearest_of_a_block_are_exact():
+    rng = np.random.default_rng(8)
+    unit = rng.normal(size=16)
+    tables = {
+        "ties": np.eye(300),
+        "signs": np.unique(rng.choice([-1.0, 1.0], size=(2000, 16)), axis=0),
+        "near copies": unit / np.linalg.norm(unit) + 1e-9 * rng.normal(size=(2000, 16)),
+        "offset": 1e8 + rng.normal(size=(2000, 16)),
+    }
+    for name, vectors in tables.items():
+        keys = rng.permutation(len(vectors))
+        rows = pd.DataFrame({"key": keys, "code": 0, "vector": vectors.tolist()})
+        queries = rows.head(5).assign(level=0)
+        found = neighbours._nearest(rows, queries, 11, vectors.shape[1])
+        for i in range(5):
+            exact = np.sqrt(((vectors - vectors[i]) ** 2).sum(1))
+            wanted = keys[np.lexsort((keys, exact))[:11]].tolist()
+            assert found.loc[found["key"] == keys[i], "near"].tolist() == wanted, name
+
+
 def test_few_or_no_vectors(spark):
     schema = "vec_id bigint, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 2.0]), (2, [1.0, 2.0])], schema)
