@@ -1,9 +1,12 @@
 r"""Document fingerprints: Merkle trees over sections, paragraphs and sentences.
 
 A text is cut into sections (after blank lines), these into paragraphs (after line breaks), these
-into sentences (after end marks and white space). Separators stay with what they end, so the parts
-put together are the text, and a node is the SHA-256 of its children's digests: roots are equal if
-and only if texts are. Comparing trees from the root down finds the parts that differ without the
+into sentences (after end marks and white space, or an end mark of scripts that write none), these
+into pieces: after words whose hash meets a condition, and `PIECE` characters after the last cut at
+the latest. So no leaf is long, cuts depend only on what is before them in the sentence, and texts
+that begin alike share leaves. Separators stay with what they end, so the parts put together are the
+text, and a node is the SHA-256 of its children's digests: roots are equal if and only if texts
+are. Comparing trees from the root down finds the parts that differ without the
 texts; the leaves that two trees share say how alike they are.
 
 A fingerprint is the root's digest, a colon, and the first eight digits of each leaf's digest.
@@ -26,7 +29,10 @@ from scour.sources.staging import stage
 
 SECTION_END = r"(?<=\n[ \t\r]{0,8}\n)(?![ \t\r]*\n)(?!\z)"
 PARAGRAPH_END = r"(?<=\n)(?![ \t\r]*\n)(?!\z)"
-SENTENCE_END = r"(?<=[.!?][ \t])(?!\z)"
+SENTENCE_END = r"(?<=[.!?\u2026\u061f\u06d4\u0964\u0965][ \t]|[\u3002\uff01\uff1f\uff0e\uff61])(?!\z)"
+WORD_END = r"(?<=[ \t])(?![ \t])(?!\z)"
+#: One word in so many ends a piece, and the most characters of a piece.
+WORDS, PIECE = 16, 96
 LEAF_DIGITS = 8
 
 
@@ -39,12 +45,34 @@ def _cut(text: Column, end: str) -> Column:
     return F.split(text, end)
 
 
+def _pieces(sentence: Column) -> Column:
+    """Digests of the pieces of a sentence."""
+    # U+0001 marks cuts; texts that have it are escaped by U+0002.
+    safe = F.replace(
+        F.replace(sentence, F.lit("\x02"), F.lit("\x02\x02")), F.lit("\x01"), F.lit("\x02\x03")
+    )
+    words = F.transform(
+        _cut(safe, WORD_END),
+        lambda word: F.when(
+            F.pmod(F.xxhash64(word), F.lit(WORDS)) == 0, F.concat(word, F.lit("\x01"))
+        ).otherwise(word),
+    )
+    by_words = F.split(F.array_join(words, ""), "\x01(?!\\z)")
+    bounded = F.transform(
+        by_words,
+        lambda piece: F.when(F.length(piece) <= PIECE, F.array(piece)).otherwise(
+            F.regexp_extract_all(piece, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+        ),
+    )
+    return F.transform(F.flatten(bounded), lambda piece: F.sha2(piece, 256))
+
+
 def _sentence_digests(paragraph: Column) -> Column:
-    return F.transform(_cut(paragraph, SENTENCE_END), lambda sentence: F.sha2(sentence, 256))
+    return F.transform(_cut(paragraph, SENTENCE_END), _pieces)
 
 
 def tree(text: Column) -> Column:
-    """Digests of the sentences, by paragraph and section."""
+    """Digests of the pieces, by sentence, paragraph and section."""
     return F.transform(
         _cut(F.coalesce(text, F.lit("")), SECTION_END),
         lambda section: F.transform(_cut(section, PARAGRAPH_END), _sentence_digests),
@@ -52,13 +80,20 @@ def tree(text: Column) -> Column:
 
 
 def root(digests: Column) -> Column:
-    return _digest(F.transform(digests, lambda s: _digest(F.transform(s, _digest))))
+    return _digest(
+        F.transform(
+            digests,
+            lambda section: _digest(
+                F.transform(section, lambda paragraph: _digest(F.transform(paragraph, _digest)))
+            ),
+        )
+    )
 
 
 def leaves(digests: Column) -> Column:
     """The first digits of each leaf, in order."""
     return F.transform(
-        F.flatten(F.flatten(digests)), lambda digest: F.substring(digest, 1, LEAF_DIGITS)
+        F.flatten(F.flatten(F.flatten(digests))), lambda digest: F.substring(digest, 1, LEAF_DIGITS)
     )
 
 

@@ -253,6 +253,20 @@ def test_edited_fingerprints(spark, odd):
     assert len({next(iter(found)) for found in marks.values()}) == len(marks)
 
 
+def test_halves_without_end_marks_share_leaves(spark):
+    rng = random.Random(9)
+    texts = [
+        " ".join(rng.choice(["ab", "cde", "f", "ghij"]) for _ in range(400)), "junk " * 300, "x" * 5000,
+        "\u65e5\u672c\u8a9e" * 100, "\U0001f600" * 300, "a\x01b\x02 " * 60, "\u4e00\u4e8c\u4e09\u3002" * 60,
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for row in merkle.edited_fingerprints(table).collect():
+        assert row.near_edited > 0, row.doc_id
+        assert len(row.fingerprint.partition(":")[2]) // 8 >= len(texts[row.doc_id]) / 96
+    leaf = lambda text: spark.range(1).select(merkle.fingerprint(merkle.tree(F.lit(text))).alias("f")).first().f
+    assert len({leaf(t) for t in ("a\x01b", "ab", "a\x02\x03b", "a\x02b", "a\x02\x02b")}) == 5
+
+
 def test_single_and_empty(spark):
     one = spark.createDataFrame([(7, "abcd")], "doc_id bigint, text string")
     row = merkle.edited_fingerprints(one).first()
