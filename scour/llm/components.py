@@ -36,23 +36,20 @@ def components(edges: DataFrame) -> DataFrame:
     `edges` has the columns a and b; nodes need an order. Direction, loops and repeated edges don't
     matter. Neighbours are never gathered: the smallest is an aggregate with a partial before the
     shuffle, and joins meet one row a node. Each round is written to the shared folder; only a count
-    and a checksum come to the driver. Rounds grow with the logarithm of the size.
+    comes to the driver. It ends when a round has exactly the edges of the one before. Rounds grow
+    with the logarithm of the size.
     """
     ordered = edges.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
     state = stage(ordered.distinct(), "edges")
-    mark = None
-    while True:
-        now = tuple(
-            state.agg(
-                F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))
-            ).first()
-        )
-        if now == mark or now[0] == 0:
-            break
-        mark = now
+    count, same = state.count(), False
+    while count and not same:
+        last, before = state, count
         state = stage(_small_star(stage(_large_star(state), "edges")), "edges")
+        count = state.count()
+        # Edges are distinct, so as many of which none is new are the same ones.
+        same = count == before and state.join(last, ["a", "b"], "left_anti").isEmpty()
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

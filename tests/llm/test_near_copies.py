@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from scour.llm import near_copies
+from scour.llm import components, near_copies
 
 SCHEMA = "doc_id bigint, text string, source string"
 
@@ -52,3 +52,9 @@ def test_keys(spark):
     table = spark.createDataFrame([(*row, "s") for row in rows], SCHEMA)
     kept = near_copies.one_of_each(table).collect()
     assert sorted((row.doc_id or 0, row.text) for row in kept) == [(0, "c d"), (5, "a b"), (6, "e f")]
+
+
+def test_components_do_not_rest_on_a_checksum(spark, monkeypatch):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    monkeypatch.setattr(components.F, "xxhash64", lambda *columns: components.F.lit(0))
+    assert {row.root for row in components.components(chain).collect()} == {0}
