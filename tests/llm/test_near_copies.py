@@ -1,8 +1,12 @@
 """The near-duplicates stage against all pairs of five-word shingle sets."""
 
+import hashlib
 import random
 
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from scour.llm import components, near_copies
@@ -58,3 +62,11 @@ def test_components_do_not_rest_on_a_checksum(spark, monkeypatch):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
     monkeypatch.setattr(components.F, "xxhash64", lambda *columns: components.F.lit(0))
     assert {row.root for row in components.components(chain).collect()} == {0}
+
+
+def test_tokens_are_decoded(spark):
+    table = spark.createDataFrame([(1, "a b, c!", "s", "en")], SCHEMA + ", lang string")
+    row = corpus_pipeline.encode(spark, table, "").first()
+    library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    text = library.decode(np.frombuffer(row.ids, "<u4").tolist(), skip_special_tokens=False)
+    assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
