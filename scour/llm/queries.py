@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scour.llm import archive, bpe, compression, merkle, mixing, neighbours, quotes, simhash, token_files, url_rules
+from scour.llm import archive, bpe, compression, merkle, mixing, neighbours, quotes, simhash, spelling, token_files, url_rules
 from scour.llm.ordering import with_positions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,3 +317,87 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+# --- 11: spelling variants ------------------------------------------------------------------------
+
+SPELLING_SQL = r"""
+WITH RECURSIVE steps AS (
+    SELECT i AS byte, 0 AS step, i::BIGINT AS rest FROM range(256) t(i)
+    UNION ALL SELECT byte, step + 1,
+        CASE WHEN rest % 2 = 1 THEN xor(rest >> 1, 3988292384::BIGINT) ELSE rest >> 1 END
+    FROM steps WHERE step < 8),
+crc_table AS (SELECT list(rest ORDER BY byte) AS codes FROM steps WHERE step = 8),
+runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+    WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (
+    SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+            range(octet_length(encode(doc || ':' || run))), lambda i:
+            ('0x' || substr(hex(encode(doc || ':' || run)), 2 * i + 1, 2))::BIGINT)),
+        lambda c, b: xor(codes[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS h
+    FROM runs, crc_table),
+spoiled AS (
+    SELECT times, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT)
+        || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word
+    FROM hashed),
+words AS (
+    SELECT word, sum(times)::BIGINT AS n FROM spoiled WHERE length(word) >= 6
+    GROUP BY word HAVING sum(times) >= 5),
+cuts AS (
+    SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM words),
+without AS (
+    SELECT DISTINCT word, n, substr(word, 1, place - 1) || substr(word, place + 1) AS rest FROM cuts),
+-- One letter blanked out at the same place: replaced. One letter left out: inserted or deleted.
+pairs AS (
+    SELECT a.word, b.word AS other, b.n
+    FROM (SELECT *, substr(word, 1, place - 1) || ' ' || substr(word, place + 1) AS blank FROM cuts) a
+    JOIN (SELECT *, substr(word, 1, place - 1) || ' ' || substr(word, place + 1) AS blank FROM cuts) b
+        ON a.blank = b.blank AND a.word <> b.word
+    UNION ALL SELECT l.word, s.word, s.n FROM without l JOIN words s ON l.rest = s.word
+    UNION ALL SELECT s.word, l.word, l.n FROM without l JOIN words s ON l.rest = s.word),
+best AS (
+    SELECT word, count(*) AS n_near, min({'rank': -n, 'other': other}) AS best FROM pairs GROUP BY word),
+forms AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+        CASE WHEN -best.rank >= 5 * w.n THEN best.other END AS form,
+        CASE WHEN -best.rank >= 5 * w.n THEN -best.rank END AS form_n
+    FROM words w LEFT JOIN best USING (word)),
+chains AS (
+    SELECT word, word AS place, 0 AS step FROM forms
+    UNION ALL SELECT c.word, f.form, step + 1 FROM chains c JOIN forms f ON c.place = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(place, step) AS root FROM chains GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+#: One in so many occurrences loses a letter.
+SPOILED = 199
+
+
+def spoiled_words(documents: DataFrame) -> DataFrame:
+    """The runs of letters of all texts, some of them with a letter left out. A null id is empty."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    # Shorter runs make no word of six letters.
+    runs = F.regexp_extract_all("text", F.lit(r"([A-Za-z\u00C0-\u00FF]{6,})"))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run")
+    return (
+        documents.select("doc_id", F.explode(runs).alias("run"))
+        .withColumn("run", F.translate("run", upper, lower))
+        .select("run", F.crc32(name.cast("binary")).alias("h"))
+        .select(
+            F.when(
+                F.col("h") % SPOILED == 0,
+                F.expr("concat(substring(run, 1, int(h % length(run))), substring(run, int(h % length(run)) + 2))"),
+            )
+            .otherwise(F.col("run"))
+            .alias("word")
+        )
+    )
+
+
+@case("op11_spelling_variants", SPELLING_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = spelling.count_words(spoiled_words(table(spark, sf_dir, "documents")), 6, 5)
+    return spelling.spelling_variants(counted).select("word", "form", "root", "n", "n_near", "form_n")
