@@ -42,6 +42,14 @@ def stage(df: DataFrame, label: str = "staged") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(staged: DataFrame) -> None:
+    """Delete what `stage` wrote for this table. Only for tables that nothing will read again."""
+    spark = staged.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in staged.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_row_id(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Add a unique row identity that follows the scan order, and pin it by staging.
 
