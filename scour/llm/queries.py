@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scour.llm import archive, bpe, compression, merkle, mixing, neighbours, quotes, simhash, spelling, token_files, url_rules
+from scour.llm import archive, bpe, compression, merkle, mixing, neighbours, quotes, simhash, spelling, token_files, url_rules, vector_codes
 from scour.llm.ordering import with_positions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,3 +401,18 @@ def spoiled_words(documents: DataFrame) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = spelling.count_words(spoiled_words(table(spark, sf_dir, "documents")), 6, 5)
     return spelling.spelling_variants(counted).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# --- 13: vector codes -----------------------------------------------------------------------------
+
+
+@case("op13_vector_codes")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_errors(coded.rows).select(
+        F.col("key").alias("vec_id"),
+        vector_codes.as_hex(F.col("codes")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(vector_codes.digest(coded.codebooks)).alias("codebooks_sha256"),
+    )
