@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scour.llm import archive, bpe, compression, merkle, mixing, neighbours, quotes, simhash, spelling, token_files, url_rules, vector_codes
+from scour.llm import archive, bpe, compression, merkle, mixing, neighbours, quotes, simhash, spelling, token_files, toxicity, url_rules, vector_codes
 from scour.llm.ordering import with_positions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -416,3 +416,18 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label_error",
         F.lit(vector_codes.digest(coded.codebooks)).alias("codebooks_sha256"),
     )
+
+
+# --- 12: toxicity ---------------------------------------------------------------------------------
+
+
+@case("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels").where(~held_out()))
+    return toxicity.score(documents, model).select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )

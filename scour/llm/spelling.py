@@ -57,6 +57,7 @@ def letter_groups(spark: SparkSession, words: DataFrame, groups: int = GROUPS) -
     """The letters in groups of similar frequency, the most frequent letters apart."""
     counted = (
         words.select(F.explode(F.split("word", "")).alias("letter"))
+        .where("letter <> ''")
         .groupBy("letter")
         .count()
         .collect()  # at most 255 letters
