@@ -35,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from scour.llm.batches import limit_batches
+from scour.llm.remembered import Remembered
+
 
 WORD_END = "</w>"
 # Fixed value: the words of the tokenizer file's pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: A Python worker remembers this many of the latest distinct pieces, and as many from before.
-REMEMBERED = 150_000
+#: Bytes of the latest distinct pieces that a task remembers, and as many from before.
+REMEMBERED = 48 << 20
 #: Documents that leave a worker at a time.
 GROUP_TEXTS = 256
 
@@ -194,8 +195,7 @@ class Codec:
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
         self.symbols = byte_symbols()
         self.words = regex.compile(WORDS)
-        self.pieces: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.pieces = Remembered(REMEMBERED)
 
     def _has_arc(self, state: int, token: int) -> bool:
         starts, ends = self.lost[state]
@@ -240,25 +240,23 @@ class Codec:
 
     def _piece(self, piece: str) -> bytes:
         """The ids of a piece, from those remembered before, or made and remembered."""
-        packed = self.before.get(piece)
+        packed = self.pieces.before.get(piece)
         if packed is None:
             lowered = piece.lower()
             if lowered.isascii() and lowered.isalpha():
                 packed = array("I", self.encode_word(lowered)).tobytes()
             else:
                 packed = b"".join(map(self._word, self.words.findall(lowered)))
-        if len(self.pieces) >= REMEMBERED:
-            self.before, self.pieces = self.pieces, {}
-        self.pieces[piece] = packed
+        self.pieces.keep(piece, packed)
         return packed
 
     def _word(self, word: str) -> bytes:
         """The ids of a word within a piece; it may stand in other pieces or alone."""
-        packed = self.pieces.get(word) or self.before.get(word)
+        packed = self.pieces.get(word) or self.pieces.before.get(word)
         if packed is None:
             shown = "".join(map(self.symbols.__getitem__, word.encode()))
             packed = array("I", self.encode_word(shown)).tobytes()
-            self.pieces[word] = packed
+            self.pieces.keep(word, packed)
         return packed
 
     def _plain(self, text: str) -> bytes:
@@ -319,7 +317,6 @@ def transcode(
     hundred documents at a time.
     """
     spark = documents.sparkSession
-    limit_batches(spark)
     with open(path, encoding="utf-8") as file:
         content = file.read()
     compiled = spark.sparkContext.broadcast((automaton_of(content), content))
@@ -333,15 +330,19 @@ def transcode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(compiled)
-        for batch in batches:
-            for at in range(0, batch.num_rows, GROUP_TEXTS):
-                part = batch.slice(at, GROUP_TEXTS)
-                packed = list(map(codec.encode, part.column(text).to_pylist()))
-                columns = [part.column(name) for name in old]
-                if ids:
-                    columns.append(pa.array(packed, pa.binary()))
-                if decoded:
-                    columns.append(pa.array(map(codec.decode, packed), pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, GROUP_TEXTS):
+                    part = batch.slice(at, GROUP_TEXTS)
+                    packed = list(map(codec.encode, part.column(text).to_pylist()))
+                    columns = [part.column(name) for name in old]
+                    if ids:
+                        columns.append(pa.array(packed, pa.binary()))
+                    if decoded:
+                        columns.append(pa.array(map(codec.decode, packed), pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        finally:
+            # The worker lives on; other tasks need the memory.
+            codec.pieces.forget()
 
     return kept.mapInArrow(run, schema)

@@ -28,7 +28,6 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scour.llm.batches import limit_batches
 from scour.sources.staging import stage
 
 PIECE_BYTES = 128
@@ -132,7 +131,6 @@ def fit(
     and one number each. Every second sampled document makes the dictionaries, the others the
     curve. Labels are read for training here and nowhere else.
     """
-    limit_batches(documents.sparkSession)
     known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).where(
         F.col("__key").isNotNull() & F.col("__label").isin(0, 1)
     )
@@ -201,10 +199,9 @@ def _dictionary(documents: list[list[bytes]], limit: int) -> bytes:
 def score(
     documents: DataFrame, model: Model | None, text: str = "text", into: str = "score"
 ) -> DataFrame:
-    """The documents with the probability of the good label."""
+    """The documents with the probability of the good label; a column `into` is replaced."""
     if model is None:
         return documents.withColumn(into, F.lit(0.5))
-    limit_batches(documents.sparkSession)
     values, levels = zip(*model.curve)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

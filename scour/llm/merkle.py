@@ -27,37 +27,51 @@ from pyspark.sql import functions as F
 from scour.llm.ordering import with_positions
 from scour.sources.staging import stage
 
-SECTION_END = r"(?<=\n[ \t\r]{0,8}\n)(?![ \t\r]*\n)(?!\z)"
-PARAGRAPH_END = r"(?<=\n)(?![ \t\r]*\n)(?!\z)"
-SENTENCE_END = r"(?<=[.!?\u2026\u061f\u06d4\u0964\u0965][ \t]|[\u3002\uff01\uff1f\uff0e\uff61])(?!\z)"
-WORD_END = r"(?<=[ \t])(?![ \t])(?!\z)"
 #: One word in so many ends a piece, and the most characters of a piece.
 WORDS, PIECE = 16, 96
 LEAF_DIGITS = 8
 
+# Marks of cuts, and of escaped marks in the text.
+SECTION, PARAGRAPH, SENTENCE, WORD, PIECE_END, ESCAPE = "\x01", "\x02", "\x03", "\x04", "\x05", "\x06"
+WORD_END = r"[ \t]+(?!\z)"
+# The blank of an end mark's sentence ends its last word too; that mark goes.
+SENTENCE_END = f"(?:([.!?…؟۔।॥][ \t]){WORD}?|([。！？．｡]))(?!\\z)"
+PARAGRAPH_END = r"\n(?![ \t\r\x04]*\n)(?!\z)"
+SECTION_END = f"(\n[ \t\r{WORD}]{{0,16}}\n){PARAGRAPH}"
+
 
 def _digest(parts: Column) -> Column:
     """The digest of a node from those of its children."""
     return F.sha2(F.array_join(parts, ""), 256)
 
 
-def _cut(text: Column, end: str) -> Column:
-    return F.split(text, end)
+def _marked(text: Column) -> Column:
+    """The text with a mark at each cut.
+
+    Patterns run over the whole text, once each; what is left to do for each part is to split at a
+    single character. Marks that the text holds itself are escaped first.
+    """
+    marks = (ESCAPE, SECTION, PARAGRAPH, SENTENCE, WORD, PIECE_END)
+    escaped = text
+    for number, mark in enumerate(marks):
+        escaped = F.replace(escaped, F.lit(mark), F.lit(f"{ESCAPE}{number}"))
+    safe = F.when(text.rlike(f"[{SECTION}-{ESCAPE}]"), escaped).otherwise(text)
+    words = F.regexp_replace(safe, WORD_END, f"$0{WORD}")
+    sentences = F.regexp_replace(words, SENTENCE_END, f"$1$2{SENTENCE}")
+    paragraphs = F.regexp_replace(sentences, PARAGRAPH_END, f"\n{PARAGRAPH}")
+    return F.regexp_replace(paragraphs, SECTION_END, f"$1{SECTION}")
 
 
 def _pieces(sentence: Column) -> Column:
     """Digests of the pieces of a sentence."""
-    # U+0001 marks cuts; texts that have it are escaped by U+0002.
-    safe = F.replace(
-        F.replace(sentence, F.lit("\x02"), F.lit("\x02\x02")), F.lit("\x01"), F.lit("\x02\x03")
-    )
     words = F.transform(
-        _cut(safe, WORD_END),
+        F.split(sentence, WORD),
         lambda word: F.when(
-            F.pmod(F.xxhash64(word), F.lit(WORDS)) == 0, F.concat(word, F.lit("\x01"))
+            F.pmod(F.xxhash64(word), F.lit(WORDS)) == 0, F.concat(word, F.lit(PIECE_END))
         ).otherwise(word),
     )
-    by_words = F.split(F.array_join(words, ""), "\x01(?!\\z)")
+    # The last word needs no end.
+    by_words = F.split(F.rtrim(F.array_join(words, ""), F.lit(PIECE_END)), PIECE_END)
     bounded = F.transform(
         by_words,
         lambda piece: F.when(F.length(piece) <= PIECE, F.array(piece)).otherwise(
@@ -67,15 +81,14 @@ def _pieces(sentence: Column) -> Column:
     return F.transform(F.flatten(bounded), lambda piece: F.sha2(piece, 256))
 
 
-def _sentence_digests(paragraph: Column) -> Column:
-    return F.transform(_cut(paragraph, SENTENCE_END), _pieces)
-
-
 def tree(text: Column) -> Column:
     """Digests of the pieces, by sentence, paragraph and section."""
     return F.transform(
-        _cut(F.coalesce(text, F.lit("")), SECTION_END),
-        lambda section: F.transform(_cut(section, PARAGRAPH_END), _sentence_digests),
+        F.split(_marked(F.coalesce(text, F.lit(""))), SECTION),
+        lambda section: F.transform(
+            F.split(section, PARAGRAPH),
+            lambda paragraph: F.transform(F.split(paragraph, SENTENCE), _pieces),
+        ),
     )
 
 
@@ -184,21 +197,24 @@ def edited_fingerprints(
 ) -> DataFrame:
     """Fingerprints of each document, of its edited text, and their likeness.
 
-    The edited text has its second half replaced by as much of the next document's beginning. Whole
-    texts are shuffled once, by key: there they meet what is taken of them and, through the same
-    exchange, what they take. Only that beginning and the fingerprint move on to the document before.
+    The edited text has its second half replaced by as much of the next document's beginning. Trees
+    are built once a text. Whole texts are then shuffled once with their fingerprints, by key: there
+    they meet what is taken of them and, through the same exchange, what they take. Only that
+    beginning and the fingerprint move on to the document before.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(F.col(key).alias("key"), body.alias("text"))
+    rows = with_fingerprint(
+        documents.select(F.col(key).alias("key"), body.alias("text")), "text", "fingerprint"
+    )
     known = rows.where("key IS NOT NULL")
     near = stage(_neighbours(documents, key, text), "neighbours")
     follower = (
-        with_fingerprint(known.join(near, "key"), "text", "next_fingerprint")
+        known.join(near, "key")
         .groupBy("previous")
         .agg(
-            F.min(
-                F.struct(F.expr("substring(text, 1, taken)").alias("start"), "next_fingerprint")
-            ).alias("next")
+            F.min(F.struct(F.expr("substring(text, 1, taken)").alias("start"), "fingerprint")).alias(
+                "next"
+            )
         )
     )
     followed = known.join(follower, known["key"] == follower["previous"], "left").drop("previous")
@@ -210,17 +226,16 @@ def edited_fingerprints(
     edited = followed.unionByName(alone).select(
         "key",
         F.length("text").cast("long").alias("n_chars"),
-        "text",
+        "fingerprint",
         F.concat(
             F.substring("text", F.lit(1), F.length("text") - half),
             F.substring(start, F.lit(1), half),
         ).alias("edited"),
-        F.coalesce("next.next_fingerprint", fingerprint(tree(F.lit("")))).alias("next_fingerprint"),
+        F.coalesce("next.fingerprint", fingerprint(tree(F.lit("")))).alias("next_fingerprint"),
     )
-    marked = with_fingerprint(edited, "text", "fingerprint").withColumn(
-        "edited_sha256", F.sha2("edited", 256)
+    marked = with_fingerprint(
+        edited.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_fingerprint"
     )
-    marked = with_fingerprint(marked, "edited", "edited_fingerprint")
     pairs = {"near_edited": "edited_fingerprint", "near_next": "next_fingerprint"}
     return with_likeness(marked, "fingerprint", pairs).select(
         F.col("key").alias(key),

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scour.llm.names import free_name
+
 from scour.sources.staging import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,41 +88,51 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    into: str = "mix",
 ) -> DataFrame:
-    """The documents with `__size`, `__source_size`, `__target` and `__copies`.
+    """The documents with a struct `into`: size, source_size, target and copies.
 
-    The targets are one row a source, summed before the shuffle. A source with a third of the
-    documents meets one row, so its partitions can be split.
+    A column of that name must not exist; all others are kept, whatever their names. The targets are
+    one row a source, summed before the shuffle. A source with a third of the documents meets one
+    row, so its partitions can be split.
     """
+    if free_name(documents.columns, into) != into:
+        raise ValueError(f"Column {into!r} exists already")
     sizes = documents.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     targets = source_targets(sizes, weights, share, most).select(
-        F.coalesce("source", F.lit("")).alias("__name"),
-        F.col("source").isNull().alias("__null"),
-        F.col("source_size").alias("__source_size"),
-        F.col("target").alias("__target"),
+        F.coalesce("source", F.lit("")).alias("name"),
+        F.col("source").isNull().alias("none"),
+        "source_size",
+        "target",
+    )
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(
+        F.lit(0.0)
     )
-    rate = F.when(
-        F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")
-    ).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    drawn = (coin(F.col(key), seed) < rate - whole).cast("long")
+    drawn = (F.col("coin") < rate - whole).cast("long")
     return (
-        documents.withColumn("__size", word_count(F.col(text)))
-        .withColumn("__name", F.coalesce(F.col(source), F.lit("")))
-        .withColumn("__null", F.col(source).isNull())
-        .join(targets, ["__name", "__null"])
-        .withColumn("__copies", whole + drawn)
-        .drop("__name", "__null")
+        documents.select(
+            F.struct("*").alias("row"),
+            word_count(F.col(text)).alias("size"),
+            coin(F.col(key), seed).alias("coin"),
+            F.coalesce(F.col(source), F.lit("")).alias("name"),
+            F.col(source).isNull().alias("none"),
+        )
+        .join(targets, ["name", "none"])
+        .select(
+            "row.*",
+            F.struct("size", "source_size", "target", (whole + drawn).alias("copies")).alias(into),
+        )
     )
 
 
-def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each document as often as the mix takes it, with the given columns."""
+def repeat_rows(mixed: DataFrame, into: str = "mix") -> DataFrame:
+    """Each document as often as the mix takes it, without the struct."""
+    copies = F.col(into)["copies"]
+    columns = [F.col(f"`{name}`") for name in mixed.columns if name != into]
+    number = free_name(mixed.columns, "copy")
     return (
-        mixed.where("__copies > 0")
-        .select(
-            *[F.col(name) for name in columns],
-            F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"),
-        )
-        .select(*columns)
+        mixed.where(copies > 0)
+        .select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias(number))
+        .drop(number)
     )

@@ -167,10 +167,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return mixing.mix(documents, source_weights(documents)).select(
         "doc_id",
-        F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
-        (F.col("__size") * F.col("__copies")).alias("taken"),
+        "mix.size",
+        "mix.source_size",
+        "mix.target",
+        (F.col("mix.size") * F.col("mix.copies")).alias("taken"),
     )
 
 

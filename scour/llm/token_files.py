@@ -27,21 +27,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scour.llm.batches import limit_batches
 from scour.llm.bpe import UNSURE, byte_symbols
+from scour.llm.remembered import Remembered
 from scour.sources.staging import scratch_path
 
 MAGIC = b"RANKVB01"
 BLOCK_IDS = 1 << 20
 HEAD, TAIL = struct.Struct("<QQ"), struct.Struct("<QQ8s")
-#: A Python worker remembers this many of the latest distinct pieces, and as many from before.
-REMEMBERED = 300_000
+#: Bytes of the latest distinct pieces that a Python worker remembers, and as many from before.
+REMEMBERED = 96 << 20
+#: Documents that are encoded or written at a time.
+GROUP_TEXTS = 256
 # Python splits at these controls, the tokenizer doesn't take them for white space.
 _CONTROLS = re.compile("[\x1c-\x1f]")
 
@@ -74,7 +77,7 @@ def decode_block(count: int, control: bytes, data: bytes) -> np.ndarray:
 # --- tokens ---------------------------------------------------------------------------------------
 
 
-class PieceIds(dict):
+class PieceIds(Remembered):
     """The packed ids of pieces between white space, made with a tokenizer when first asked for.
 
     This tokenizer lower-cases, drops white space and merges only within words, so the ids of a text
@@ -83,14 +86,13 @@ class PieceIds(dict):
     """
 
     def __init__(self, file: str):
-        super().__init__()
+        super().__init__(REMEMBERED)
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.symbols = byte_symbols()
-        self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -113,10 +115,7 @@ class PieceIds(dict):
                 packed = array(self.code, ids).tobytes()
             else:
                 packed = self[word]
-        if len(self) >= REMEMBERED:
-            self.before = dict(self)
-            self.clear()
-        self[piece] = packed
+        self.keep(piece, packed)
         return packed
 
     def encode(self, text: str | None) -> bytes:
@@ -130,47 +129,64 @@ class PieceIds(dict):
 _encoders: dict[int, PieceIds] = {}
 
 
-def _read_tokenizer(path: str) -> tuple[str, str]:
-    """The file, and the numpy type that holds its ids."""
+def _read_tokenizer(path: str) -> tuple[str, str, int]:
+    """The file, the numpy type that holds its ids, and how many there are."""
     with open(path, encoding="utf-8") as file:
         content = file.read()
-    return content, f"<u{array(PieceIds(content).code).itemsize}"
+    pieces = PieceIds(content)
+    return content, f"<u{array(pieces.code).itemsize}", pieces.tokenizer.get_vocab_size()
 
 
-def _encode(text: Column, rules: str, kind: str, spark: SparkSession, end_id: int) -> Column:
-    """Packed ids of a text and the end id."""
-    content = spark.sparkContext.broadcast(rules)
+def _encoded(documents: DataFrame, rules: str, kind: str, size: int, end_id: int) -> DataFrame:
+    """key and packed ids, with the end id, of each document; and a row of counts from each task.
+
+    `documents` has the columns key and text.
+    """
+    content = documents.sparkSession.sparkContext.broadcast(rules)
     last = np.array([end_id], kind).tobytes()
+    size = max(size, end_id + 1)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = hash(content.value)
         if name not in _encoders:
             _encoders.clear()
             _encoders[name] = PieceIds(content.value)
-        encoder = _encoders[name]
+        encode = _encoders[name].encode
+        counts = np.zeros(size, np.int64)
         for batch in batches:
-            yield pd.Series([encoder.encode(value) + last for value in batch], dtype=object)
+            for at in range(0, batch.num_rows, GROUP_TEXTS):
+                part = batch.slice(at, GROUP_TEXTS)
+                packed = [encode(value) + last for value in part.column("text").to_pylist()]
+                counts += np.bincount(np.frombuffer(b"".join(packed), kind), minlength=size)
+                none = pa.nulls(len(packed), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), pa.array(packed, pa.binary()), none], ["key", "ids", "counts"]
+                )
+        if counts.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())],
+                ["key", "ids", "counts"],
+            )
 
-    return F.pandas_udf(run, "binary")(text)
+    return documents.mapInArrow(run, "key long, ids binary, counts binary")
 
 
-def id_counts(tokens: DataFrame, kind: str, ids: str = "ids") -> DataFrame:
-    """id and count: summed in each task, then over all. One row an id of the vocabulary."""
+def id_counts(encoded: DataFrame) -> DataFrame:
+    """id and count, from the counts of the tasks. One row an id that is there."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0, np.int64)
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0
         for batch in batches:
-            for packed in batch[ids]:
-                found = np.bincount(np.frombuffer(packed, kind))
-                if len(found) > len(total):
-                    total = np.pad(total, (0, len(found) - len(total)))
-                total[: len(found)] += found
-        present = np.flatnonzero(total)
-        yield pd.DataFrame({"id": present, "count": total[present]})
+            for packed in batch["counts"]:
+                total = total + np.frombuffer(packed, np.int64)
+        if not isinstance(total, int):
+            present = np.flatnonzero(total)
+            yield pd.DataFrame({"id": present, "count": total[present]})
 
     return (
-        tokens.select(ids)
-        .mapInPandas(count, "id long, count long")
+        encoded.where("counts IS NOT NULL")
+        .select("counts")
+        .mapInPandas(read, "id long, count long")
         .groupBy("id")
         .agg(F.sum("count").alias("count"))
     )
@@ -207,9 +223,9 @@ def _ids_by_rank(spark: SparkSession, files: TokenFiles) -> np.ndarray:
     return ids
 
 
-def _write_ranks(tokens: DataFrame, kind: str, files: TokenFiles) -> None:
+def _write_ranks(encoded: DataFrame, files: TokenFiles) -> None:
     by_count = Window.orderBy(F.desc("count"), "id")
-    id_counts(tokens, kind).select(
+    id_counts(encoded).select(
         (F.row_number().over(by_count) - 1).alias("rank"), "id", "count"
     ).write.parquet(files.ranks)
 
@@ -226,9 +242,10 @@ class _Writer:
         self.keys: list[int | None] = []
         self.sizes: list[int] = []
 
-    def add(self, key: int | None, ranks: np.ndarray) -> None:
-        self.keys.append(key)
-        self.sizes.append(len(ranks))
+    def add(self, keys: list[int | None], sizes: list[int], ranks: np.ndarray) -> None:
+        """Some documents: how many ranks each has, and all of them in a row."""
+        self.keys += keys
+        self.sizes += sizes
         self.waiting.append(ranks)
         self.waiting_ids += len(ranks)
         while self.waiting_ids >= BLOCK_IDS:
@@ -268,18 +285,16 @@ def write_token_files(
     counts of the whole corpus.
     """
     spark = documents.sparkSession
-    limit_batches(spark)
     files = TokenFiles(folder or scratch_path(spark, "tokens"))
     kept = f"{files.folder}/ids"
-    rules, kind = _read_tokenizer(tokenizer)
-    packed = _encode(F.col(text), rules, kind, spark, end_id)
-    documents.select(F.col(key).cast("long").alias("key"), packed.alias("ids")).withColumn(
-        "tie", F.crc32("ids")
-    ).withColumn("row", F.monotonically_increasing_id()).write.option(
-        "compression", "zstd"
-    ).parquet(kept)
-    tokens = spark.read.parquet(kept)
-    _write_ranks(tokens, kind, files)
+    rules, kind, size = _read_tokenizer(tokenizer)
+    named = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    _encoded(named, rules, kind, size, end_id).withColumn("tie", F.crc32("ids")).withColumn(
+        "row", F.monotonically_increasing_id()
+    ).write.option("compression", "zstd").parquet(kept)
+    encoded = spark.read.parquet(kept)
+    tokens = encoded.where("ids IS NOT NULL").drop("counts")
+    _write_ranks(encoded, files)
     ids = _ids_by_rank(spark, files)
     ranks = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     ranks[ids] = np.arange(len(ids), dtype=np.uint32)
@@ -288,11 +303,15 @@ def write_token_files(
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, writer, path = TaskContext.get().partitionId(), None, ""
         for batch in batches:
-            for value, known, packed in zip(batch["key"], batch["known"], batch["ids"]):
-                if writer is None:
-                    path = f"{files.folder}/part-{part:06d}-{uuid.uuid4().hex}.rvb"
-                    writer = _Writer(path)
-                writer.add(int(value) if known else None, table.value[np.frombuffer(packed, kind)])
+            if writer is None and len(batch):
+                path = f"{files.folder}/part-{part:06d}-{uuid.uuid4().hex}.rvb"
+                writer = _Writer(path)
+            for at in range(0, len(batch), GROUP_TEXTS):
+                piece = batch.iloc[at : at + GROUP_TEXTS]
+                keys = [int(v) if k else None for v, k in zip(piece["key"], piece["known"])]
+                packed = piece["ids"].tolist()
+                sizes = [len(value) // np.dtype(kind).itemsize for value in packed]
+                writer.add(keys, sizes, table.value[np.frombuffer(b"".join(packed), kind)])
         if writer is not None:
             writer.close()
             yield pd.DataFrame(

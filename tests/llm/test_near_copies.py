@@ -33,9 +33,11 @@ def plain_kept(rows, least):
     return sorted({min(g) for g in group.values()})
 
 
-@pytest.mark.parametrize("part", [2048, 2])
-def test_pairs_from_a_similarity_of_0_8(spark, part, monkeypatch):
+@pytest.mark.parametrize("part, many", [(2048, 8), (2, 1000), (2, 1)])
+def test_pairs_from_a_similarity_of_0_8(spark, part, many, monkeypatch):
+    """With whole groups, with groups in many parts, and with single bands in place of groups."""
     monkeypatch.setattr(near_copies, "PART", part)
+    monkeypatch.setattr(near_copies, "MANY", many)
     rng = random.Random(7)
     words = [f"w{i}" for i in range(900)]
     rows = [(0, None), (1, ""), (2, "One two"), (3, "one  TWO"), (4, "one three")]
@@ -46,11 +48,51 @@ def test_pairs_from_a_similarity_of_0_8(spark, part, monkeypatch):
             for _ in range(rng.randint(0, 1 + len(base) // 40)):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             rows.append((len(rows), " ".join(copy)))
+    # A dense group just below: every two differ in two words each, 126 of 166 shingles are shared.
+    base = [rng.choice(words) for _ in range(150)]
+    for i in range(24):
+        copy = list(base)
+        copy[5 * i + 5] = copy[5 * ((i + 9) % 24) + 6] = f"own{i}"
+        rows.append((len(rows), " ".join(copy)))
+    # A chain: only neighbours are alike, and it ties two groups.
+    copy = [rng.choice(words) for _ in range(150)]
+    for i in range(6):
+        rows.append((len(rows), " ".join(copy)))
+        for at in range(20 * i + 5, 20 * i + 20, 5):
+            copy[at] = f"new{at}"
     table = spark.createDataFrame([(*row, "s") for row in rows], SCHEMA)
     kept = corpus_pipeline.drop_near_duplicates(spark, table, "").collect()
     assert sorted(row.doc_id for row in kept) == plain_kept(rows, 0.8)
 
 
+def test_links_are_a_tree():
+    """A group gives at most one link for each member, and joins what all its pairs join."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**62, 300).astype(np.uint64)
+    sets = []
+    for _ in range(200):
+        copy = base.copy()
+        changed = rng.integers(0, 300, rng.integers(1, 45))
+        copy[changed] = rng.integers(0, 2**62, len(changed))
+        sets.append(np.unique(copy))
+    marks = np.array([near_copies.mark(s) for s in sets])
+    sketch = np.stack([(near_copies.min_hashes(s) >> np.uint64(24)).astype(np.uint8) for s in sets])
+    links = near_copies.tree_of_links(marks, sets, sketch, None, 0.8)
+    group = {m: {m} for m in marks.tolist()}
+    for i in range(200):
+        for j in range(i):
+            both = len(np.union1d(sets[i], sets[j]))
+            if (len(sets[i]) + len(sets[j]) - both) / both >= 0.8:
+                merged = group[marks[i]] | group[marks[j]]
+                group.update(dict.fromkeys(merged, merged))
+    found = {m: {m} for m in marks.tolist()}
+    for a, b in links:
+        assert found[a].isdisjoint(found[b])
+        merged = found[a] | found[b]
+        found.update(dict.fromkeys(merged, merged))
+    assert found == group
+
+
 def test_keys(spark):
     rows = [(None, "a b"), (None, "c d"), (5, "a b"), (5, "a b"), (6, "e f"), (6, "e f")]
     table = spark.createDataFrame([(*row, "s") for row in rows], SCHEMA)

@@ -79,18 +79,35 @@ def test_mix(spark):
             break
         full |= more
     for r in mixed:
-        assert r["__target"] == pytest.approx(target[r.source])
-        assert r["__source_size"] == sizes[r.source]
+        assert r.mix.target == pytest.approx(target[r.source])
+        assert r.mix.source_size == sizes[r.source]
         rate = target[r.source] / sizes[r.source]
-        assert r["__copies"] in (int(rate), int(rate) + 1) and r["__copies"] <= 2
+        assert r.mix.copies in (int(rate), int(rate) + 1) and r.mix.copies <= 2
     again = mixing.mix(table, source_weights(table)).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, mixed))
-    copies = mixing.repeat_rows(mixing.mix(table, source_weights(table)), table.columns)
+    copies = mixing.repeat_rows(mixing.mix(table, source_weights(table)))
     assert copies.columns == table.columns
-    assert copies.count() == sum(r["__copies"] for r in mixed)
+    assert copies.count() == sum(r.mix.copies for r in mixed)
     assert mixing.mix(table.where("false"), source_weights(table.where("false"))).count() == 0
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    """Names that operators use themselves come back unchanged, from every stage that keeps columns."""
+    names = ["__size", "__name", "__null", "__mark", "__score", "__fingerprint", "mix", "copy", "size",
+             "name", "none", "row", "rid", "mark", "root", "key", "coin", "target", "score", "set", "id"]
+    base = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(60)
+    docs = base.select("*", *[F.concat(F.lit(f"{name} "), "doc_id").alias(name) for name in names])
+    for stage in (corpus_pipeline.keep_good, corpus_pipeline.drop_near_duplicates, corpus_pipeline.mix_sources):
+        out = stage(spark, docs, SF_DIR)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows
+        for r in rows:
+            assert all(r[name] == f"{name} {r.doc_id}" for name in names)
+    with pytest.raises(ValueError, match="exists"):
+        mixing.mix(docs, source_weights(docs))
+
+
 # --- URL rules ------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scour.llm import bpe, merkle, simhash, token_files
+from scour.llm.remembered import Remembered
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id bigint, text string, ids int, fingerprint string, `key` string"
@@ -227,8 +229,6 @@ def test_near_duplicates(spark, part, monkeypatch):
             first[root] = min(first.get(root, key), key)
     wanted = sorted((str(key), codes[text], first[roots[codes[text]]]) for key, text in rows)
     assert sorted((str(r.doc_id), r.fingerprint, r.component) for r in found) == wanted
-    kept = simhash.one_of_each(table.withColumn("rank", F.lit(1))).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(first.values())
     assert simhash.near_duplicates(table.where("false")).count() == 0
 
 
@@ -285,3 +285,125 @@ def test_edits_are_located(spark):
 
 def test_checksums(spark):
     assert spark.range(1).select(F.crc32(F.lit(b"abc")).alias("c")).first().c == zlib.crc32(b"abc")
+
+
+# --- memory ---------------------------------------------------------------------------------------
+
+
+def test_remembered_is_bounded_by_bytes():
+    held = Remembered(100_000)
+    for i in range(20_000):
+        held.keep(f"{i:0{i % 250}}", b"x" * (i % 400))
+        size = sum(len(k) + len(v) for part in (held, held.before) for k, v in part.items())
+        assert size <= 200_000
+    held.keep("y" * 10_000, b"")
+    assert "y" * 10_000 not in held
+    held.forget()
+    assert not held and not held.before
+
+
+def test_long_unbroken_texts(spark):
+    """Many long texts without a blank are encoded as the library does, and none is remembered."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("漢字仮名交") for _ in range(3000)) + str(i) for i in range(40)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    wanted = {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.transcode(table, path).collect()}
+    assert got == wanted
+    files = token_files.write_token_files(table, path, 2)
+    back = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_files.read_token_files(spark, files).collect()}
+    assert back == {i: [*ids, 2] for i, ids in wanted.items()}
+    with open(path, encoding="utf-8") as file:
+        pieces = token_files.PieceIds(file.read())
+    for text in texts:
+        pieces.encode(text)
+    assert not pieces
+
+
+# --- trees ----------------------------------------------------------------------------------------
+
+
+def plain_tree(text, is_end):
+    """Digests by section, paragraph and sentence, cut by hand."""
+
+    def cut(part, ends):
+        out, start = [], 0
+        for at in range(1, len(part)):
+            if ends(part, at):
+                out.append(part[start:at])
+                start = at
+        return [*out, part[start:]]
+
+    def blank_line(part, at):
+        line = part[at:].split("\n", 1)
+        return len(line) > 1 and not line[0].strip(" \t\r")
+
+    def paragraph(part, at):
+        return part[at - 1] == "\n" and not blank_line(part, at)
+
+    def section(part, at):
+        before = part[: at - 1].rsplit("\n", 1)
+        return paragraph(part, at) and len(before) > 1 and not before[1].strip(" \t\r")
+
+    def sentence(part, at):
+        return part[at - 1] in "。！？．｡" or (at > 1 and part[at - 1] in " \t" and part[at - 2] in ".!?…؟۔।॥")
+
+    def word(part, at):
+        return part[at - 1] in " \t" and part[at] not in " \t"
+
+    def pieces(part):
+        out = [""]
+        words = cut(part, word)
+        for i, one in enumerate(words):
+            out[-1] += one
+            if is_end(one) and i < len(words) - 1:
+                out.append("")
+        return [p[i : i + 96] for p in out for i in range(0, max(1, len(p)), 96)]
+
+    def digest(value):
+        return hashlib.sha256(value.encode()).hexdigest()
+
+    return [
+        [[[digest(p) for p in pieces(s)] for s in cut(q, sentence)] for q in cut(t, paragraph)]
+        for t in cut(text, section)
+    ]
+
+
+def test_trees_against_plain_ones(spark):
+    rng = random.Random(9)
+    parts = ["Word ", "two  words", ". ", ".  ", "! ", "\n", "\n\n", "\n \t\n", "。", "é\r\n", "x" * 150, "a.b", "? \n", " "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    edits = [
+        t[: len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][: len(t) // 2]
+        for i, t in enumerate(texts)
+    ]
+    words = sorted({w for t in texts + edits for w in re.split(r"(?<=[ \t])(?![ \t])", t)} | {""})
+    # All words of all cuts: sentences may cut a word off earlier.
+    words = sorted({w[i:j] for w in words for i in range(len(w) + 1) for j in range(i, min(len(w), i + 60) + 1)} | set(words))
+    ends = {
+        r.word for r in spark.createDataFrame([(w,) for w in words], "word string")
+        .where(F.pmod(F.xxhash64("word"), F.lit(merkle.WORDS)) == 0).collect()
+    }
+    found = table.select("doc_id", merkle.tree(F.col("text")).alias("tree")).collect()
+    for r in found:
+        assert r.tree == plain_tree(texts[r.doc_id], ends.__contains__), repr(texts[r.doc_id])
+    own = {r.doc_id: r for r in merkle.edited_fingerprints(table).collect()}
+    for i, text in enumerate(texts):
+        edited = edits[i]
+        assert own[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        sets = [
+            {d[:8] for s in plain_tree(t, ends.__contains__) for q in s for x in q for d in x}
+            for t in (text, edited, texts[(i + 1) % len(texts)])
+        ]
+        if text != edited and not any(len(w) > 60 for w in edited.split()):
+            assert own[i].near_edited == 2 * len(sets[0] & sets[1]) / (len(sets[0]) + len(sets[1]))
+
+
+def test_marks_in_texts_are_no_cuts(spark):
+    texts = ["a\x01b", "a\x02b", "ab", "a\x061b", "a\x06b", "a b", "a\x04 b", "a \x04b"]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = table.select(merkle.root(merkle.tree(F.col("text"))).alias("root")).collect()
+    assert len({r.root for r in rows}) == len(texts)
