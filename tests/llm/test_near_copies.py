@@ -38,6 +38,7 @@ def test_pairs_from_a_similarity_of_0_8(spark, part, many, monkeypatch):
     """With whole groups, with groups in many parts, and with single bands in place of groups."""
     monkeypatch.setattr(near_copies, "PART", part)
     monkeypatch.setattr(near_copies, "MANY", many)
+    monkeypatch.setattr(near_copies, "BROADCAST", 0 if many == 1 else 1000)
     rng = random.Random(7)
     words = [f"w{i}" for i in range(900)]
     rows = [(0, None), (1, ""), (2, "One two"), (3, "one  TWO"), (4, "one three")]
