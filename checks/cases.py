@@ -1481,25 +1481,82 @@ BROKEN_LINE = """CASE WHEN o_orderkey % 50 = 0 THEN concat(cast(o_orderkey as st
     END"""
 
 
+def _write_one_file(lines: DataFrame, header: str, label: str) -> str:
+    """Raw lines in the order of their key below a header, in one file, so that numbers are known."""
+    spark = lines.sparkSession
+    path = scratch_path(spark, label)
+    first = spark.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit(header).alias("line"))
+    first.unionByName(lines).repartition(1).sortWithinPartitions("key").select("line").write.text(path)
+    return path
+
+
+def _error_sql(record: str) -> str:
+    """The error table of orders whose key gives a remainder of 0 to 2 by 50."""
+    return (
+        "SELECT row_index, CASE WHEN kind < 2 THEN 3 END AS expected_fields, "
+        "CASE kind WHEN 0 THEN 2 WHEN 1 THEN 4 END AS found_fields, raw_content, "
+        "CASE kind WHEN 0 THEN 'missing_fields' WHEN 1 THEN 'extra_fields' "
+        "ELSE 'malformed_quotes' END AS issue_type, "
+        "CASE kind WHEN 0 THEN 'The record has 2 fields, the header 3.' "
+        "WHEN 1 THEN 'The record has 4 fields, the header 3.' "
+        "ELSE 'The quotes of the record are broken.' END AS message "
+        "FROM (SELECT row_number() OVER (ORDER BY o_orderkey) + 1 AS row_index, "
+        f"o_orderkey % 50 AS kind, {record} AS raw_content FROM orders) WHERE kind < 3"
+    )
+
+
+@case("ingest_errors", _error_sql(BROKEN_LINE))
+def ingest_errors(spark, sf_dir):
+    lines = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS key", f"{BROKEN_LINE} AS line")
+    return scour.ingest_csv(spark, _write_one_file(lines, "id,priority,status", "broken")).errors
+
+
+def _quoted_record(broken: bool) -> str:
+    """A record of an order over several lines, as SQL; some are broken."""
+    sound = """concat(cast(o_orderkey as string), ',"', o_orderpriority, '
+quoted, ""twice""
+
+",', o_orderstatus)"""
+    if not broken:
+        return sound
+    return f"""CASE WHEN o_orderkey % 50 = 0 THEN concat(cast(o_orderkey as string), ',"x
+y"')
+    WHEN o_orderkey % 50 = 1 THEN concat(cast(o_orderkey as string), ',"x
+
+y",,"z
+or not"')
+    WHEN o_orderkey % 50 = 2 THEN concat(cast(o_orderkey as string), ',"x
+y"z')
+    ELSE {sound} END"""
+
+
+@case("ingest_quoted_errors", _error_sql(_quoted_record(True)))
+def ingest_quoted_errors(spark, sf_dir):
+    """Line breaks within quotes; the file is split where it may be, records are numbered through."""
+    lines = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS key", f"{_quoted_record(True)} AS line"
+    )
+    path = _write_one_file(lines, "id,priority,status", "quoted")
+    return scour.ingest_csv(spark, path, multi_line=True).errors
+
+
 @case(
-    "ingest_errors",
-    f"SELECT CASE WHEN o_orderkey % 50 < 2 THEN 3 END AS expected_fields, "
-    "CASE o_orderkey % 50 WHEN 0 THEN 2 WHEN 1 THEN 4 END AS found_fields, "
-    f"{BROKEN_LINE} AS raw_content, CASE o_orderkey % 50 WHEN 0 THEN 'missing_fields' "
-    "WHEN 1 THEN 'extra_fields' ELSE 'malformed_quotes' END AS issue_type "
-    "FROM orders WHERE o_orderkey % 50 < 3",
+    "ingest_quoted",
+    "SELECT o_orderkey AS id, concat(o_orderpriority, chr(10), 'quoted, \"twice\"', chr(10), chr(10)) "
+    "AS priority, o_orderstatus AS status FROM orders",
 )
-def ingest_errors(spark, sf_dir):
-    lines = table(spark, sf_dir, "orders").selectExpr(f"{BROKEN_LINE} AS line")
-    result = scour.ingest_csv(spark, _write_lines(lines, "id,priority,status", "broken"))
-    # The record number depends on how the writer split the files; tests cover it.
-    return result.errors.select("expected_fields", "found_fields", "raw_content", "issue_type")
+def ingest_quoted(spark, sf_dir):
+    lines = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS key", f"{_quoted_record(False)} AS line"
+    )
+    path = _write_one_file(lines, "id,priority,status", "quoted")
+    return scour.ingest_csv(spark, path, multi_line=True).data
 
 
 @case(
     "ingest_encoding",
-    "SELECT CAST(o_orderkey AS VARCHAR) AS id, 'encoding_error' AS issue_type FROM orders "
-    "WHERE o_orderkey % 40 = 0",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS id, 'encoding_error' AS issue_type, "
+    "'fatal_error' AS status FROM orders WHERE o_orderkey % 40 = 0",
 )
 def ingest_encoding(spark, sf_dir):
     lines = table(spark, sf_dir, "orders").selectExpr(
@@ -1509,10 +1566,12 @@ def ingest_encoding(spark, sf_dir):
     # As plain text: a CSV writer would replace the broken bytes.
     path = scratch_path(spark, "encoding")
     lines.write.text(path)
+    result = scour.ingest_csv(spark, path)
     rejected = csv_files.structural_errors(spark, path, ["id", "priority"])
     return rejected.select(
         F.split_part(F.make_valid_utf8("raw_content"), F.lit(","), F.lit(1)).alias("id"),
         "issue_type",
+        F.lit(result.status).alias("status"),
     )
 
 

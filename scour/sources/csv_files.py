@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from scour.schema import literal, quoted, ref
 from scour.sources import inference, records
+from scour.sources.quoted_records import quoted_records
 from scour.sources.staging import stage
 
 # Cell texts the lenient scan reads as missing.
@@ -107,13 +108,14 @@ def load_csv(
     """The lenient scan: null tokens become NULL, and types are inferred without leading-zero care.
 
     Files whose headers differ are an error, as are records with more fields than the header. One
-    aggregate infers integer, double and boolean columns. A `schema` has the header's names, in any
+    aggregate infers integer, double and boolean columns. A name that the header repeats gets a
+    number: `a`, `a.1`. A `schema` has the header's names, in any
     order, and gives the types instead; a value that does not convert is then an error too.
     """
     header = _header_line(spark, path)
     if header is None:
         raise ValueError(f"The file {path!r} is empty")
-    names = records.parse_header(header, delimiter)
+    names = records.distinct_names(records.parse_header(header, delimiter) or [])
     if not names:
         raise ValueError(f"The file {path!r} has no readable header")
     others = _file_tally(spark, path, header)["other_headers"]
@@ -208,15 +210,17 @@ def ingest_csv(
     """Structurally sound files become a table, all others an error report; nothing is repaired.
 
     One pass over the raw lines checks encoding, quotes and field counts, a second one infers the
-    types; reading the result is the third. Lines are records, so files are split freely; a quoted
-    line break is reported as broken quotes. With `multi_line` quoted line breaks are allowed, and
-    the unit of parallelism is the file.
+    types; reading the result is the third. Lines are records; a quoted line break is reported as
+    broken quotes. With `multi_line` quoted line breaks are allowed (see `quoted_records`), at the
+    cost of one shuffle of the lines. Files are split freely either way.
     """
     header = _header_line(spark, path)
     lines = _lines(spark, path)
     blank = lines.where(F.length(F.regexp_replace("value", r"(?U)\s+", "")) > 0).isEmpty()
     if header is None or blank:
         return _fatal(spark, records.EMPTY, "The file is empty.")
+    if multi_line:
+        return _ingest_multi_line(spark, path, delimiter, infer)
     names = records.parse_header(header, delimiter)
     if not header.strip() and lines.where(~F.is_valid_utf8("value")).limit(1).count():
         return _encoding_failure(spark)
@@ -224,23 +228,13 @@ def ingest_csv(
         return _fatal(spark, records.QUOTES, "The quotes of the header are broken.")
     if len(set(names)) != len(names):
         return _fatal(spark, "other", "The header repeats a column name.")
-    issue = None
-    if not multi_line:
-        issue = records.structure_issue("value", len(names), delimiter)
-    tally = _file_tally(spark, path, header, issue)
+    tally = _file_tally(spark, path, header, records.structure_issue("value", len(names), delimiter))
     if tally["encoding"]:
         return _encoding_failure(spark)
     if tally["other_headers"]:
         return _fatal(spark, "other", f"{tally['other_headers']} files have another header.")
-    if multi_line:
-        return _ingest_multi_line(spark, path, names, delimiter, infer)
     if tally["issues"]:
-        return IngestResult(
-            UNCLEAR,
-            f"{tally['issues']} records do not fit the header; repairing them would be a guess.",
-            None,
-            structural_errors(spark, path, names, delimiter),
-        )
+        return _unclear(tally["issues"], structural_errors(spark, path, names, delimiter))
     return _success(spark, _text_cells(spark, path, names, delimiter, False), infer)
 
 
@@ -253,17 +247,19 @@ def _file_tally(spark: SparkSession, path, header: str, issue: str | None = None
             F.expr(issue or "CAST(NULL AS STRING)").alias("issue"),
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("id"),
         )
         .groupBy("file")
         .agg(
             F.count("issue").alias("issues"),
             F.count_if(~F.is_valid_utf8("value")).alias("encoding"),
-            F.bool_or((F.col("value") == F.lit(header)) & (F.col("split") == 0)).alias("has_header"),
+            # Of the split at the start of the file, the line that is read first.
+            F.min_by("value", F.when(F.col("split") == 0, F.col("id"))).alias("first_line"),
         )
         .agg(
             F.sum("issues").alias("issues"),
             F.sum("encoding").alias("encoding"),
-            F.count_if(~F.col("has_header")).alias("other_headers"),
+            F.count_if(~F.col("first_line").eqNullSafe(F.lit(header))).alias("other_headers"),
         )
         .first()
     )
@@ -282,26 +278,67 @@ def _encoding_failure(spark: SparkSession) -> IngestResult:
     return _fatal(spark, records.ENCODING, "The file is not valid UTF-8; it is not decoded lossily.")
 
 
-def _ingest_multi_line(
-    spark: SparkSession, path, names: Sequence[str], delimiter: str, infer: bool
-) -> IngestResult:
-    """The reader flags records whose field count differs from the header."""
-    cells = _text_cells(spark, path, names, delimiter, True, corrupt=True)
-    issue = records.structure_issue(_CORRUPT, len(names), delimiter)
-    errors = cells.where(f"{_CORRUPT} IS NOT NULL").selectExpr(
-        "CAST(NULL AS BIGINT) AS row_index",
-        f"{len(names)} AS expected_fields",
-        f"{records.field_count(_CORRUPT, delimiter)} AS found_fields",
-        f"{_CORRUPT} AS raw_content",
-        f"coalesce({issue}, '{records.QUOTES}') AS issue_type",
-        f"concat('The record starts with: ', {quoted(names[0])}) AS message",
+def _unclear(issues: int, errors: DataFrame) -> IngestResult:
+    message = f"{issues} records do not fit the header; repairing them would be a guess."
+    return IngestResult(UNCLEAR, message, None, errors)
+
+
+def _ingest_multi_line(spark: SparkSession, path, delimiter: str, infer: bool) -> IngestResult:
+    found = stage(quoted_records(spark, path, delimiter), "records")
+    headers = found.where("number = 1")
+    first = headers.orderBy("file").select("value", "too_long").first()
+    header = first["value"]
+    row = found.agg(
+        F.count_if(~F.is_valid_utf8("value")).alias("encoding"),
+        F.count_if((F.col("number") == 1) & (F.col("value") != F.lit(header))).alias("others"),
+    ).first()
+    if row["encoding"]:
+        return _encoding_failure(spark)
+    names = None if first["too_long"] else records.parse_header(header, delimiter)
+    if names is None:
+        return _fatal(spark, records.QUOTES, "The quotes of the header are broken.")
+    if len(set(names)) != len(names):
+        return _fatal(spark, "other", "The header repeats a column name.")
+    if row["others"]:
+        return _fatal(spark, "other", f"{row['others']} files have another header.")
+    issue = records.structure_issue("value", len(names), delimiter)
+    rows = found.where("number > 1").withColumn(
+        "issue", F.expr(f"CASE WHEN too_long THEN '{records.QUOTES}' ELSE {issue} END")
+    )
+    broken = rows.where("issue IS NOT NULL")
+    issues = broken.count()
+    if issues:
+        return _unclear(issues, _described(broken, "number", names, delimiter))
+    return _success(spark, _cells(rows, names, delimiter), infer)
+
+
+def _cells(rows: DataFrame, names: Sequence[str], delimiter: str) -> DataFrame:
+    """The fields of well-formed records, as the reader of whole lines gives them."""
+    fields = ", ".join(f"c{i} STRING" for i in range(len(names)))
+    options = {
+        "sep": delimiter, "quote": QUOTE, "escape": QUOTE, "multiLine": "true", "mode": "PERMISSIVE",
+        "nullValue": _NO_SUCH_TEXT, "emptyValue": "", "maxCharsPerColumn": "-1",
+    }
+    parsed = rows.select(F.from_csv("value", fields, options).alias("record"))
+    return parsed.select(
+        *[F.coalesce(F.col(f"record.c{i}"), F.lit("")).alias(name) for i, name in enumerate(names)]
+    )
+
+
+def _described(rows: DataFrame, number: str, names: Sequence[str], delimiter: str) -> DataFrame:
+    """The error table of rows with value and issue."""
+    counted = f"issue IN ('{records.EXTRA}', '{records.SHORT}')"
+    found = records.field_count("value", delimiter)
+    return rows.selectExpr(
+        f"{number} AS row_index",
+        f"CASE WHEN {counted} THEN {len(names)} END AS expected_fields",
+        f"CASE WHEN {counted} THEN {found} END AS found_fields",
+        "value AS raw_content",
+        "issue AS issue_type",
+        f"CASE WHEN {counted} THEN concat('The record has ', {found}, ' fields, the header {len(names)}.') "
+        f"WHEN issue = '{records.ENCODING}' THEN 'The record is not valid UTF-8.' "
+        "ELSE 'The quotes of the record are broken.' END AS message",
     )
-    # Spark refuses to look for broken records without reading a field of them.
-    tally = errors.agg(F.expr("count_if(length(message) > 0) AS issues")).first()
-    if tally["issues"]:
-        message = f"{tally['issues']} records do not fit the header; repairing them would be a guess."
-        return IngestResult(UNCLEAR, message, None, errors)
-    return _success(spark, cells.drop(_CORRUPT), infer)
 
 
 def numbered_lines(spark: SparkSession, path, wanted: str = "true") -> DataFrame:
@@ -339,19 +376,8 @@ def structural_errors(
 ) -> DataFrame:
     """One row per record that does not fit the header, with its number (the header is 1)."""
     issue = records.structure_issue("value", len(names), delimiter)
-    counted = f"issue IN ('{records.EXTRA}', '{records.SHORT}')"
-    return (
-        numbered_lines(spark, path, f"{issue} IS NOT NULL")
-        .selectExpr("*", f"{issue} AS issue")
-        .selectExpr(
-            "line_number AS row_index",
-            f"CASE WHEN {counted} THEN {len(names)} END AS expected_fields",
-            f"CASE WHEN {counted} THEN {records.field_count('value', delimiter)} END AS found_fields",
-            "value AS raw_content",
-            "issue AS issue_type",
-            "CAST(NULL AS STRING) AS message",
-        )
-    )
+    rows = numbered_lines(spark, path, f"{issue} IS NOT NULL").selectExpr("*", f"{issue} AS issue")
+    return _described(rows, "line_number", names, delimiter)
 
 
 # --- writing --------------------------------------------------------------------------------------
