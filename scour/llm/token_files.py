@@ -29,12 +29,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scour.llm.bpe import UNSURE, byte_symbols
+from scour.llm.bpe import UNSURE, WORDS, byte_symbols
 from scour.llm.remembered import Remembered
 from scour.sources.staging import scratch_path
 
@@ -81,8 +82,9 @@ class PieceIds(Remembered):
     """The packed ids of pieces between white space, made with a tokenizer when first asked for.
 
     This tokenizer lower-cases, drops white space and merges only within words, so the ids of a text
-    are those of its pieces, and those of a piece are those of its words. Words of Latin letters go
-    to the tokenizer's model, other pieces through the whole tokenizer.
+    are those of its pieces, and those of a piece are those of its words. Pieces of Latin letters and
+    common signs are cut into words here, which go to the tokenizer's model; other pieces, and those
+    that hold a special token, go through the whole tokenizer.
     """
 
     def __init__(self, file: str):
@@ -93,28 +95,35 @@ class PieceIds(Remembered):
         self.model = self.tokenizer.model
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.symbols = byte_symbols()
+        self.words = regex.compile(WORDS)
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array(self.code, ids).tobytes()
 
+    def word(self, word: str) -> bytes:
+        """The ids of one word of the tokenizer's own rules."""
+        shown = word if word.isascii() and word.isalpha() else "".join(
+            map(self.symbols.__getitem__, word.encode())
+        )
+        return array(self.code, [token.id for token in self.model.tokenize(shown)]).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
         packed = self.before.get(piece)
         if packed is None:
             word = piece.lower()
             if UNSURE.search(piece):
                 packed = self.whole(piece)
-            elif not word.isalpha():
-                if piece[-1] in ".," and word[:-1].isalpha():
-                    packed = self[piece[:-1]] + self[piece[-1]]
-                else:
-                    packed = self.whole(piece)
-            elif word == piece:
-                shown = word if word.isascii() else "".join(map(self.symbols.__getitem__, word.encode()))
-                ids = [token.id for token in self.model.tokenize(shown)]
-                packed = array(self.code, ids).tobytes()
+            elif word.isalpha():
+                packed = self.word(word) if word == piece else self[word]
+            elif piece[-1] in ".," and word[:-1].isalpha():
+                packed = self[piece[:-1]] + self[piece[-1]]
+            elif len(word) != len(piece) or any(map(piece.__contains__, self.special)):
+                packed = self.whole(piece)
             else:
-                packed = self[word]
+                parts = self.words.findall(word)
+                packed = self.word(word) if parts == [word] else b"".join(map(self.__getitem__, parts))
         self.keep(piece, packed)
         return packed
 
