@@ -17,7 +17,7 @@ DATE_FORMATS = {
     "DD/MM/YY or MM/DD/YY": r"^\d{1,2}/\d{1,2}/\d{2}$",
     "DD-MM-YYYY or MM-DD-YYYY": r"^\d{1,2}-\d{1,2}-\d{4}$",
     "YYYY-MM-DD": r"^\d{4}-\d{1,2}-\d{1,2}$",
-    "Month DD, YYYY": r"^[A-Za-z]+\s+\d{1,2},\s+\d{4}$",
+    "Month DD, YYYY": r"^[A-Za-z]+(?U:\s+)\d{1,2},(?U:\s+)\d{4}$",
 }
 UNKNOWN_FORMAT = "Unknown"
 # Target notations with the matching Spark datetime pattern.
@@ -33,7 +33,7 @@ _MONTHS = (
     "january,february,march,april,may,june,july,august,september,october,november,december,"
     "jan,feb,mar,apr,may,jun,jul,aug,sep,oct,nov,dec"
 )
-_NAMED = r"^([A-Za-z]+)\s+(\d{1,2}),\s*(\d{4})$"
+_NAMED = r"^([A-Za-z]+)(?U:\s+)(\d{1,2}),(?U:\s*)(\d{4})$"
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T](?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d)?$"
 # Two-digit years go with slashes only.
 _YEAR = r"(\d{4}|(?<=/)\d{2})"

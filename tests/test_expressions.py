@@ -90,6 +90,14 @@ def test_detect_format(spark):
     ]
 
 
+def test_white_space_of_dates(spark):
+    """Any blank, as in quantities: no-break, thin, ideographic."""
+    values = ["June\u00a05, 2024", "June\u20095,\u30002024", "June 5,\u00a02024", "June\u200b5, 2024"]
+    assert evaluate(spark, values, dates.detect_format("v")) == ["Month DD, YYYY"] * 3 + ["Unknown"]
+    sql = f"date_format({dates.parse_date('v', True)}, 'yyyy-MM-dd')"
+    assert evaluate(spark, values, sql) == ["2024-06-05"] * 3 + [None]
+
+
 def test_numbers_in_texts(spark):
     values = ["12", " -1.5 ", "1e3", ".5", "5.", "inf", "12d", "1f", "0x10", "1,299", "", "nan", None]
     assert evaluate(spark, values, numbers.to_double("v")) == [
