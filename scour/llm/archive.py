@@ -142,27 +142,77 @@ def _field(name: str, value: str) -> Column:
     return F.when(found != "", found)
 
 
-def read_captures(spark: SparkSession, archive: Archive) -> DataFrame:
-    """What each record says of itself, and the size and SHA-1 of its payload as it is stored.
+def parse_records(records: DataFrame) -> DataFrame:
+    """What whole records (key, record) say of themselves, and the size and SHA-1 of their payload.
 
-    Digests are made once a payload; records find them by an equi-join with one row a payload.
+    The payload is what follows the two headers, up to the two line breaks that end the record. A
+    record whose length, or a response whose payload, is not what its header says ends the job.
     """
-    measured = read_payloads(spark, archive).select(
-        "digest",
-        F.length("payload").cast("long").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
+    text = F.col("record").cast("string")
+    start = F.length(F.encode(F.substring_index(text, END + END, 1), "UTF-8"))
+    split = records.select(
+        "key",
+        "record",
+        F.substring_index(text, END + END, 2).alias("header"),
+        (F.length("record") - start - 4 * len(END)).alias("block_bytes"),
+    ).withColumn("header_bytes", F.octet_length("header"))
+    parsed = split.select(
+        "key",
+        F.expr(
+            f"substring(record, header_bytes + {2 * len(END) + 1}, "
+            f"octet_length(record) - header_bytes - {4 * len(END)})"
+        ).alias("payload"),
+        "block_bytes",
+        _field("WARC-Type", "([a-z]+)").alias("record_type"),
+        _field("WARC-Refers-To", "<urn:page:([^>]+)>").alias("refers_to"),
+        _field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("payload_digest"),
+        # The line of the WARC header is followed by an empty line, that of the HTTP header ends it.
+        F.regexp_extract("header", r"\r\nContent-Length: (\d+)\r\n\r\n", 1).cast("long").alias("said_block"),
+        F.regexp_extract("header", r"\r\nContent-Length: (\d+)$", 1).cast("long").alias("payload_bytes"),
+    )
+    whole = F.when(F.col("record_type") == "revisit", F.length("payload") == 0).otherwise(
+        (F.length("payload") == F.col("payload_bytes"))
+        & (base32_sha1(F.col("payload")) == F.col("payload_digest"))
     )
-    return (
-        spark.read.parquet(archive.headers)
-        .join(measured, "digest")
+    sound = F.coalesce(whole & (F.col("block_bytes") == F.col("said_block")), F.lit(False))
+    return parsed.select(
+        "key",
+        F.when(sound, F.col("payload_bytes"))
+        .otherwise(F.raise_error(F.lit("A record differs from its header")).cast("long"))
+        .alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        "refers_to",
+    )
+
+
+def read_captures(spark: SparkSession, archive: Archive) -> DataFrame:
+    """What each record of the archive says of itself, read from the rebuilt records.
+
+    A revisit takes size and digest of its payload from the response it refers to, one row a
+    payload; one without such a response ends the job.
+    """
+    captures = parse_records(read_records(spark, archive))
+    responses = captures.where("record_type = 'response'")
+    known = responses.select(
+        F.coalesce(F.col("key").cast("string"), F.lit("")).alias("refers_to"),
+        "payload_digest",
+        F.col("payload_bytes").alias("known_bytes"),
+    ).distinct()
+    revisits = (
+        captures.where("record_type = 'revisit'")
+        .join(known, ["refers_to", "payload_digest"], "left")
         .select(
             "key",
-            "payload_bytes",
+            F.when(F.col("known_bytes") == F.col("payload_bytes"), F.col("known_bytes"))
+            .otherwise(F.raise_error(F.lit("A revisit without its response")).cast("long"))
+            .alias("payload_bytes"),
             "payload_digest",
-            _field("WARC-Type", "([a-z]+)").alias("record_type"),
-            _field("WARC-Refers-To", "<urn:page:([^>]+)>").alias("refers_to"),
+            "record_type",
+            "refers_to",
         )
     )
+    return responses.unionByName(revisits)
 
 
 def read_records(spark: SparkSession, archive: Archive) -> DataFrame:

@@ -281,6 +281,12 @@ def test_archive_round_trip(spark):
         assert len(rest) == int(fields[b"Content-Length"]) + 4 and rest.endswith(b"\r\n\r\n")
         if fields[b"WARC-Type"] == b"response":
             assert rest[:-4].partition(b"\r\n\r\n")[2] == bodies[row.key]
+    records = archive.read_records(spark, written)
+    longer = F.when(F.col("key") == 9, F.concat("record", F.encode(F.lit("x"), "UTF-8"))).otherwise(F.col("record"))
+    other = F.when(F.col("key") == 9, F.overlay("record", F.encode(F.lit("y"), "UTF-8"), F.length("record") - 5)).otherwise(F.col("record"))
+    for damage in (longer, other):
+        with pytest.raises(Exception, match="differs from its header"):
+            archive.parse_records(records.withColumn("record", damage)).collect()
     empty = archive.write_archive(table.where("false"))
     assert archive.read_captures(spark, empty).count() == 0
 
