@@ -17,6 +17,7 @@ documents are not written, an empty table gives an empty list of files. Other co
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import struct
@@ -43,7 +44,7 @@ MAGIC = b"RANKVB01"
 BLOCK_IDS = 1 << 20
 HEAD, TAIL = struct.Struct("<QQ"), struct.Struct("<QQ8s")
 #: Bytes of the latest distinct pieces that a Python worker remembers, and as many from before.
-REMEMBERED = 96 << 20
+REMEMBERED = 128 << 20
 #: Documents that are encoded or written at a time.
 GROUP_TEXTS = 256
 # Python splits at these controls, the tokenizer doesn't take them for white space.
@@ -94,7 +95,7 @@ class PieceIds(Remembered):
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.symbols = byte_symbols()
+        self.symbols = "".join(byte_symbols())
         self.words = regex.compile(WORDS)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -104,16 +105,17 @@ class PieceIds(Remembered):
 
     def word(self, word: str) -> bytes:
         """The ids of one word of the tokenizer's own rules."""
-        shown = word if word.isascii() and word.isalpha() else "".join(
-            map(self.symbols.__getitem__, word.encode())
-        )
-        return array(self.code, [token.id for token in self.model.tokenize(shown)]).tobytes()
+        if not (word.isascii() and word.isalpha()):
+            word = codecs.charmap_decode(word.encode(), "strict", self.symbols)[0]
+        return array(self.code, [token.id for token in self.model.tokenize(word)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         packed = self.before.get(piece)
         if packed is None:
             word = piece.lower()
-            if UNSURE.search(piece):
+            if piece.isascii() and word == piece and piece.isalpha():
+                packed = self.word(piece)
+            elif UNSURE.search(piece):
                 packed = self.whole(piece)
             elif word.isalpha():
                 packed = self.word(word) if word == piece else self[word]
@@ -132,8 +134,19 @@ class PieceIds(Remembered):
             return b""
         if _CONTROLS.search(text):
             return self.whole(text)
+        lower = text.lower()
+        if lower == text or self.plain(text, lower):
+            text = lower
         return b"".join(map(self.__getitem__, text.split()))
 
+    def plain(self, text: str, lower: str) -> bool:
+        """Whether a text may be lower-cased before it is cut, so that fewer of its pieces differ."""
+        return (
+            len(lower) == len(text)
+            and not UNSURE.search(text)
+            and not any(map(lower.__contains__, self.special))
+        )
+
 
 _encoders: dict[int, PieceIds] = {}
 

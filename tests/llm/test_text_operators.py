@@ -407,3 +407,16 @@ def test_marks_in_texts_are_no_cuts(spark):
     table = spark.createDataFrame([(t,) for t in texts], "text string")
     rows = table.select(merkle.root(merkle.tree(F.col("text"))).alias("root")).collect()
     assert len({r.root for r in rows}) == len(texts)
+
+
+def test_pieces_of_lowered_texts():
+    """Texts that are lower-cased whole give the library's ids, whatever was remembered before."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = token_files.PieceIds(open(path, encoding="utf-8").read())
+    special = pieces.special[-1]
+    texts = [
+        special, special.upper(), f"A {special.upper()} b", f"Word,{special}Word", "ÀÉ Été, ÉTÉ.", "İstanbul I",
+        "ΣΑΣ Σ", "Á É É", "IT'S 12a3 Don'T!!", "ẞ ß SS ǅ", "a\x1cB", "A b", "X" * 300 + " x",
+    ]
+    for text in texts + texts[::-1]:
+        assert pieces.encode(text) == pieces.whole(text), text
