@@ -94,6 +94,41 @@ predicate(
     leaf("not_in", "priority", ["1-URGENT", "2-HIGH"]),
     "coalesce(priority NOT IN ('1-URGENT', '2-HIGH'), true)",
 )
+
+
+def _poor_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").where("c_acctbal < 1000")
+
+
+@case(
+    "pred_in_table",
+    with_views(
+        ["messy_orders"],
+        "SELECT * FROM messy_orders WHERE total_price > 250000 "
+        "OR customer_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 1000)",
+    ),
+)
+def pred_in_table(spark, sf_dir):
+    known = leaf("in", "customer_id", _poor_customers(spark, sf_dir).select("c_custkey"))
+    condition = {"operator": "or", "conditions": [PRICY, known]}
+    return scour.filter_rows(view(spark, sf_dir, "messy_orders"), condition)
+
+
+@case(
+    "pred_not_in_table",
+    with_views(
+        ["messy_orders"],
+        "SELECT * FROM messy_orders WHERE priority IS NULL OR priority NOT IN "
+        "(SELECT o_orderpriority FROM orders WHERE o_totalprice > (SELECT max(o_totalprice) * 0.99 FROM orders))",
+    ),
+)
+def pred_not_in_table(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    dearest = orders.agg((F.max("o_totalprice") * 0.99).alias("limit"))
+    seen = orders.join(F.broadcast(dearest), F.col("o_totalprice") > F.col("limit")).select("o_orderpriority")
+    return scour.filter_rows(view(spark, sf_dir, "messy_orders"), leaf("not_in", "priority", seen))
+
+
 predicate(
     "pred_between",
     leaf("between", "total_price", [100000, 200000]),

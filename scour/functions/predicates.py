@@ -12,10 +12,11 @@ from collections.abc import Mapping, Sequence
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scour.functions import membership
 from scour.functions.dates import parse_literal
 from scour.functions.missing import is_missing
 from scour.schema import column_types, is_float, is_numeric, is_temporal, is_text, ref
@@ -52,8 +53,8 @@ def check_condition(condition: Mapping) -> None:
     is_list = isinstance(value, (list, tuple))
     if operator in NULL_TESTS and value is not None:
         raise ValueError(f"'{operator}' takes no value")
-    if operator in LIST_TESTS and not is_list:
-        raise ValueError(f"'{operator}' needs a list of values")
+    if operator in LIST_TESTS and not is_list and not isinstance(value, DataFrame):
+        raise ValueError(f"'{operator}' needs a list or a one-column table of values")
     if operator == "between" and not (is_list and len(value) == 2):
         raise ValueError("'between' needs exactly two values")
     if operator not in NULL_TESTS and value is None:
@@ -66,23 +67,40 @@ def condition_columns(condition: Mapping) -> list[str]:
     return [condition["column"]]
 
 
-def build_condition(condition: Mapping, schema: T.StructType) -> Column:
-    """The condition tree as a column over a table with this schema."""
+def build_condition(condition: Mapping, schema: T.StructType, for_filter: bool = False) -> Column:
+    """The condition tree as a column over a table with this schema.
+
+    With `for_filter` the column is good for a filter only: long lists and tables become joins.
+    """
     check_condition(condition)
-    return _build(condition, column_types(schema))
+    return _build(condition, column_types(schema), for_filter)
 
 
-def _build(condition: Mapping, types: Mapping[str, T.DataType]) -> Column:
+def _build(condition: Mapping, types: Mapping[str, T.DataType], for_filter: bool) -> Column:
     operator = condition["operator"]
     if operator in LOGICAL:
-        children = [_build(child, types) for child in condition["conditions"]]
+        children = [_build(child, types, for_filter) for child in condition["conditions"]]
         if operator == "not":
             return ~children[0]
         return reduce(Column.__and__ if operator == "and" else Column.__or__, children)
     name = condition["column"]
     if name not in types:
         raise ValueError(f"Column {name!r} does not exist")
-    return _leaf(operator, name, types[name], condition.get("value"))
+    value = condition.get("value")
+    if operator in LIST_TESTS and (isinstance(value, DataFrame) or for_filter):
+        member = _joined_member(name, types[name], value, for_filter)
+        return member if operator == "in" else ~member
+    return _leaf(operator, name, types[name], value)
+
+
+def _joined_member(name: str, dtype: T.DataType, values: Sequence | DataFrame, for_filter: bool) -> Column:
+    if not for_filter:
+        raise ValueError(f"Only filters compare column {name!r} with a table of values")
+    if isinstance(values, DataFrame):
+        return membership.in_table(name, dtype, values)
+    if len(values) > membership.LONGEST_LIST:
+        return membership.in_list(SparkSession.active(), name, dtype, values)
+    return _member(name, dtype, values)
 
 
 def _leaf(operator: str, name: str, dtype: T.DataType, value) -> Column:
@@ -147,6 +165,8 @@ def comparable(dtype: T.DataType, value) -> Column | None:
     if value is None or _is_nan(value):
         return None
     if is_numeric(dtype) and isinstance(value, (bool, int, float, Decimal)):
+        if isinstance(value, int) and not -(1 << 63) <= value < 1 << 63:
+            value = float(value)
         return F.lit(int(value) if isinstance(value, bool) else value)
     if is_text(dtype) and isinstance(value, str):
         return F.lit(value)

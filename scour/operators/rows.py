@@ -16,7 +16,7 @@ from scour.streaming.guards import require_batch
 
 def filter_rows(df: DataFrame, condition: Mapping, remove: bool = False) -> DataFrame:
     """Keep the rows that meet the condition, or with `remove` exactly the others."""
-    keep = build_condition(condition, df.schema)
+    keep = build_condition(condition, df.schema, for_filter=True)
     return df.where(~keep if remove else keep)
 
 

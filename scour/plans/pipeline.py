@@ -149,7 +149,7 @@ class _Fold:
         getattr(self, f"_{step['op']}")(step)
 
     def _filter(self, step: Mapping) -> None:
-        keep = build_condition(step["condition"], self.df.schema)
+        keep = build_condition(step["condition"], self.df.schema, for_filter=True)
         self.df = self.df.where(~keep if step.get("remove") else keep)
 
     def _sort(self, step: Mapping) -> None:
