@@ -33,14 +33,12 @@ _MONTHS = (
     "january,february,march,april,may,june,july,august,september,october,november,december,"
     "jan,feb,mar,apr,may,jun,jul,aug,sep,oct,nov,dec"
 )
-_NAMED = r"^([A-Za-z]+)(?U:\s+)(\d{1,2}),(?U:\s*)(\d{4})$"
+_NAMED = r"^[A-Za-z]+(?U:\s+)\d{1,2},(?U:\s*)\d{4}$"
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T](?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d)?$"
 # Two-digit years go with slashes only.
-_YEAR = r"(\d{4}|(?<=/)\d{2})"
-_BY_DAY = rf"^(\d{{1,2}})([-/])(0?[1-9]|1[0-2])\2{_YEAR}$"
-_BY_MONTH = rf"^(0?[1-9]|1[0-2])([-/])(\d{{1,2}})\2{_YEAR}$"
-
-
+_YEAR = r"(?:\d{4}|(?<=/)\d{2})"
+_BY_DAY = rf"^\d{{1,2}}([-/])(?:0?[1-9]|1[0-2])\1{_YEAR}$"
+_BY_MONTH = rf"^(?:0?[1-9]|1[0-2])([-/])\d{{1,2}}\1{_YEAR}$"
 
 def detect_format(value: str) -> str:
     """The name of the notation of a (stripped) date text."""
@@ -51,33 +49,32 @@ def detect_format(value: str) -> str:
     return f"CASE {cases} WHEN {value} IS NOT NULL THEN '{UNKNOWN_FORMAT}' END"
 
 
-def _group(text: str, pattern: str, index: int) -> str:
-    return f"regexp_extract({text}, {literal(pattern)}, {index})"
-
-
-def _iso(year: str, month: str, day: str) -> str:
-    return f"concat_ws('-', {year}, {month}, {day})"
-
-
 def parse_date(text: str, day_first: bool) -> str:
     """The timestamp a (stripped) text stands for, NULL if the grammar has no reading of it.
 
     The other notations are rewritten to the ISO one, which a single cast reads; anything else that
     a cast would take, such as a bare year, never gets there. For the ambiguous notations the
-    preferred order is used unless its month is impossible.
+    preferred order is used unless its month is impossible. A pattern only says which notation it
+    is; the parts are then cut out at their separators.
     """
+    parts = f"replace({text}, '/', '-')"
+    first = f"substring_index({parts}, '-', 1)"
+    second = f"substring_index(substring_index({parts}, '-', 2), '-', -1)"
+    short = f"right({text}, 2)"
+    year = (
+        f"CASE WHEN substr({text}, -3, 1) <> '/' THEN right({text}, 4) "
+        f"WHEN {short} < '69' THEN concat('20', {short}) ELSE concat('19', {short}) END"
+    )
 
-    def numeric(pattern: str, month: int, day: int) -> str:
-        year = _group(text, pattern, 4)
-        century = f"CASE WHEN {year} < '69' THEN '20' ELSE '19' END"
-        long_year = f"CASE WHEN length({year}) = 2 THEN concat({century}, {year}) ELSE {year} END"
-        rewritten = _iso(long_year, _group(text, pattern, month), _group(text, pattern, day))
-        return f"WHEN {matches(text, pattern)} THEN {rewritten} "
+    def numeric(pattern: str, month: str, day: str) -> str:
+        return f"WHEN {matches(text, pattern)} THEN concat_ws('-', {year}, {month}, {day}) "
 
-    by_day, by_month = numeric(_BY_DAY, 3, 1), numeric(_BY_MONTH, 1, 3)
+    by_day, by_month = numeric(_BY_DAY, second, first), numeric(_BY_MONTH, first, second)
     # An unknown name becomes month 0, which no cast accepts.
-    month = f"(find_in_set(lower({_group(text, _NAMED, 1)}), '{_MONTHS}') - 1) % 12 + 1"
-    named = _iso(_group(text, _NAMED, 3), f"CAST({month} AS STRING)", _group(text, _NAMED, 2))
+    name = f"regexp_extract({text}, '^[A-Za-z]+', 0)"
+    month = f"(find_in_set(lower({name}), '{_MONTHS}') - 1) % 12 + 1"
+    day = f"regexp_extract({text}, '[0-9]+', 0)"
+    named = f"concat_ws('-', right({text}, 4), CAST({month} AS STRING), {day})"
     iso_text = (
         f"CASE WHEN {matches(text, _ISO)} THEN {text} "
         + (by_day + by_month if day_first else by_month + by_day)

@@ -23,6 +23,7 @@ from scour.schema import (
     column_types,
     data_columns,
     is_temporal,
+    is_text,
     literal,
     quoted,
     ref,
@@ -76,6 +77,9 @@ def missing_counts(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     require_batch(df, "missing_counts")
     types = column_types(df.schema)
     names = data_columns(df, row_id)
+    if not names:
+        columns = "0 AS position, '' AS column, '' AS dtype, 0L AS rows, 0L AS missing"
+        return df.sparkSession.sql(f"SELECT {columns}").where("false")
     counts = [
         F.expr(f"count_if({is_missing(name, types[name])}) AS m{i}") for i, name in enumerate(names)
     ]
@@ -286,16 +290,31 @@ def analyze_quality(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     """One row per issue: `(issue_rank, type, column, count)`.
 
     `count` is missing cells, duplicate rows, spellings, date notations, or distinct values with a
-    unit. Three scans: one aggregate for the missing cells, one grouping for the duplicates, and one
-    for the distinct values, which are written when this is called and serve the rest.
+    unit. Three scans: one aggregate for the missing cells of columns that hold no text, one grouping
+    for the duplicates, and one for the distinct values, which are written when this is called and
+    serve the rest.
     """
     require_batch(df, "analyze_quality")
     return _issues(df, row_id, shared_counts(df, row_id))
 
 
+def gaps_of_other_columns(df: DataFrame, row_id: str | None) -> DataFrame:
+    """`(column, missing, present)` for the columns that `text_counts` leaves out.
+
+    The missing cells of text columns are in the counts already, so only the others are read.
+    """
+    types = column_types(df.schema)
+    others = [name for name in data_columns(df, row_id) if not is_text(types[name])]
+    return missing_counts(df.select(*map(ref, others)), None).selectExpr(
+        "column", "missing", "rows - missing AS present"
+    )
+
+
 def _issues(df: DataFrame, row_id: str | None, counts: DataFrame) -> DataFrame:
     gaps = (
-        missing_counts(df, row_id)
+        counts.where("value IS NULL")
+        .selectExpr("column", "n AS missing")
+        .unionByName(gaps_of_other_columns(df, row_id).select("column", "missing"))
         .where("missing > 0")
         .selectExpr(*issue_columns(MISSING_VALUES, "column", "missing"))
     )

@@ -128,18 +128,17 @@ def classify_columns(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
 
 
 def _column_table(df: DataFrame, row_id: str | None, counts: DataFrame) -> DataFrame:
-    """One row per column: missing cells for all, the text evidence where there is any."""
+    """One row per column that has cells: missing ones for all, the evidence of text columns."""
     types = column_types(df.schema)
     numeric = [literal(name) for name in data_columns(df, row_id) if is_numeric(types[name])]
     is_number_column = f"column IN ({', '.join(numeric)})" if numeric else "false"
-    evidence = profile.text_evidence(counts).drop("missing", "present")
-    # One row per column of the table on either side.
-    joined = profile.missing_counts(df, row_id).join(F.broadcast(evidence), "column", "left")
-    filled = joined.withColumns(
+    found = profile.text_evidence(counts).unionByName(
+        profile.gaps_of_other_columns(df, row_id), allowMissingColumns=True
+    )
+    filled = found.withColumns(
         {
-            "present": F.expr("rows - missing"),
             "numbers": F.expr(
-                f"coalesce(numbers, CASE WHEN {is_number_column} THEN rows - missing ELSE 0 END)"
+                f"coalesce(numbers, CASE WHEN {is_number_column} THEN present ELSE 0 END)"
             ),
             "with_unit": F.expr("coalesce(with_unit, 0)"),
             "one_unit": F.expr("coalesce(one_unit, false)"),
