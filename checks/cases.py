@@ -14,7 +14,7 @@ from checks.views import columns_of, table, view, view_sql, with_views
 from scour.functions import dates, units
 from scour.functions.arithmetic import build_expression
 from scour.operators import columns as column_ops
-from scour.operators import context, dedup, missing, profile, suggest
+from scour.operators import context, dedup, missing, profile, suggest, uniques
 from scour.operators.changes import union_logs
 from scour.schema import ref
 from scour.sources import csv_files, inference
@@ -937,6 +937,26 @@ def ctx_unique(spark, sf_dir):
     )
 
 
+@case(
+    "ctx_unique_sketch",
+    with_views(
+        ["line_items"],
+        'SELECT "column", rows, missing, true AS close FROM st',
+        sql.context_stats("line_items", LINE_TYPES),
+    ),
+)
+def ctx_unique_sketch(spark, sf_dir):
+    """Sketches of two halves, merged: estimates within four standard errors of the exact counts."""
+    df = view(spark, sf_dir, "line_items")
+    halves = [df.where(f"l_linenumber {test}") for test in ("<= 3", "> 3")]
+    merged = uniques.merge_sketches(*map(uniques.unique_sketches, halves))
+    exact = context.column_statistics(df).selectExpr("column", "distinct_values AS exact")
+    return uniques.estimate_unique(merged).join(exact, "column").selectExpr(
+        "column", "rows", "missing",
+        f"abs(distinct_values - exact) <= {4 * uniques.relative_error()} * exact AS close",
+    )
+
+
 @case(
     "ctx_missing",
     with_views(
@@ -1017,7 +1037,9 @@ def ctx_top_categories(spark, sf_dir):
     return found.select("column", *joined("top_categories"))
 
 
-ROLE_COLUMNS = f"\"column\", {sql.role('role')} AS role, {sql.role('confidence')} AS confidence"
+ROLE_COLUMNS = '"column", ' + ", ".join(
+    f"{sql.role(name)} AS {name}" for name in ("role", "confidence", "evidence")
+)
 
 
 @case(
@@ -1037,7 +1059,7 @@ def ctx_role(spark, sf_dir):
         context.column_roles(table(spark, sf_dir, "orders"), None),
         context.column_roles(table(spark, sf_dir, "customer"), None),
     ]
-    return reduce(DataFrame.unionByName, parts).select("column", "role", "confidence")
+    return reduce(DataFrame.unionByName, parts).drop("position")
 
 
 @case(
@@ -1047,7 +1069,8 @@ def ctx_role(spark, sf_dir):
         "round(missing_fraction, 4) AS missing_fraction, distinct_values, min_value, max_value, "
         f"CASE WHEN is_date THEN {_day('d1')} END AS date_min, "
         f"CASE WHEN is_date THEN {_day('d2')} END AS date_max, {sql.HINT} AS hint, "
-        f"{sql.role('role')} AS role, {sql.role('confidence')} AS confidence, top_categories "
+        f"{sql.role('role')} AS role, {sql.role('confidence')} AS confidence, "
+        f"{sql.role('evidence')} AS evidence, top_categories "
         'FROM st LEFT JOIN top ON top.name = st."column"',
         ORDER_STATS,
         'top AS (SELECT "column" AS name, array_to_string(list(value ORDER BY n DESC, value) '
@@ -1058,7 +1081,7 @@ def ctx_role(spark, sf_dir):
     ),
 )
 def ctx_dataset(spark, sf_dir):
-    found = scour.dataset_context(view(spark, sf_dir, "messy_orders")).drop("evidence")
+    found = scour.dataset_context(view(spark, sf_dir, "messy_orders"))
     found = _days(found, "date_min", "date_max")
     return found.withColumns(
         {
@@ -1093,29 +1116,38 @@ def find_value_columns(spark, sf_dir):
 
 # --- suggestions ------------------------------------------------------------------------------------
 
-SUGGESTION = ("type", "column", "resolution_type", "operation", "parameter")
+SUGGESTION = ("type", "column", "resolution_type", "operation", "parameter", "message")
 
 
-def _short(report: DataFrame) -> DataFrame:
-    """The outcome without its wording; lists as text."""
+def _flat(report: DataFrame) -> DataFrame:
+    """The outcome with lists as text."""
     return report.select(*SUGGESTION, *joined("available_targets", "detected_units"))
 
 
 def _suggestion_sql(kind: str, source: str, cases: list[tuple], column: str = '"column"') -> str:
-    """`cases`: (test, resolution, operation, parameter, targets, detected), SQL each but the kind."""
+    """`cases`: (test, resolution, operation, parameter, targets, detected, message), all SQL; the
+    message is NULL where a case has none."""
 
     def pick(index: int) -> str:
-        return "CASE " + " ".join(f"WHEN {c[0]} THEN {c[index]}" for c in cases) + " END"
+        chosen = [(c[0], (*c, "NULL")[index]) for c in cases]
+        return "CASE " + " ".join(f"WHEN {test} THEN {value}" for test, value in chosen) + " END"
 
     return (
         f"SELECT '{kind}' AS type, {column} AS \"column\", {pick(1)} AS resolution_type, "
         f"CAST({pick(2)} AS VARCHAR) AS operation, CAST({pick(3)} AS VARCHAR) AS parameter, "
         f"CAST({pick(4)} AS VARCHAR) AS available_targets, "
-        f"CAST({pick(5)} AS VARCHAR) AS detected_units FROM {source}"
+        f"CAST({pick(5)} AS VARCHAR) AS detected_units, "
+        f"CAST({pick(6)} AS VARCHAR) AS message FROM {source}"
     )
 
 
-REVIEW = ("'REVIEW_REQUIRED'", "NULL", "NULL", "NULL", "NULL")
+
+
+def _review(message: str) -> tuple[str, ...]:
+    return "'REVIEW_REQUIRED'", "NULL", "NULL", "NULL", "NULL", f"'Review required: {message}.'"
+
+
+OTHERS_ARE_PLAIN = "'Some values carry ' || first_unit || ', the others are plain numbers.'"
 NUMERIC_CLASS = "(present > 0 AND numbers = present)"
 TEXT_CLASS = "(present > 0 AND numbers = 0)"
 FULL = (
@@ -1131,8 +1163,11 @@ SUGGEST_MISSING = _suggestion_sql(
     [
         (NUMERIC_CLASS, "'SAFE_FIX'", "'fill_numeric'", "'median'", "NULL", "NULL"),
         (TEXT_CLASS, "'SAFE_FIX'", "'fill_categorical'", "'mode'", "NULL", "NULL"),
-        (sql.MIXED, "'MIXED_NUMERIC'", "'remove_units'", "first_unit", "NULL", "NULL"),
-        ("true", *REVIEW),
+        (
+            sql.MIXED, "'MIXED_NUMERIC'", "'remove_units'", "first_unit", "NULL", "NULL",
+            f"{OTHERS_ARE_PLAIN} || ' Standardize numeric representation first?'",
+        ),
+        ("true", *_review("numbers and other text are mixed in this column")),
     ],
 )
 WINNER = """CASE WHEN titles > lowers AND titles > uppers AND 2 * titles >= titles + lowers + uppers
@@ -1146,31 +1181,48 @@ SUGGEST_TEXT = _suggestion_sql(
     [
         ("most = 1", "'SAFE_FIX'", "'standardize_text'", "'strip'", "NULL", "NULL"),
         (f"{WINNER} IS NOT NULL", "'SAFE_FIX'", "'standardize_text'", WINNER, "NULL", "NULL"),
-        ("true", *REVIEW),
+        ("true", *_review("no casing is dominant enough")),
     ],
 )
 SUGGEST_DATES = _suggestion_sql(
     "date_format_inconsistency",
     f'ev JOIN ev_formats USING ("column") WHERE {sql.IS_DATE} AND len(formats) > 1',
-    [("true", *REVIEW)],
+    [("true", *_review("several date notations; the user has to choose the target"))],
 )
 _TARGETS = (
     "CASE categories[1] WHEN 'Mass' THEN 'mg|g|kg|tonne' WHEN 'Length' THEN 'mm|cm|m|km' "
     "WHEN 'Volume' THEN 'ml|l' WHEN 'Time' THEN 'ms|sec|min|hour|day' END"
 )
-_MIXED_CASE = ("'MIXED_NUMERIC'", "'remove_units'", "first_unit", "NULL", "NULL")
+_MIXED_CASE = (
+    "'MIXED_NUMERIC'", "'remove_units'", "first_unit", "NULL", "NULL", OTHERS_ARE_PLAIN
+)
 SUGGEST_UNITS = _suggestion_sql(
     "embedded_units",
     f"ev WHERE {sql.UNIT_ISSUE}",
     [
         (f"{sql.MIXED} AND missing = 0", *_MIXED_CASE),
-        ("present > with_unit", *REVIEW),
+        (
+            "present > with_unit AND plain_numbers <> present - with_unit",
+            *_review("inconsistent text mixed with numbers"),
+        ),
+        (
+            "present > with_unit AND units > 1",
+            *_review("plain numbers mixed with several units"),
+        ),
+        (
+            "present > with_unit",
+            *_review("resolved as part of the missing-value issue of the same column"),
+        ),
         (
             "units > 1 AND len(categories) = 1 AND categories[1] <> 'Unknown'",
             "'STANDARDIZATION_AVAILABLE'", "'standardize_units'", "NULL", _TARGETS,
             "array_to_string(known_units, '|')",
         ),
-        ("units > 1", *REVIEW),
+        (
+            "units > 1",
+            *_review("the units belong to different categories: ' "
+                     "|| array_to_string(list_sort(categories), ', ') || '"),
+        ),
         ("true", "'SAFE_FIX'", "'remove_units'", "first_unit", "NULL", "NULL"),
     ],
 )
@@ -1181,7 +1233,7 @@ def _duplicates_suggestion(source: str, keys: str) -> str:
         "SELECT 'duplicate_rows' AS type, CAST(NULL AS VARCHAR) AS \"column\", "
         "'SAFE_FIX' AS resolution_type, 'remove_duplicates' AS operation, "
         "CAST(NULL AS VARCHAR) AS parameter, CAST(NULL AS VARCHAR) AS available_targets, "
-        "CAST(NULL AS VARCHAR) AS detected_units "
+        "CAST(NULL AS VARCHAR) AS detected_units, CAST(NULL AS VARCHAR) AS message "
         f"FROM (SELECT count(*) AS n FROM {source} GROUP BY {keys}) HAVING sum(n) > count(*)"
     )
 
@@ -1206,12 +1258,12 @@ def suggest_classify(spark, sf_dir):
 
 @case("suggest_missing", _order_evidence(SUGGEST_MISSING, ORDER_GAPS, FULL))
 def suggest_missing(spark, sf_dir):
-    return _short(suggest.suggest_missing(view(spark, sf_dir, "messy_orders")))
+    return _flat(suggest.suggest_missing(view(spark, sf_dir, "messy_orders")))
 
 
 @case("suggest_mixed_numeric", _part_evidence(SUGGEST_MISSING, PART_GAPS, FULL))
 def suggest_mixed_numeric(spark, sf_dir):
-    return _short(suggest.suggest_missing(view(spark, sf_dir, "messy_parts")))
+    return _flat(suggest.suggest_missing(view(spark, sf_dir, "messy_parts")))
 
 
 @case(
@@ -1219,22 +1271,22 @@ def suggest_mixed_numeric(spark, sf_dir):
     with_views(["dup_events"], _duplicates_suggestion("dup_events", EVENT_KEYS)),
 )
 def suggest_duplicates(spark, sf_dir):
-    return _short(suggest.suggest_duplicates(view(spark, sf_dir, "dup_events")))
+    return _flat(suggest.suggest_duplicates(view(spark, sf_dir, "dup_events")))
 
 
 @case("suggest_text_style", _order_evidence(SUGGEST_TEXT))
 def suggest_text_style(spark, sf_dir):
-    return _short(suggest.suggest_text_style(view(spark, sf_dir, "messy_orders")))
+    return _flat(suggest.suggest_text_style(view(spark, sf_dir, "messy_orders")))
 
 
 @case("suggest_units", _part_evidence(SUGGEST_UNITS))
 def suggest_units(spark, sf_dir):
-    return _short(suggest.suggest_units(view(spark, sf_dir, "messy_parts")))
+    return _flat(suggest.suggest_units(view(spark, sf_dir, "messy_parts")))
 
 
 @case("suggest_dates", _order_evidence(SUGGEST_DATES))
 def suggest_dates(spark, sf_dir):
-    return _short(suggest.suggest_dates(view(spark, sf_dir, "messy_orders")))
+    return _flat(suggest.suggest_dates(view(spark, sf_dir, "messy_orders")))
 
 
 @case(
@@ -1254,7 +1306,7 @@ def suggest_dates(spark, sf_dir):
     ),
 )
 def suggest_all(spark, sf_dir):
-    return _short(scour.suggest(view(spark, sf_dir, "messy_parts")))
+    return _flat(scour.suggest(view(spark, sf_dir, "messy_parts")))
 
 
 # --- audit, impact, pipelines -----------------------------------------------------------------------

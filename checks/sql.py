@@ -188,32 +188,48 @@ def _named(kind: str) -> str:
 
 
 def role(output: str) -> str:
-    """`output` is role or confidence."""
+    """`output` is role, confidence or evidence."""
     unique = "(distinct_values = rows AND rows > 1)"
     rules = [
-        ("present = 0", "unknown", "low"),
-        (f"{unique} AND {_named('identifier')}", "identifier", "high"),
-        (f"is_date AND {_named('date')}", "date/datetime", "high"),
-        ("is_date", "date/datetime", "medium"),
-        ("is_text AND emails > 0.9 * present", "email", "high"),
-        (f"is_text AND phones > 0.8 * present AND {_named('phone')}", "phone", "high"),
-        ("is_text AND phones > 0.8 * present", "phone", "medium"),
-        (f"is_numeric AND {_named('age')} AND min_value >= 0 AND max_value <= 120", "age", "high"),
-        (f"is_numeric AND {_named('age')}", "age", "medium"),
-        (f"is_numeric AND {_named('money')}", "monetary/numeric amount", "high"),
-        (f"is_numeric AND {_named('percentage')}", "percentage", "high"),
-        (f"is_text AND {_named('text')}", "name/text", "high"),
+        ("present = 0", "unknown", "low",
+            "no present values"),
+        (f"{unique} AND {_named('identifier')}", "identifier", "high",
+            "every value is unique, identifier-like name"),
+        (f"is_date AND {_named('date')}", "date/datetime", "high",
+            "values are dates, date-like name"),
+        ("is_date", "date/datetime", "medium",
+            "values are dates"),
+        ("is_text AND emails > 0.9 * present", "email", "high",
+            "more than 90 % look like email addresses"),
+        (f"is_text AND phones > 0.8 * present AND {_named('phone')}", "phone", "high",
+            "more than 80 % look like phone numbers, phone-like name"),
+        ("is_text AND phones > 0.8 * present", "phone", "medium",
+            "more than 80 % look like phone numbers"),
+        (f"is_numeric AND {_named('age')} AND min_value >= 0 AND max_value <= 120", "age", "high",
+            "age-like name, values from 0 to 120"),
+        (f"is_numeric AND {_named('age')}", "age", "medium",
+            "age-like name, unusual range"),
+        (f"is_numeric AND {_named('money')}", "monetary/numeric amount", "high",
+            "numeric with amount-like name"),
+        (f"is_numeric AND {_named('percentage')}", "percentage", "high",
+            "numeric with rate-like name"),
+        (f"is_text AND {_named('text')}", "name/text", "high",
+            "text with name-like name"),
         (
             f"distinct_values = 2 AND ({_named('boolean')} OR truths = 2)",
             "boolean/binary", "high",
+            "two values with a binary name or meaning",
         ),
         (
             f"distinct_values < 20 AND distinct_values < rows AND {_named('category')}",
             "categorical", "high",
+            "few values, category-like name",
         ),
-        (f"{unique} AND (kind = 'int' OR is_text)", "identifier", "medium"),
-        ("is_numeric", "numeric", "low"),
+        (f"{unique} AND (kind = 'int' OR is_text)", "identifier", "medium",
+            "every value is unique"),
+        ("is_numeric", "numeric", "low",
+            "numeric without a more specific sign"),
     ]
-    index = 1 if output == "role" else 2
-    cases = " ".join(f"WHEN {rule[0]} THEN '{rule[index]}'" for rule in rules)
-    return f"CASE {cases} ELSE '{'unknown' if output == 'role' else 'low'}' END"
+    index = ("role", "confidence", "evidence").index(output)
+    cases = " ".join(f"WHEN {rule[0]} THEN '{rule[index + 1]}'" for rule in rules)
+    return f"CASE {cases} ELSE '{('unknown', 'low', 'no sign of a specific role')[index]}' END"

@@ -268,3 +268,28 @@ def test_context_statistics_match_parts(make):
     full = scour.dataset_context(df).select("column", "hint", "role")
     assert rows(context.column_hints(df), "column", "hint") == rows(full, "column", "hint")
     assert rows(context.column_roles(df), "column", "role") == rows(full, "column", "role")
+
+
+def test_wide_tables(spark):
+    """300 text columns: the plan grows with the columns, not with their square, and rows are right."""
+
+    def wide(columns):
+        cells = [f"CASE id WHEN 0 THEN 'a' WHEN 1 THEN 'A' END AS c{i}" for i in range(columns)]
+        return spark.range(3).selectExpr("id AS row_id", *cells)
+
+    def size(columns):
+        counts = profile.text_counts(wide(columns), "row_id")
+        plan = counts._jdf.queryExecution().optimizedPlan()
+        found, waiting = 0, [plan]
+        while waiting:
+            node = waiting.pop()
+            found += node.expressions().size() + sum(
+                len(node.expressions().apply(i).sql()) for i in range(node.expressions().size())
+            )
+            waiting += [node.children().apply(i) for i in range(node.children().size())]
+        return found
+
+    assert size(300) < 5 * size(75)
+    found = profile.analyze_quality(wide(300)).collect()
+    assert len(found) == 600
+    assert {(r.type, r["count"]) for r in found} == {("missing_values", 1), ("text_inconsistency", 2)}
