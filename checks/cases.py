@@ -66,7 +66,15 @@ predicate(
 predicate("pred_gt", PRICY, "coalesce(total_price > 250000, false)")
 predicate("pred_gte", leaf("gte", "customer_id", 700), "customer_id >= 700")
 predicate("pred_lt", leaf("lt", "total_price", 50000.5), "coalesce(total_price < 50000.5, false)")
-predicate("pred_lte", leaf("lte", "total_price", 50000), "coalesce(total_price <= 50000, false)")
+predicate(
+    "pred_lte",
+    # Rows of either kind: customer 100 has orders, so the bound itself is met.
+    {
+        "operator": "or",
+        "conditions": [leaf("lte", "total_price", 50000), leaf("lte", "customer_id", 100)],
+    },
+    "coalesce(total_price <= 50000, false) OR coalesce(customer_id <= 100, false)",
+)
 predicate(
     "pred_contains",
     leaf("contains", "status", "DELIV"),
