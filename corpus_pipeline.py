@@ -24,7 +24,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by a Jaccard similarity of five-word shingles."""
+    """Keep one document of each group linked by a Jaccard similarity of five-word shingles.
+
+    Candidates by SimHash, and by min-hashes for those of more differing bits; whole sets are compared.
+    """
     return near_copies.one_of_each(docs, width=5, least=0.8)
 
 

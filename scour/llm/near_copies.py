@@ -1,16 +1,19 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of `least` or more.
 
-A text is the set of its shingle hashes; texts with equal sets are one class. 128 min-hashes of a
-set make 32 bands of four, and classes that share a band are candidates: a pair of similarity 0.8
-shares none with a probability of 5e-8, one of more with less.
-
-Classes that are tied by shared bands, however long the chain, are a group, so both sides of every
+A text is the set of its shingle hashes; texts with equal sets are one class. Classes whose SimHash
+fingerprints (of the set) differ in at most `most` bits are candidates, linked by the index of
+`simhash`. A pair of similarity 0.8 differs in ten bits on average, which no index of fingerprints
+finds in less than a comparison of all, so those beyond `most` bits come from min-hashes: 128 of a
+set make 32 bands of four, and classes that share a band are candidates too; a pair of similarity
+0.8 shares none with a probability of 5e-8, one of more with less.
+
+Classes that are tied by links of fingerprints or by shared bands, however long the chain, are a group, so both sides of every
 candidate pair are in one group. A group's whole sets come together and are compared there, but for
 sizes too different and for fewer equal min-hashes than a pair of that similarity has (six standard
 deviations below the mean are left). Classes that verified links have joined are not compared again,
 so a group gives a tree of links, at most one for each of its classes, never its pairs. Large groups
 are cut into parts by number and bytes, of which every two meet; groups of more than `MANY` parts go
-by single bands instead, whose groups are smaller.
+by single links and bands instead, whose groups are smaller.
 
 Defined cases: words are as in `simhash`: A-Z lower-cased, cut at ASCII white space. Null and empty
 texts and texts without words have the empty set and are one class that is linked to no other. Fewer
@@ -30,10 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scour.llm.components import components
-from scour.llm.simhash import shingle_hashes
+from scour.llm.simhash import fingerprint, shingle_hashes
+from scour.llm.simhash import links as fingerprint_links
 from scour.sources.staging import stage
 
 SEED = 42
+#: Differing bits of fingerprints that are candidates.
+MOST = 6
 BANDS, IN_BAND = 32, 4
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * IN_BAND).astype(np.uint64) * 2 + 1
 #: Shingles handled at a time, classes and bytes of sets of a part, and parts of a group.
@@ -82,26 +88,29 @@ def _described(text: Column, width: int) -> Column:
     def one(value: str | None) -> tuple:
         hashes = shingle_set(value, width)
         if not len(hashes):
-            return mark(hashes), 0, [], b""
+            return mark(hashes), 0, 0, [], b""
         least = min_hashes(hashes)
         # Not the highest bits: those of minima are zero.
         sketch = (least >> np.uint64(24)).astype(np.uint8).tobytes()
-        return mark(hashes), len(hashes), bands(least), sketch
+        return mark(hashes), len(hashes), fingerprint(hashes), bands(least), sketch
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame(
-                [one(value) for value in batch], columns=["mark", "size", "bands", "sketch"]
+                [one(value) for value in batch],
+                columns=["mark", "size", "fingerprint", "bands", "sketch"],
             )
 
-    return F.pandas_udf(run, "mark long, size int, bands array<long>, sketch binary")(text)
+    return F.pandas_udf(
+        run, "mark long, size int, fingerprint long, bands array<long>, sketch binary"
+    )(text)
 
 
 # --- links ----------------------------------------------------------------------------------------
 
 
 def _described_rows(documents: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """rid, row, key, mark, size, bands and sketch of each row, written once.
+    """rid, row, key, mark, size, fingerprint, bands and sketch of each row, written once.
 
     The row's identity is written with it, so it stays the same when it is read again.
     """
@@ -122,7 +131,28 @@ def _counted(ids: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST else written
 
 
-def _groups(classes: DataFrame) -> DataFrame:
+def _tied(classes: DataFrame, most: int) -> DataFrame:
+    """mark and band: classes that share a band are candidates.
+
+    Equal fingerprints share one, the two of each link of fingerprints another; then the min-hashes'.
+    """
+    known = stage(classes.select("fingerprint").distinct(), "fingerprints")
+    linked = (
+        fingerprint_links(known, most)
+        .distinct()
+        .select(F.explode(F.array("a", "b")).alias("fingerprint"), F.xxhash64("a", "b").alias("band"))
+    )
+    equal = known.select("fingerprint", F.xxhash64("fingerprint").alias("band"))
+    near = stage(linked.unionByName(equal), "near")
+    return (
+        classes.select("mark", "fingerprint")
+        .join(near, "fingerprint")
+        .select("mark", "band")
+        .unionByName(classes.select("mark", F.explode("bands").alias("band")))
+    )
+
+
+def _groups(classes: DataFrame, most: int) -> DataFrame:
     """kind, id, parts, rid, mark, size, sketch of the classes of each group of candidates."""
 
     def cut(members: DataFrame, kind: int) -> DataFrame:
@@ -135,7 +165,7 @@ def _groups(classes: DataFrame) -> DataFrame:
             .select("id", "parts", F.lit(kind).alias("kind"))
         )
 
-    banded = classes.select("mark", F.explode("bands").alias("band"))
+    banded = _tied(classes, most)
     leaders = (
         banded.groupBy("band")
         .agg(F.min("mark").alias("leader"), F.max("mark").alias("last"))
@@ -149,9 +179,8 @@ def _groups(classes: DataFrame) -> DataFrame:
         "members",
     )
     by_root = stage(cut(members, 0), "groups")
-    of_band = members.join(by_root.where(F.col("parts") > MANY).select("id"), "id", "left_semi").select(
-        F.explode("bands").alias("id"), "rid", "mark", "size", "sketch"
-    )
+    large = members.join(by_root.where(F.col("parts") > MANY).select("id"), "id", "left_semi")
+    of_band = large.join(banded, "mark").select(F.col("band").alias("id"), "rid", "mark", "size", "sketch")
     few = members.join(by_root.where(F.col("parts") <= MANY), "id")
     many = of_band.join(cut(of_band, 1), "id")
     names = ["kind", "id", "parts", "rid", "mark", "size", "sketch"]
@@ -253,16 +282,19 @@ def _links(groups: DataFrame, described: DataFrame, text: str, width: int, least
     return stage(dealt.mapInPandas(run, "a long, b long"), "links")
 
 
-def _rooted(described: DataFrame, text: str, width: int, least: float) -> DataFrame:
+def _rooted(described: DataFrame, text: str, width: int, least: float, most: int) -> DataFrame:
     """The described rows with root, the smallest mark reachable by links."""
     classes = stage(
         described.where("size > 0")
         .groupBy("mark")
         # But for the row these are the same in all rows of a class.
-        .agg(F.min("rid").alias("rid"), *[F.first(c).alias(c) for c in ("size", "bands", "sketch")]),
+        .agg(
+            F.min("rid").alias("rid"),
+            *[F.first(c).alias(c) for c in ("size", "fingerprint", "bands", "sketch")],
+        ),
         "classes",
     )
-    links = _links(stage(_groups(classes), "met"), described, text, width, least)
+    links = _links(stage(_groups(classes, most), "met"), described, text, width, least)
     roots = components(links).withColumnRenamed("node", "mark")
     return described.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
 
@@ -273,10 +305,11 @@ def near_copies(
     text: str = "text",
     width: int = 5,
     least: float = 0.8,
+    most: int = MOST,
 ) -> DataFrame:
     """key, mark (the text's class) and root (the smallest mark reachable by links) of each row."""
     described = _described_rows(documents, key, text, width)
-    return _rooted(described, text, width, least).select(F.col("key").alias(key), "mark", "root")
+    return _rooted(described, text, width, least, most).select(F.col("key").alias(key), "mark", "root")
 
 
 def one_of_each(
@@ -285,12 +318,13 @@ def one_of_each(
     text: str = "text",
     width: int = 5,
     least: float = 0.8,
+    most: int = MOST,
 ) -> DataFrame:
     """One document of each component, with all its columns: the one with the smallest key."""
     described = _described_rows(documents, key, text, width)
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark", "rid"))
     chosen = (
-        _rooted(described, text, width, least)
+        _rooted(described, text, width, least, most)
         .groupBy("root")
         .agg(first.alias("first"))
         .select(F.col("first.rid").alias("rid"))

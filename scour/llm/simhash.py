@@ -60,7 +60,10 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 def simhash(text: str | None, width: int = 4) -> int:
     """The fingerprint as a signed 64-bit integer."""
-    hashes = shingle_hashes(text, width)
+    return fingerprint(shingle_hashes(text, width))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     counts = np.zeros(BITS, np.int64)

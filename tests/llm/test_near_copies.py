@@ -113,3 +113,26 @@ def test_tokens_are_decoded(spark):
     library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
     text = library.decode(np.frombuffer(row.ids, "<u4").tolist(), skip_special_tokens=False)
     assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def _pair_of_texts(changed):
+    words = [f"w{i * i % 9973}" for i in range(3000)]
+    copy = list(words)
+    for at in range(changed):
+        copy[100 + 400 * at] = "other"
+    return [(1, " ".join(words), "s"), (2, " ".join(copy), "s"), (3, "one two three four five six", "s")]
+
+
+def test_fingerprints_link_near_copies(spark, monkeypatch):
+    """Without shared bands of min-hashes the near copies are found by SimHash alone."""
+    monkeypatch.setattr(near_copies, "bands", lambda least: [])
+    table = spark.createDataFrame(_pair_of_texts(3), SCHEMA)
+    kept = corpus_pipeline.drop_near_duplicates(spark, table, "").collect()
+    assert sorted(row.doc_id for row in kept) == [1, 3]
+
+
+def test_links_of_fingerprints_are_checked(spark):
+    """Fingerprints may link what is not alike; whole sets decide."""
+    table = spark.createDataFrame(_pair_of_texts(3), SCHEMA)
+    linked = near_copies.near_copies(table, least=0.999, most=12).collect()
+    assert len({row.root for row in linked}) == 3
