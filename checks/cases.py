@@ -18,7 +18,7 @@ from scour.operators import context, dedup, missing, profile, suggest, uniques
 from scour.operators.changes import union_logs
 from scour.schema import ref
 from scour.sources import csv_files, inference
-from scour.sources.staging import scratch_path
+from scour.sources.staging import scratch_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1576,12 +1576,25 @@ BROKEN_LINE = """CASE WHEN o_orderkey % 50 = 0 THEN concat(cast(o_orderkey as st
     END"""
 
 
+#: Lines that one task sorts.
+SORTED_AT_ONCE = 1_000_000
+
+
 def _write_one_file(lines: DataFrame, header: str, label: str) -> str:
-    """Raw lines in the order of their key below a header, in one file, so that numbers are known."""
+    """Raw lines in the order of their key below a header, in one file, so that numbers are known.
+
+    They are sorted in ranges, one file each. The task that writes the one file reads those in turn
+    (`coalesce` keeps their order), and holds none of them.
+    """
     spark = lines.sparkSession
     path = scratch_path(spark, label)
     first = spark.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit(header).alias("line"))
-    first.unionByName(lines).repartition(1).sortWithinPartitions("key").select("line").write.text(path)
+    ranges = lines.count() // SORTED_AT_ONCE + 1
+    ordered = stage(
+        first.unionByName(lines).repartitionByRange(ranges, "key").sortWithinPartitions("key"), "sorted"
+    )
+    pieces = [spark.read.schema(ordered.schema).parquet(file) for file in sorted(ordered.inputFiles())]
+    reduce(DataFrame.unionAll, pieces).coalesce(1).select("line").write.text(path)
     return path
 
 

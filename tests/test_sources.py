@@ -4,7 +4,9 @@ import pytest
 from conftest import column, rows
 
 import scour
+from checks import cases
 from scour.sources import csv_files
+from scour.sources.staging import stage
 
 
 @pytest.fixture
@@ -183,3 +185,21 @@ def test_row_ids_are_unique_and_follow_the_scan(spark, make):
     assert [r.a for r in got] == list(range(100)) and len({r.n for r in got}) == 100
     with pytest.raises(ValueError):
         scour.with_row_id(df, "n")
+
+
+def test_one_file_is_sorted_in_ranges(spark, monkeypatch):
+    """The file that the ingest queries read: no task sorts all of its lines."""
+    staged = []
+
+    def kept(df, label):
+        staged.append(stage(df, label))
+        return staged[-1]
+
+    monkeypatch.setattr(cases, "SORTED_AT_ONCE", 10, raising=False)
+    monkeypatch.setattr(cases, "stage", kept, raising=False)
+    lines = spark.range(100).selectExpr("id * 37 % 100 AS key", "'line ' || id * 37 % 100 AS line")
+    path = cases._write_one_file(lines.repartition(4), "header", "one")
+    assert len(spark.read.text(path).inputFiles()) == 1
+    found = [row.value for row in spark.read.text(path).collect()]
+    assert found == ["header", *[f"line {i}" for i in range(100)]]
+    assert staged and len(staged[0].inputFiles()) > 5
