@@ -4,9 +4,11 @@ Whether a line begins a record depends on all lines before it, but little of it
 the state before it (outside or within quotes) to the state after it, so it is one of four maps. A
 line that gives the same state either way settles what came before; others keep or flip it. So the
 state before a line is the last settled one, flipped as often as lines since then flip it: running
-sums within a split of the file. A split as a whole is such a map again; the running sums over one
-row a split say in which state each split begins and how many records there are before it. Records
-are then numbered, and the few that span lines are put together, also across the borders of splits.
+sums within a run of lines of one split of the file. A run as a whole is such a map again; the running
+sums over one row a run say in which state each run begins and how many records there are before it.
+Records are then numbered, and those that span lines are put together, also across the borders of runs
+and splits. Runs and records are dealt over as many tasks as the files have pieces of `PIECE` bytes, so
+larger files make more tasks and not larger ones.
 """
 
 from __future__ import annotations
@@ -19,8 +21,19 @@ from scour.sources.staging import stage
 
 #: Characters of the longest record that is put together.
 LONGEST = 1 << 24
-#: Splits whose states are broadcast; more are joined.
+#: Runs whose states are broadcast; more are joined.
 BROADCAST = 1_000_000
+#: Lines of a run are at most two to this power.
+RUN_BITS = 14
+#: Bytes of the files for which there is a task.
+PIECE = 16 << 20
+RUN = ["file", "split", "run"]
+
+
+def _tasks(spark: SparkSession, path) -> int:
+    """Pieces that the files have; only their sizes are read."""
+    files = spark.read.format("binaryFile").load(path)
+    return (files.agg(F.sum("length")).first()[0] or 0) // PIECE + 1
 
 
 def _with_states(rows: DataFrame, before: WindowSpec) -> DataFrame:
@@ -39,8 +52,8 @@ def _state(start: int) -> Column:
     return (F.coalesce("settled", F.lit(start)) + F.col("flips")) % 2
 
 
-def _lines(spark: SparkSession, path, delimiter: str) -> DataFrame:
-    """Lines with both of their possible states and numbers, for a split that begins outside quotes
+def _lines(spark: SparkSession, path, delimiter: str, tasks: int | None = None) -> DataFrame:
+    """Lines with both of their possible states and numbers, for a run that begins outside quotes
     (0) and one that begins within (1). Written once: splits are not made twice alike."""
     # A quote in front of the line puts it within quotes.
     bare = "rtrim('\r', value)"
@@ -55,8 +68,10 @@ def _lines(spark: SparkSession, path, delimiter: str) -> DataFrame:
             F.expr(f"int({records.opens(bare, delimiter)})").alias("outside"),
             F.expr("int({})".format(records.opens(f"concat('\"', {bare})", delimiter))).alias("within"),
         )
+        .withColumn("run", F.shiftright("id", RUN_BITS))
+        .repartition(tasks or _tasks(spark, path), *RUN)
     )
-    order = Window.partitionBy("file", "split").orderBy("id")
+    order = Window.partitionBy(*RUN).orderBy("id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     known = _with_states(read, before)
@@ -71,26 +86,28 @@ def _after(state: Column) -> Column:
 
 
 def _starts(lines: DataFrame) -> DataFrame:
-    """file, split, start (its state) and records (how many begin before it). One row a split."""
-    ends = lines.groupBy("file", "split").agg(
-        F.max_by(
-            F.struct(
-                _after(F.col("state0")).alias("outside"),
-                _after(F.col("state1")).alias("within"),
-                "number0",
-                "number1",
-            ),
-            "id",
-        ).alias("end")
+    """file, split, run, start (its state) and records (how many begin before it). One row a run."""
+    ends = lines.groupBy(*RUN).agg(
+        # Of numbers only, so that nothing is sorted: the last line's states, and how many records began.
+        *[
+            F.max(F.col("id") * 2 + value).alias(name)
+            for name, value in (("outside", _after(F.col("state0"))), ("within", _after(F.col("state1"))))
+        ],
+        F.max("number0").alias("number0"),
+        F.max("number1").alias("number1"),
+    )
+    before = (
+        Window.partitionBy("file").orderBy("split", "run").rowsBetween(Window.unboundedPreceding, -1)
     )
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        _with_states(ends.select("file", "split", "end.*"), before)
+        _with_states(
+            ends.withColumn("outside", F.col("outside") % 2).withColumn("within", F.col("within") % 2),
+            before,
+        )
         .withColumn("start", _state(0))
         .withColumn("own", F.when(F.col("start") == 1, F.col("number1")).otherwise(F.col("number0")))
         .select(
-            "file",
-            "split",
+            *RUN,
             "start",
             F.coalesce(F.sum("own").over(before), F.lit(0)).alias("records"),
         )
@@ -104,16 +121,18 @@ def quoted_records(
 
     Lines end at a line feed, with or without a carriage return; within quotes both are kept. A
     record of more than `longest` characters, as an unclosed quote makes, is not put together: its
-    value is its first line. Files are split freely, and no task holds more than a split or a record.
+    value is its first line. Files are split freely, and no task holds more than its share of runs or
+    records.
     """
-    lines = _lines(spark, path, delimiter)
+    tasks = _tasks(spark, path)
+    lines = _lines(spark, path, delimiter, tasks)
     starts = stage(_starts(lines), "starts")
     if starts.count() <= BROADCAST:
         starts = F.broadcast(starts)
     inside = F.col("start") == 1
     state = F.when(inside, F.col("state1")).otherwise(F.col("state0"))
     number = F.when(inside, F.col("number1")).otherwise(F.col("number0"))
-    placed = lines.join(starts, ["file", "split"]).select(
+    placed = lines.join(starts, RUN).select(
         "file",
         (F.col("records") + number).alias("number"),
         F.struct("split", "id", "value").alias("line"),
@@ -122,8 +141,8 @@ def quoted_records(
     alone = placed.where("whole").select(
         "file", "number", F.col("line.value").alias("value"), F.lit(False).alias("too_long")
     )
-    several = placed.where("NOT whole")
     keys = ["file", "number"]
+    several = placed.where("NOT whole").repartition(tasks, *keys)
     sizes = several.groupBy(*keys).agg(
         F.sum(F.length("line.value") + 1).alias("size"), F.min("line").alias("line")
     )

@@ -133,3 +133,19 @@ def test_no_task_reads_a_whole_file(spark, write, small_splits):
     lines = module._lines(spark, path, ",")
     per_split = lines.groupBy("file", "split").count().agg(F.max("count"), F.count("*")).first()
     assert per_split[0] < 40 and per_split[1] > 50
+
+
+def test_larger_files_make_more_tasks(spark, write, monkeypatch):
+    """Runs end within a split, and each task gets its share of them."""
+    monkeypatch.setattr(module, "RUN_BITS", 3)
+    monkeypatch.setattr(module, "PIECE", 500)
+    text = invented(random.Random(5), 400, False)
+    path = write(text)
+    lines = module._lines(spark, path, ",")
+    assert len(lines.inputFiles()) > 3
+    assert lines.groupBy("file", "split", "run").count().agg(F.max("count")).first()[0] == 8
+    found = quoted_records(spark, path).orderBy("number").collect()
+    assert [r.number for r in found] == list(range(1, len(plain(text)) + 1))
+    assert [next(csv.reader(io.StringIO(r.value, newline="\n"))) for r in found if r.value] == [
+        fields for fields in plain(text) if fields
+    ]
