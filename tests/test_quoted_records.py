@@ -149,3 +149,17 @@ def test_larger_files_make_more_tasks(spark, write, monkeypatch):
     assert [next(csv.reader(io.StringIO(r.value, newline="\n"))) for r in found if r.value] == [
         fields for fields in plain(text) if fields
     ]
+
+
+def test_errors_keep_their_numbers_in_small_runs(spark, write, monkeypatch):
+    """Numbers run through all runs and tasks, whose borders cut records."""
+    monkeypatch.setattr(module, "RUN_BITS", 2)
+    monkeypatch.setattr(module, "PIECE", 500)
+    text = invented(random.Random(6), 200, True)
+    errors = scour.ingest_csv(spark, write(text), multi_line=True).errors.collect()
+    wanted = [i for i, fields in enumerate(plain(text), 1) if fields is not None and len(fields) != 2]
+    found = sorted(e.row_index for e in errors if e.issue_type != "malformed_quotes")
+    assert len(wanted) > 20 and set(found) <= set(wanted)
+    quotes = {e.row_index for e in errors if e.issue_type == "malformed_quotes"}
+    assert set(wanted) <= set(found) | quotes
+    assert {i for i, fields in enumerate(plain(text), 1) if fields is None} <= quotes
