@@ -8,7 +8,7 @@ sums within a run of lines of one split of the file. A run as a whole is such a
 sums over one row a run say in which state each run begins and how many records there are before it.
 Records are then numbered, and those that span lines are put together, also across the borders of runs
 and splits. Runs and records are dealt over as many tasks as the files have pieces of `PIECE` bytes, so
-larger files make more tasks and not larger ones.
+larger files make more tasks and not larger ones. Their rows hold a digest of 128 bits for the file's name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ LONGEST = 1 << 24
 #: Runs whose states are broadcast; more are joined.
 BROADCAST = 1_000_000
 #: Lines of a run are at most two to this power.
-RUN_BITS = 14
+RUN_BITS = 12
 #: Bytes of the files for which there is a task.
 PIECE = 16 << 20
 RUN = ["file", "split", "run"]
@@ -36,6 +36,18 @@ def _tasks(spark: SparkSession, path) -> int:
     return (files.agg(F.sum("length")).first()[0] or 0) // PIECE + 1
 
 
+def _digest(name: Column) -> Column:
+    """Stands for the name of a file, which is longer than most lines, in the rows that are sorted."""
+    return F.struct(F.xxhash64(name), F.xxhash64(F.lit(1), name))
+
+
+def _file_names(spark: SparkSession, path) -> DataFrame:
+    """file (its digest) and name, one row a file; what is in them is not read."""
+    name = F.col("_metadata.file_path")
+    files = spark.read.format("binaryFile").load(path)
+    return stage(files.select(_digest(name).alias("file"), name.alias("name")), "files")
+
+
 def _with_states(rows: DataFrame, before: WindowSpec) -> DataFrame:
     """Add `flips` and `settled`: how often the rows before flip the state, and the last state that
     they settle, as it would be without flips; null if they settle none.
@@ -62,7 +74,7 @@ def _lines(spark: SparkSession, path, delimiter: str, tasks: int | None = None)
         .text(path)
         .select(
             "value",
-            F.col("_metadata.file_path").alias("file"),
+            _digest(F.col("_metadata.file_path")).alias("file"),
             F.col("_metadata.file_block_start").alias("split"),
             F.monotonically_increasing_id().alias("id"),
             F.expr(f"int({records.opens(bare, delimiter)})").alias("outside"),
@@ -154,7 +166,12 @@ def quoted_records(
         .agg(F.sort_array(F.collect_list("line")).alias("lines"))
         .select(*keys, F.array_join("lines.value", "\n").alias("value"), F.lit(False).alias("too_long"))
     )
-    found = alone.unionByName(joined).unionByName(cut)
+    found = (
+        alone.unionByName(joined)
+        .unionByName(cut)
+        .join(_file_names(spark, path), "file")
+        .select(F.col("name").alias("file"), "number", "value", "too_long")
+    )
     # Not by a pattern, which would decode broken bytes.
     return found.withColumn(
         "value",

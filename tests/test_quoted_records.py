@@ -163,3 +163,15 @@ def test_errors_keep_their_numbers_in_small_runs(spark, write, monkeypatch):
     quotes = {e.row_index for e in errors if e.issue_type == "malformed_quotes"}
     assert set(wanted) <= set(found) | quotes
     assert {i for i, fields in enumerate(plain(text), 1) if fields is None} <= quotes
+
+
+def test_rows_do_not_hold_the_name_of_their_file(spark, write):
+    """It is longer than most lines, and each task sorts the rows of millions."""
+    text = "a,b\n1,x\n2,\"y\nz\"\n"
+    path = write(text)
+    kinds = dict(module._lines(spark, path, ",").dtypes)
+    assert [name for name, kind in kinds.items() if kind == "string"] == ["value"]
+    found = quoted_records(spark, path)
+    names = spark.read.text(path).select("_metadata.file_path").distinct().collect()
+    assert {r.file for r in found.collect()} == {r.file_path for r in names}
+    assert found.count() == 3
