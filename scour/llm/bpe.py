@@ -30,7 +30,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from tokenizers import Tokenizer
@@ -174,7 +173,8 @@ class Automaton:
 
 
 class Codec:
-    """Encodes and decodes with a compiled automaton; one lives in each Python worker."""
+    """Encodes and decodes with a compiled automaton. It holds about 100 MB and is made for each task, in
+    less than a second: workers live on between tasks, and other stages need the memory."""
 
     def __init__(self, automaton: Automaton, file: str):
         self.labels, self.special = automaton.labels, automaton.special
@@ -283,18 +283,6 @@ class Codec:
         return " ".join(map(self.labels.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
-_codecs: dict[int, Codec] = {}
-
-
-def _codec(compiled: Broadcast) -> Codec:
-    """The worker's codec for these tables."""
-    name = hash(compiled.value[1])
-    if name not in _codecs:
-        _codecs.clear()
-        _codecs[name] = Codec(*compiled.value)
-    return _codecs[name]
-
-
 def automaton_of(file: str) -> Automaton:
     """Compile the content of a tokenizer file."""
     rules = json.loads(file)
@@ -329,20 +317,16 @@ def transcode(
     old = [field.name for field in schema.fields[: -len(added)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(compiled)
-        try:
-            for batch in batches:
-                for at in range(0, batch.num_rows, GROUP_TEXTS):
-                    part = batch.slice(at, GROUP_TEXTS)
-                    packed = list(map(codec.encode, part.column(text).to_pylist()))
-                    columns = [part.column(name) for name in old]
-                    if ids:
-                        columns.append(pa.array(packed, pa.binary()))
-                    if decoded:
-                        columns.append(pa.array(map(codec.decode, packed), pa.string()))
-                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-        finally:
-            # The worker lives on; other tasks need the memory.
-            codec.pieces.forget()
+        codec = Codec(*compiled.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP_TEXTS):
+                part = batch.slice(at, GROUP_TEXTS)
+                packed = list(map(codec.encode, part.column(text).to_pylist()))
+                columns = [part.column(name) for name in old]
+                if ids:
+                    columns.append(pa.array(packed, pa.binary()))
+                if decoded:
+                    columns.append(pa.array(map(codec.decode, packed), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return kept.mapInArrow(run, schema)

@@ -1,5 +1,6 @@
 """BPE, token files, SimHash and fingerprints against brute force and exact round trips."""
 
+import gc
 import hashlib
 import random
 import re
@@ -7,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -420,3 +422,15 @@ def test_pieces_of_lowered_texts():
     ]
     for text in texts + texts[::-1]:
         assert pieces.encode(text) == pieces.whole(text), text
+
+
+def test_workers_keep_no_codec(spark):
+    """Workers live on between tasks, and other stages need the memory."""
+    table = spark.createDataFrame([(i, f"some text {i}") for i in range(64)], "doc_id long, text string")
+    assert bpe.transcode(table.repartition(8), PATH).count() == 64
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(type(x) is bpe.Codec for x in gc.get_objects())]})
+
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {0}
